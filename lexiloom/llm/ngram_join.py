@@ -252,6 +252,10 @@ def bucket_edges(rows: DataFrame, rule: Rule) -> DataFrame:
 
         out: list[tuple[int, int, bool]] = []
         for pdf in frames:
+            key = pdf["sig"].to_numpy()
+            mask = np.ones(len(key), bool)  # signatures of one class alone need no look
+            mask[1:-1] = (key[1:-1] == key[:-2]) | (key[1:-1] == key[2:])
+            pdf = pdf[mask]
             for sig, c, n in zip(pdf["sig"].tolist(), pdf["a"].tolist(), pdf["size"].tolist(), strict=True):
                 if sig != at:
                     if len(members) > 1 and not tied:

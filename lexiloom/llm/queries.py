@@ -29,6 +29,13 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_edited(read_table(tune(spark), sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    lines = line_dedup.dedup(read_table(tune(spark), sf_dir, "documents"))
+    return lines.select("doc_id", "n_lines", "n_kept", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the matrices to the shared folder and gives one row per sequence from reading them."""
     from . import token_output

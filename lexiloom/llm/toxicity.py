@@ -135,7 +135,7 @@ def linear(rows: np.ndarray, cols: np.ndarray, n: int, width: int, target: np.nd
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = 10_000, most_terms: int = 20_000, least: int = 4, precision: float = 0.9, **folds) -> Model:
+def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int = 10_000, most_terms: int = 20_000, least: int = 3, precision: float = 0.9, **folds) -> Model:
     sample = stored(training_texts(docs, labels, column, most, **folds))
 
     def count(which, among=None):
