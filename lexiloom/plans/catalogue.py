@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lexiloom.plans import corpus, graph, identifiers, matching, questions, retrieval, topics  # noqa: F401
+from lexiloom.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
 
+def queries():
+    return dict(QUERIES)
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
 
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+def oracle_sql():
+    return dict(ORACLES)
