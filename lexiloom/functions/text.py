@@ -85,10 +85,12 @@ def word_tokens(x: Column) -> Column:
 
 
 def ngrams(tokens: Column, n: int, separator: str = "_") -> Column:
-    return F.when(
-        F.size(tokens) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), separator)),
-    ).otherwise(F.array().cast("array<string>"))
+    """Runs of n tokens. The array is zipped with itself moved on, so it isn't read anew for each
+    element, which an index into it inside a lambda would do."""
+    joined = tokens
+    for k in range(1, n):
+        joined = F.zip_with(joined, F.slice(tokens, k + 1, F.greatest(F.size(tokens), F.lit(1))), lambda a, b: F.concat(a, F.lit(separator), b))
+    return F.slice(joined, 1, F.greatest(F.size(tokens) - (n - 1), F.lit(0)))
 
 
 def vw_token(x: Column) -> Column:
