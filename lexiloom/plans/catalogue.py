@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.plans import corpus, graph, identifiers, matching, questions, retrieval, topics  # noqa: F401
+from lexiloom.plans import corpus, graph, identifiers, matching, questions, references, retrieval, topics  # noqa: F401
 from lexiloom.plans.registry import ORACLES, QUERIES
 
 
