@@ -170,7 +170,8 @@ def first_lines(docs: DataFrame, least_words: int, most: int = 500_000) -> DataF
                 if len(seen) > most:
                     yield rows()
                     seen.clear()
-        yield rows()
+        if seen:
+            yield rows()
 
     parts = texts(docs).mapInPandas(run, "lid long, doc long, line long, n long")
     return parts.groupBy("lid").agg(F.min(F.struct("doc", "line")).alias("first"), F.sum("n").alias("n"))

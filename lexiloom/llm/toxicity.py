@@ -103,20 +103,25 @@ def label_model(votes: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.nda
     """
     n, v = votes.shape
     x = votes.astype(np.float64)
-    post = np.clip(0.05 + 0.9 * (x.sum(1) >= 1), 0.05, 0.95)
-    weight, rates, prior = np.ones(v), np.zeros((2, v)), 0.5
+    # rare votes say more; at first the class is split at the mean of what the votes say
+    said = x @ -np.log(np.clip(x.mean(0), 1e-3, 0.999)) if n else np.zeros(0)
+    post = np.clip(0.5 + 0.45 * np.sign(said - said.mean()), 0.05, 0.95) if n else said
+    weight, rates = np.ones(v), np.zeros((2, v))
     for step in range(rounds):
-        prior = float(np.clip(post.mean(), 0.02, 0.98))
+        prior = float(np.clip(post.mean(), 0.02, 0.98)) if n else 0.5
         for y, p in ((1, post), (0, 1 - post)):
             rates[y] = (p @ x + 0.5 * (0.02 if y == 0 else 0.2)) / (p.sum() + 0.5)
         rates = np.clip(rates, 1e-4, 1 - 1e-4)
         rates[1] = np.maximum(rates[1], rates[0])  # a voter speaks for the toxic class only
-        if step == 5:
-            centred = x - np.outer(post, rates[1]) - np.outer(1 - post, rates[0])
-            scale = np.sqrt((centred**2).mean(0)) + 1e-9
-            corr = np.abs((centred / scale).T @ (centred / scale) / n)
-            np.fill_diagonal(corr, 0)
-            weight = 1 / (1 + np.where(corr > 0.1, corr, 0).sum(1))
+        if n and step % 5 == 0:
+            inside = np.zeros((v, v))
+            for y, p in ((1, post), (0, 1 - post)):
+                centred = x - rates[y]
+                cov = (centred * p[:, None]).T @ centred / max(p.sum(), 1e-9)
+                scale = np.sqrt(np.clip(np.diag(cov), 1e-6, None))
+                inside += p.sum() / n * np.abs(cov / scale / scale[:, None])
+            np.fill_diagonal(inside, 0)
+            weight = 1 / (1 + np.where(inside > 0.3, inside, 0).sum(1))
         logit = np.log(prior / (1 - prior)) + x @ (weight * np.log(rates[1] / rates[0])) + (1 - x) @ (weight * np.log((1 - rates[1]) / (1 - rates[0])))
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return post, rates, weight
@@ -145,7 +150,8 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
                 for t in pdf["text"]:
                     found = terms(t)
                     seen.update(found if among is None else found & among)
-            yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
 
         rows = sample.where(F.col("y") == which).mapInPandas(run, "term string, n long")
         return rows.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= (least if among is None else 1))
