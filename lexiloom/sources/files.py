@@ -16,7 +16,7 @@ REFERENCE_SCHEMA = (
 
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """``file_name``, ``doc_id`` (name without characters that ids may not have) and ``text``."""
-    name = F.col("_metadata.file_name")
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     rows = spark.read.text(path, wholetext=True).select(name.alias("file_name"), F.col("value").alias("text"))
     stem = F.regexp_replace(F.regexp_replace("file_name", r"\.[^.]*$", ""), " ", "_")
     safe = F.regexp_replace(stem, r"[^\p{L}\p{N}_\-]", "")
