@@ -103,7 +103,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> tuple[np
     if left <= 0:
         return singles, np.zeros(0, np.uint64)
     for level in range(rule.least(size).bit_length() - 1, rule.most(size).bit_length()):
-        salt = np.uint64(level * 2 + 1) * _C
+        salt = np.uint64(((level * 2 + 1) * int(_C) + int(_B)) % 2**64)
         groups = np.uint64(rule.groups(level))
         group = ((often * _B) >> np.uint64(32)) % groups
         # a group's first shingle guarantees nothing, each further one guarantees one
@@ -117,7 +117,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> tuple[np
             own = prefix[group == g]
             if len(own) > 1:
                 i, j = np.triu_indices(len(own), 1)
-                pairs.append(mix64(mix64(own[i] * _A + own[j]) ^ (salt + _B)))
+                pairs.append(mix64(mix64(own[i] * _A + own[j]) ^ salt))
     return singles, np.concatenate(pairs or [np.zeros(0, np.uint64)])
 
 

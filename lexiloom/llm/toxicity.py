@@ -81,7 +81,7 @@ class Model:
         votes = {int(self.voter[i]) for i in out}
         if insult:
             votes.add(base)
-        low = text.lower() if len(text) < 2**31 else ""
+        low = text.lower()
         votes.update(base + 1 + i for i, p in enumerate(_PATTERNS) if p.search(low))
         if len(out) >= 2:
             votes.add(VOTERS - 1)
