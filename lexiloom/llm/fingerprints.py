@@ -30,29 +30,32 @@ from pyspark.sql import functions as F
 
 from .common import mix64, texts, tokens_of
 
-SAMPLES = 128
+SAMPLES = 64
 _SEEDS = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = np.uint64(0xD1342543DE82EF95)
+_TABLES: list[np.ndarray] = []
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    """32-bit numbers to the open unit interval."""
-    return (x.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32)
-
-
-def _gamma(x: np.ndarray) -> np.ndarray:
-    """Gamma(2, 1) from 64 random bits: minus the logarithm of two uniforms' product."""
-    return -np.log(_unit(x >> np.uint64(32))) - np.log(_unit(x & np.uint64(0xFFFFFFFF)))
+def gamma_quantiles(bits: int) -> np.ndarray:
+    """Middle quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), by bisection."""
+    u = (np.arange(1 << bits) + 0.5) / (1 << bits)
+    lo, hi = np.zeros(len(u)), np.full(len(u), 50.0)
+    for _ in range(48):
+        mid = (lo + hi) / 2
+        below = -np.expm1(-mid) - mid * np.exp(-mid) < u
+        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
+    return hi
 
 
 def draws(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c and b of each term (rows) and sample."""
-    x = mix64(terms[:, None] ^ _SEEDS)
-    r = _gamma(x)
-    x = mix64(x + _STEP)
-    ln_c = np.log(_gamma(x))
-    b = _unit(mix64(x + _STEP) >> np.uint64(32))
-    return np.maximum(r, np.float32(1e-6)), ln_c, b
+    """r, ln c and b of each sample (rows) and term, from 16, 20 and 24 bits of one hash."""
+    if not _TABLES:
+        _TABLES.extend((gamma_quantiles(16).astype(np.float32), np.log(gamma_quantiles(20)).astype(np.float32)))
+    x = mix64(terms[None, :] ^ _SEEDS[:, None])
+    r = _TABLES[0][(x >> np.uint64(48)).astype(np.int32)]
+    ln_c = _TABLES[1][((x >> np.uint64(28)) & np.uint64(0xFFFFF)).astype(np.int32)]
+    b = (((x >> np.uint64(4)) & np.uint64(0xFFFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+    return r, ln_c, b
 
 
 def _least(batch: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +68,32 @@ def _least(batch: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
     r, ln_c, b = draws(hashes)
     once = ln_c + r * b - r
-    cols = np.arange(SAMPLES)
+    each = np.arange(SAMPLES)
+    for k, counter in enumerate(batch):
+        if not counter:
+            continue
+        at = np.fromiter(map(index.__getitem__, counter), np.int64, len(counter))
+        w = np.fromiter(counter.values(), np.float32, len(counter))
+        a, t = once[:, at], None
+        more = np.flatnonzero(w > 1)
+        if len(more):
+            rm, bm = r[:, at[more]], b[:, at[more]]
+            t = np.floor(np.log(w[more]) / rm + bm)
+            a[:, more] = ln_c[:, at[more]] - rm * (t - bm) - rm
+        best = a.argmin(axis=1)
+        level = np.zeros(SAMPLES, np.uint64)
+        if t is not None:
+            place = np.searchsorted(more, best)
+            place[place == len(more)] = 0
+            hit = more[place] == best
+            level[hit] = t[each[hit], place[hit]].astype(np.int64).astype(np.uint64)
+        digit = mix64(hashes[at[best]] + level * _STEP) & np.uint64(0xFFFF)
+        least[k], out[k] = a[each, best], np.where(digit == 0xFFFF, 0, digit)
+    return least, out
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
+    r, ln_c, b = draws(hashes)
+    once = ln_c + r * b - r
+    each = np.arange(SAMPLES)
     for k, counter in enumerate(batch):
         if not counter:
             continue
@@ -89,22 +117,16 @@ def _least(batch: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     return least, out
 
 
-def signatures(batch: list[Counter], most: int = 12_000) -> np.ndarray:
+def signatures(batch: list[Counter], most: int = 16_000) -> np.ndarray:
     """[texts, SAMPLES] digits; 65535 throughout for a text without terms.
 
-    At most ``most`` terms are drawn at a time: texts are taken in groups, and one with more terms
-    is taken in slices, whose least values are merged.
+    At most about ``most`` different terms are drawn at a time: texts are taken in groups, and one
+    with more terms is taken in slices, whose least values are merged.
     """
     out = np.full((len(batch), SAMPLES), 0xFFFF, np.uint16)
     lo = 0
     while lo < len(batch):
-        hi, size = lo + 1, len(batch[lo])
-        while hi < len(batch) and size + len(batch[hi]) <= most:
-            size += len(batch[hi])
-            hi += 1
-        if size <= most:
-            out[lo:hi] = _least(batch[lo:hi])[1]
-        else:
+        if len(batch[lo]) > most:
             items = list(batch[lo].items())
             least = None
             for cut in range(0, len(items), most):
@@ -114,6 +136,13 @@ def signatures(batch: list[Counter], most: int = 12_000) -> np.ndarray:
                 else:
                     digits, least = np.where(a < least, digit, digits), np.minimum(a, least)
             out[lo] = digits[0]
+            lo += 1
+            continue
+        hi, seen = lo, set()
+        while hi < len(batch) and len(batch[hi]) <= most and len(seen) < most:
+            seen.update(batch[hi])
+            hi += 1
+        out[lo:hi] = _least(batch[lo:hi])[1]
         lo = hi
     return out
 
@@ -187,10 +216,11 @@ def with_edited(docs: DataFrame, parts: int | None = None, batch: int = 64) -> D
 
         def flush(rows, upto):
             """Results of rows[:upto]; each has its next document after it in rows."""
-            words = [Counter(tokens_of(t)) for _, t in rows[: upto + 1]]
             edited = [edit(rows[i][1], rows[i + 1][1]) for i in range(upto)]
-            sig = signatures(words + [Counter(tokens_of(t)) for t in edited])
-            own, ed = sig[: upto + 1], sig[upto + 1 :]
+            # a text and its edited form stand side by side, so their common terms are drawn once
+            texts_of = [t for i in range(upto) for t in (rows[i][1], edited[i])] + [rows[upto][1]]
+            sig = signatures([Counter(tokens_of(t)) for t in texts_of])
+            own, ed = sig[::2], sig[1::2]
             return pd.DataFrame(
                 {
                     "doc_id": pd.array([r[0] for r in rows[:upto]], "Int64"),
