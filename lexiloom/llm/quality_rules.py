@@ -7,9 +7,10 @@ joined back. A document is kept if it passes the base rule and its host isn't co
 rate at or above ``reject_rate``, with at least ``least`` documents.
 
 The host counts are pre-aggregated before their shuffle. Verdicts are broadcast up to
-``most_hosts`` hosts, a counted bound; beyond that only hosts that are condemned, salted, meet
-their documents in a shuffle join, so that a host with a third of all rows is dealt over
-``salts`` tasks.
+``most_hosts`` hosts, a counted bound; beyond that all verdicts meet their documents in a shuffle
+join. Hosts with more than one in ``share`` of all documents, of which there are fewer than
+``share``, are salted there, so that a host with a third of all rows is dealt over ``salts`` tasks.
+Both ways give the same rows.
 
 Edge cases: a null or empty text has no words and fails; a null host is a host of its own that is
 never condemned; repeated rows count each; an empty table gives no rows; further columns are
@@ -99,17 +100,23 @@ def host_verdicts(counted: DataFrame, host: str, reject_rate: float = 0.75, leas
     )
 
 
-def judge(docs: DataFrame, host: str = "source", most_hosts: int = 100_000, salts: int = 64) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", most_hosts: int = 100_000, salts: int = 64, share: int = 1000) -> DataFrame:
     """Per document: ``doc_id``, ``COUNTS``, ``base_failed``, ``host_rate``, ``kept``."""
     counted = stored(document_counts(docs.withColumn("_host", F.col(host).cast("string")), "_host"))
     verdicts = stored(host_verdicts(counted, "_host"))
     few = verdicts.limit(most_hosts + 1).count() <= most_hosts
-    side = verdicts.select(F.col("_host").alias("_h"), F.col("shrunk_rate").alias("host_rate"), "condemned")
+    rates = [F.col("_host").alias("_h"), F.col("shrunk_rate").alias("host_rate"), "condemned"]
     if few:
-        joined = counted.join(F.broadcast(side), F.col("_host").eqNullSafe(F.col("_h")), "left")
+        joined = counted.join(F.broadcast(verdicts.select(*rates)), F.col("_host").eqNullSafe(F.col("_h")), "left")
     else:
-        side = side.where("condemned").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        salted = counted.withColumn("_t", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(salts)).cast("int"))
-        joined = salted.join(side, (F.col("_host") == F.col("_h")) & (F.col("_t") == F.col("_s")), "left")
+        total = verdicts.agg(F.sum("n_docs").alias("n")).collect()[0]["n"] or 0
+        large = F.col("n_docs") * share > total
+        deals = F.sequence(F.lit(0), F.when(large, salts - 1).otherwise(0))
+        side = verdicts.select(*rates, F.explode(deals).alias("_s"))
+        heavy = verdicts.where(large).select(F.col("_host").alias("_l"), F.lit(True).alias("_large"))
+        salt = F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(salts)).cast("int")
+        marked = counted.join(F.broadcast(heavy), F.col("_host").eqNullSafe(F.col("_l")), "left")
+        salted = marked.withColumn("_t", F.when(F.col("_large"), salt).otherwise(0))
+        joined = salted.join(side, F.col("_host").eqNullSafe(F.col("_h")) & (F.col("_t") == F.col("_s")), "left")
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("condemned"), F.lit(False))
     return joined.select("doc_id", *COUNTS, "base_failed", "host_rate", kept.alias("kept"))

@@ -317,6 +317,17 @@ def test_label_model_finds_accuracies():
     assert found[1, 0] > found[1, 2] and weight[4] < 0.8 and weight[0] > weight[4]
 
 
+def test_host_rates_are_the_same_by_either_join(spark):
+    docs = [(i, "word " * 60 if i % 3 else "a b", "h%d" % (i % 7) if i % 5 else None) for i in range(140)] + [(None, "x", None)] * 3
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = lambda **o: sorted(map(repr, quality_rules.judge(frame, **o).collect()))
+    want = rows()
+    assert "host_rate=None" not in "".join(want)
+    assert rows(most_hosts=0) == want  # every host is large
+    assert rows(most_hosts=0, share=6) == want  # only the null host is
+    assert rows(most_hosts=0, share=1) == want  # none is
+
+
 def test_host_rules(spark, odd, empty):
     rows = [(i, "a b c " * 40 if i % 4 else "word%d " % i + " ".join("w%d_%d" % (i, k) for k in range(60)), "bad" if i < 40 else "good") for i in range(80)]
     rows = [(i, t if h == "bad" else " ".join("w%d_%d" % (i, k) for k in range(60)), h) for i, t, h in rows]
