@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import mix64, texts, tokens_of
 
-SAMPLES = 64
+SAMPLES = 128
 _SEEDS = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = np.uint64(0xD1342543DE82EF95)
 _TABLES: list[np.ndarray] = []
