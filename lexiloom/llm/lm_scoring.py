@@ -2,17 +2,18 @@
 
 A text is a sequence of tokens (words, A-Z in lower case, then one end). Each token is spelt in bytes
 with a closing mark, each byte in the binary decisions of a Huffman code of the training bytes, and
-each decision is predicted from several hashed contexts: the last one to three bytes, the token so
+each decision is predicted from eight hashed contexts: the last one to four bytes, the token so
 far, and the token so far with the kind of the token before (none, one that ends with a period,
-question or exclamation mark, another). Each context keeps counts of zeros and ones in a table of fixed
+question or exclamation mark, another), with its last byte, and with the whole token before. Each
+context keeps counts of zeros and ones in a table of fixed
 size; their logits are combined by weights that a gate picks (how often the longest contexts have been
 seen, and where in the token we are); the weights are learned online, each token being
 predicted from the counts without itself; an adaptive probability map refines the result. The
 logarithms add up to the probability of the text, and over its bytes to bits per byte.
 
 Training reads every training document. What a text adds to the model depends only on how often
-each (kind before, token) occurs, so the corpus is first reduced to a table of these counts
-(pre-aggregated, then shuffled by token); tables and weights are learned from that table in
+each (token before, token) occurs, so the corpus is first reduced to a table of these counts
+(pre-aggregated, then shuffled); the token before stands there as 32 bits of hash and its last byte; tables and weights are learned from that table in
 parallel and added up. The table grows with the corpus; the model, which is broadcast, does not.
 
 The base score needs the exact count of every token. The most frequent ones, 2^17 at most, are
@@ -27,10 +28,12 @@ from __future__ import annotations
 
 import heapq
 import uuid
+import zlib
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,12 +44,20 @@ END = b"\n"
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 #: Slots of each context's table, as powers of two.
-BITS = (16, 20, 20, 20, 20)
+BITS = (16, 20, 20, 20, 20, 20, 20, 22)
 CONTEXTS = len(BITS)
 STARTS = np.concatenate([[0], np.cumsum([1 << b for b in BITS])]).astype(np.int64)
 SLOTS = int(STARTS[-1])
 BLOCK = 1 << 16
-#: Four grades of how often each of the two longest contexts was seen and two of the fourth, in and after the first byte.
+#: Bytes that stand for the token before, ahead of its last byte.
+LEAD = 4
+#: Kind of a token by its last byte.
+_KINDS = np.full(256, ord("a"), np.uint64)
+_KINDS[list(b".!?")] = ord(".")
+_KINDS[END[0]] = END[0]
+#: Contexts that the gate looks at: the token so far with the token before, with its last byte, and alone.
+_GATED = (7, 6, 4)
+#: Four grades of how often each of the first two of these was seen and two of the third, in and after the first byte.
 GRADES = 4 * 4 * 2
 GATES = 2 * GRADES
 CELLS = 33
@@ -76,35 +87,44 @@ class Code:
         self.turn = np.array([t for _, t in flat], np.uint8)
 
 
-def spelt(keys: list[bytes]) -> list[bytes]:
-    """Keys (kind before + token) with the closing mark; the end needs none."""
-    return [k if k[1:] == END else k + b" " for k in keys]
+def spelt(keys: list[bytes], lead: int = 0) -> list[bytes]:
+    """Keys (``lead`` bytes for the token before + its last byte + token) with the closing mark; the
+    end needs none."""
+    return [k if k[lead + 1 :] == END else k + b" " for k in keys]
 
 
-def events(keys: list[bytes], code: Code, shared: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def events(keys: list[bytes], code: Code, shared: np.ndarray | None = None, lead: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Binary decisions of keys: slots [decisions, CONTEXTS], turns, the key each belongs to, its
     byte's place in the token, and whether that is the first. shared: for each key the number of
     leading bytes of its token whose decisions are left out."""
-    full = spelt(keys)
-    size = np.fromiter(map(len, full), np.int64, len(full)) - 1
+    full = spelt(keys, lead)
+    size = np.fromiter(map(len, full), np.int64, len(full)) - 1 - lead
     data = np.frombuffer(b"".join(full), np.uint8).astype(np.uint64)
-    first = np.cumsum(size + 1) - size  # place of each token's first byte
+    first = np.cumsum(size + 1 + lead) - size  # place of each token's first byte
     owner = np.repeat(np.arange(len(keys)), size)
     place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
     if shared is not None:
         new = place >= shared[owner]
         owner, place = owner[new], place[new]
     at = first[owner] + place
-    # before the token there is its kind, before that nothing
-    back = [np.where(place >= k, data[np.maximum(at - k - 1, 0)], np.uint64(0)) for k in range(3)]
+    # before the token there is the last byte of the one before, before that nothing
+    back = [np.where(place >= k, data[np.maximum(at - k - 1, 0)], np.uint64(0)) for k in range(4)]
     h1 = back[0]
     h2 = (h1 << np.uint64(8)) | back[1]
     h3 = (h2 << np.uint64(8)) | back[2]
+    h4 = (h3 << np.uint64(8)) | back[3]
     # the token so far: a polynomial hash, as a difference of running sums
     power, back_power = (np.cumprod(np.full(len(data), m, np.uint64)) for m in (_BASE, _INVERSE))
     sums = np.cumsum((data + np.uint64(1)) * power)
     so_far = mix64((sums[at - 1] - sums[first[owner] - 1]) * back_power[first[owner]] + place.astype(np.uint64))
-    with_kind = mix64(so_far + data[first[owner] - 1] * np.uint64(_BASE))
+    last = data[first - 1]
+    word = np.zeros(len(first), np.uint64)
+    for j in range(lead):
+        word = (word << np.uint64(8)) | data[first - 1 - lead + j]
+    word = mix64((word << np.uint64(8)) | last)
+    with_kind = mix64(so_far + _KINDS[last[owner].astype(np.int64)] * np.uint64(_BASE))
+    with_last = mix64(so_far + (last[owner] + np.uint64(256)) * np.uint64(_BASE))
+    with_word = mix64(so_far + word[owner] * np.uint64(_BASE))
     byte = data[at].astype(np.int64)
     steps = code.size[byte]
     n = int(steps.sum())
@@ -113,7 +133,7 @@ def events(keys: list[bytes], code: Code, shared: np.ndarray | None = None) -> t
     slots = np.empty((n, CONTEXTS), np.int64)
     slots[:, 0] = (np.repeat(h1, steps) << np.uint64(8)) | node
     spread = node * np.uint64(0xC2B2AE3D27D4EB4F)
-    for i, x in enumerate((mix64(h2), mix64(h3 + np.uint64(1)), so_far, with_kind)):
+    for i, x in enumerate((mix64(h2), mix64(h3 + np.uint64(1)), mix64(h4 + np.uint64(2)), so_far, with_kind, with_last, with_word)):
         y = (np.repeat(x, steps) ^ spread) * np.uint64(_BASE)
         slots[:, i + 1] = (y >> np.uint64(64 - BITS[i + 1])).astype(np.int64) + STARTS[i + 1]
     return slots, turn, np.repeat(owner, steps), np.repeat(place, steps), np.repeat(place == 0, steps)
@@ -131,38 +151,38 @@ def chunks(keys: list[bytes], most: int = 60_000):
         yield lo, len(keys)
 
 
-def sharing(keys: list[bytes], wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sharing(keys: list[bytes], wide: int, lead: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For sorted keys of fewer than ``wide`` bytes: leading bytes of each token that it shares with
     the key before, [keys, wide] the row that stands for each byte, and where there are bytes."""
-    full = spelt(keys)
+    full = spelt(keys, lead)
     size = np.fromiter(map(len, full), np.int64, len(full))
-    grid = np.zeros((len(keys), wide + 1), np.uint8)
-    inside = np.arange(wide + 1) < size[:, None]
+    grid = np.zeros((len(keys), lead + wide + 1), np.uint8)
+    inside = np.arange(lead + wide + 1) < size[:, None]
     grid[inside] = np.frombuffer(b"".join(full), np.uint8)
     same = np.logical_and.accumulate((grid[1:] == grid[:-1]) & inside[1:] & inside[:-1], axis=1).sum(axis=1)
-    shared = np.r_[0, np.maximum(same - 1, 0)]
+    shared = np.r_[0, np.maximum(same - 1 - lead, 0)]
     row = np.where(np.arange(wide) >= shared[:, None], np.arange(len(keys))[:, None], 0)
-    return shared, np.maximum.accumulate(row, axis=0), inside[:, 1:]
+    return shared, np.maximum.accumulate(row, axis=0), inside[:, lead + 1 :]
 
 
-def weighted_events(keys: list[bytes], weight: np.ndarray, code: Code, most: int, wide: int = 40):
+def weighted_events(keys: list[bytes], weight: np.ndarray, code: Code, most: int, wide: int = 40, lead: int = LEAD):
     """Groups of ``events`` and their weights, in mixed order. A decision that several keys share is
     given once, with their weights' sum."""
     order = sorted(range(len(keys)), key=keys.__getitem__)
     groups = []
-    for part, limit in (([i for i in order if len(keys[i]) < wide], wide), ([i for i in order if len(keys[i]) >= wide], 0)):
+    for part, limit in (([i for i in order if len(keys[i]) - lead < wide], wide), ([i for i in order if len(keys[i]) - lead >= wide], 0)):
         groups += [(part[lo:hi], limit) for lo, hi in chunks([keys[i] for i in part], most)]
     for g in np.random.default_rng(len(keys)).permutation(len(groups)):
         rows, limit = groups[g]
         own, w = [keys[i] for i in rows], weight[rows].astype(np.float64)
         if not limit:
-            slots, turn, owner, _, first = events(own, code)
+            slots, turn, owner, _, first = events(own, code, None, lead)
             yield slots, turn, w[owner], first
             continue
-        shared, stands, inside = sharing(own, limit)
+        shared, stands, inside = sharing(own, limit, lead)
         at = stands * limit + np.arange(limit)
         total = np.bincount(at[inside], np.broadcast_to(w[:, None], inside.shape)[inside], inside.size)
-        slots, turn, owner, place, first = events(own, code, shared)
+        slots, turn, owner, place, first = events(own, code, shared, lead)
         yield slots, turn, total[owner * limit + place], first
 
 
@@ -188,9 +208,9 @@ def inputs(counts: np.ndarray, slots: np.ndarray, leave: np.ndarray | None = Non
         pairs = np.maximum(pairs - np.stack([1 - one, one], axis=-1), 0)
     pairs = pairs + np.float32(0.4)
     x = np.log(pairs[..., 1] / pairs[..., 0])
-    n = pairs[:, 2:, 0] + pairs[:, 2:, 1]
+    n = pairs[:, _GATED, 0] + pairs[:, _GATED, 1]
     grade = lambda v: (v > _MARKS[0]).astype(np.int64) + (v > _MARKS[1]) + (v > _MARKS[2])
-    return x, 8 * grade(n[:, 2]) + 2 * grade(n[:, 1]) + (n[:, 0] > _MARKS[0])
+    return x, 8 * grade(n[:, 0]) + 2 * grade(n[:, 1]) + (n[:, 2] > _MARKS[0])
 
 
 def squash(z: np.ndarray) -> np.ndarray:
@@ -242,23 +262,23 @@ def gate_of(seen: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Model:
     """Counts, mixer weights and probability map, ready to score keys."""
 
-    def __init__(self, code: Code, counts: np.ndarray, weights: np.ndarray, chart: np.ndarray):
-        self.code, self.counts, self.weights, self.chart = code, counts, weights, chart
+    def __init__(self, code: Code, counts: np.ndarray, weights: np.ndarray, chart: np.ndarray, lead: int = 0):
+        self.code, self.counts, self.weights, self.chart, self.lead = code, counts, weights, chart, lead
 
     def log10(self, keys: list[bytes], wide: int = 40) -> np.ndarray:
         """Of each key. Keys go in order, and what one shares with the one before is not
         predicted again; only those over ``wide`` bytes go by themselves."""
         out = np.zeros(len(keys))
         order = sorted(range(len(keys)), key=keys.__getitem__)
-        short = [i for i in order if len(keys[i]) < wide]
+        short = [i for i in order if len(keys[i]) - self.lead < wide]
         for lo, hi in chunks([keys[i] for i in short]):
             rows = short[lo:hi]
             part = [keys[i] for i in rows]
-            shared, own, inside = sharing(part, wide)
+            shared, own, inside = sharing(part, wide, self.lead)
             value = self._places(part, wide, shared)
             # where a byte was left out, the value stands in the last row that had it
             out[rows] = np.where(inside, value[own, np.arange(wide)], 0.0).sum(axis=1)
-        long = [i for i in order if len(keys[i]) >= wide]
+        long = [i for i in order if len(keys[i]) - self.lead >= wide]
         for lo, hi in chunks([keys[i] for i in long]):
             part = [keys[i] for i in long[lo:hi]]
             out[long[lo:hi]] = self._places(part, max(map(len, part)) + 1, None).sum(axis=1)
@@ -266,7 +286,7 @@ class Model:
 
     def _places(self, keys: list[bytes], width: int, shared: np.ndarray | None) -> np.ndarray:
         """[keys, width] log10 of each byte's probability; 0 where there is none or it is left out."""
-        slots, bit, owner, place, first = events(keys, self.code, shared)
+        slots, bit, owner, place, first = events(keys, self.code, shared, self.lead)
         x, seen = inputs(self.counts, slots)
         gate = gate_of(seen, first)
         z = (x * self.weights[gate]).sum(axis=1)
@@ -287,6 +307,13 @@ def keys_of(tokens: list[bytes]) -> list[bytes]:
     return keys
 
 
+def word_keys(tokens: list[bytes]) -> list[bytes]:
+    """Each token, the end included, after ``LEAD`` bytes of hash and the last byte of the token
+    before; the first token has zeros and the end there."""
+    h = xxhash.xxh32_digest
+    return [b + t for b, t in zip([bytes(LEAD) + END, *[h(t) + t[-1:] for t in tokens]], [*tokens, END], strict=True)]
+
+
 def token_counts(train: DataFrame, most: int = 400_000) -> DataFrame:
     """``token``, ``key`` and ``c``: how often each key occurs in the training texts."""
 
@@ -294,34 +321,34 @@ def token_counts(train: DataFrame, most: int = 400_000) -> DataFrame:
         seen: Counter = Counter()
 
         def rows():
-            return pd.DataFrame({"token": [k[1:] for k in seen], "key": list(seen), "c": list(seen.values())})
+            return pd.DataFrame({"key": list(seen), "c": list(seen.values())})
 
         for pdf in frames:
             for t in pdf["text"]:
-                seen.update(keys_of(tokens_of(t)))
+                seen.update(word_keys(tokens_of(t)))
                 if len(seen) > most:
                     yield rows()
                     seen.clear()
         if seen:
             yield rows()
 
-    parts = train.mapInPandas(run, "token binary, key binary, c long")
-    return parts.groupBy("token", "key").agg(F.sum("c").alias("c"))
+    parts = train.mapInPandas(run, "key binary, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return parts.select(F.expr(f"substring(key, {LEAD + 2})").alias("token"), "key", "c")
 
 
-def byte_code(table: DataFrame) -> Code:
+def byte_code(by_token: DataFrame) -> Code:
     """Code by the bytes of the training tokens; a task returns 256 numbers."""
 
     def run(frames):
         total = np.zeros(256, np.int64)
         for pdf in frames:
-            full = spelt(pdf["key"].tolist())
+            full = [t if t == END else t + b" " for t in pdf["token"].tolist()]
             size = np.fromiter(map(len, full), np.int64, len(full))
             weight = np.repeat(pdf["c"].to_numpy(np.float64), size)
             total += np.bincount(np.frombuffer(b"".join(full), np.uint8), weight, 256).astype(np.int64)
         yield pd.DataFrame({"byte": np.arange(256), "n": total})
 
-    rows = table.select("key", "c").mapInPandas(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
+    rows = by_token.select("token", "c").mapInPandas(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
     weights = [0] * 256
     for row in rows:
         weights[row["byte"]] = row["n"]
@@ -353,6 +380,29 @@ def context_counts(table: DataFrame, code: Code, tasks: int) -> np.ndarray:
     return out.reshape(SLOTS, 2)
 
 
+#: The last table that a worker unpacked.
+_COUNTS: dict[str, np.ndarray] = {}
+
+
+def packed(counts: np.ndarray) -> tuple[str, list[bytes]]:
+    """A name and the table's compressed parts: most counts are small, and every executor keeps a copy."""
+    flat = counts.ravel()
+    return uuid.uuid4().hex, [zlib.compress(flat[at : at + 16 * BLOCK].tobytes(), 1) for at in range(0, len(flat), 16 * BLOCK)]
+
+
+def unpacked(parts: tuple[str, list[bytes]]) -> np.ndarray:
+    name, parts = parts
+    if name not in _COUNTS:
+        _COUNTS.clear()
+        flat, at = np.empty(2 * SLOTS, np.float32), 0
+        for part in parts:
+            values = np.frombuffer(zlib.decompress(part), np.float32)
+            flat[at : at + len(values)] = values
+            at += len(values)
+        _COUNTS[name] = flat.reshape(SLOTS, 2)
+    return _COUNTS[name]
+
+
 def fit_mixer(table: DataFrame, code: Code, shared, tasks: int, cap: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Weights and map: each task learns online from its share, then they are averaged.
 
@@ -360,7 +410,7 @@ def fit_mixer(table: DataFrame, code: Code, shared, tasks: int, cap: int = 256)
     """
 
     def run(frames):
-        mixer, counts = Mixer(), shared.value
+        mixer, counts = Mixer(), unpacked(shared.value)
         for keys, c in gathered(frames):
             for slots, turn, weight, first in weighted_events(keys, np.minimum(c, cap), code, 16_000):
                 x, seen = inputs(counts, slots, turn)
@@ -393,9 +443,9 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, memory: int = 1_000_00
     by_token = stored(table.groupBy("token").agg(F.sum("c").alias("c")))
     facts = by_token.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
     n, v = int(facts["n"]), int(facts["v"])
-    tasks = int(min(most_tasks, max(6, v // 500_000)))
-    code = byte_code(table)
-    counts = spark.sparkContext.broadcast(context_counts(table, code, tasks))
+    tasks = int(min(most_tasks, max(6, table.count() // 5_000_000)))
+    code = byte_code(by_token)
+    counts = spark.sparkContext.broadcast(packed(context_counts(table, code, tasks)))
     weights, chart = fit_mixer(table, code, counts, tasks)
     name = uuid.uuid4().hex
     grade = F.floor(8 * F.log2("c"))
@@ -411,7 +461,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, memory: int = 1_000_00
     del heavy
 
     def run(frames):
-        model, common = Model(code, counts.value, weights, chart), shared.value
+        model, common = Model(code, unpacked(counts.value), weights, chart, LEAD), shared.value
         part, row = TaskContext.get().partitionId(), 0
         if name not in _SCORED:
             _SCORED.clear()
@@ -420,7 +470,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, memory: int = 1_000_00
             for lo in range(0, len(pdf), 200):
                 rows = pdf.iloc[lo : lo + 200]
                 tokens = [tokens_of(t) for t in rows["text"]]
-                spelt = [keys_of(t) for t in tokens]
+                spelt = [word_keys(t) for t in tokens]
                 if len(memo) > memory:
                     memo.clear()
                 new = [k for k in set().union(*spelt) if k not in memo]

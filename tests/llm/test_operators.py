@@ -272,6 +272,33 @@ def test_keys_carry_the_kind_before():
     assert lm_scoring.keys_of([]) == [b"\n\n"] and lm_scoring.keys_of([b"x!"]) == [b"\nx!", b".\n"]
 
 
+def test_word_order_counts(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(40)]
+    texts = []
+    for _ in range(150):
+        k = rng.randrange(40)
+        texts.append(" ".join(words[(k + i) % 40] for i in range(30)))
+    ordered = list(enumerate(texts))
+    mixed = [(1000 + i, " ".join(rng.sample(t.split(), 30))) for i, t in ordered]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    docs = ordered + [d for d in mixed if held(d[0])]
+    rows = {r["doc_id"]: r["score"] for r in lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string")).collect() if r["held_out"]}
+    assert np.mean([v for i, v in rows.items() if i < 1000]) > 0.7 * np.mean([v for i, v in rows.items() if i >= 1000])
+
+
+def test_shared_beginnings_with_the_word_before():
+    rng = random.Random(9)
+    tokens = [bytes(rng.choice(b"abc.") for _ in range(rng.randrange(1, 50))) for _ in range(300)]
+    keys = list(dict.fromkeys(lm_scoring.word_keys(tokens) + lm_scoring.word_keys([b"a", b"ab", b"a", b"abc", b"a", b"ab."])))
+    counts = np.random.default_rng(2).integers(0, 5, (lm_scoring.SLOTS, 2)).astype(np.float32)
+    model = lm_scoring.Model(lm_scoring.Code(list(range(256))), counts, np.full((lm_scoring.GATES, lm_scoring.CONTEXTS), 0.3), lm_scoring.Mixer.map_of(np.zeros((lm_scoring.GATES, lm_scoring.CELLS, 2))), lm_scoring.LEAD)
+    got = model.log10(keys)
+    assert np.allclose(got, [model.log10([k])[0] for k in keys])
+    a, b = (lm_scoring.word_keys([x, b"abc"])[1] for x in (b"xa", b"ya"))  # equal last bytes, other words
+    assert not math.isclose(model.log10([a])[0], model.log10([b])[0])
+
+
 def test_trees_learn_and_traverse():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4)).astype(np.float32)
