@@ -403,16 +403,17 @@ def unpacked(parts: tuple[str, list[bytes]]) -> np.ndarray:
     return _COUNTS[name]
 
 
-def fit_mixer(table: DataFrame, code: Code, shared, tasks: int, cap: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def fit_mixer(table: DataFrame, code: Code, shared, tasks: int) -> tuple[np.ndarray, np.ndarray]:
     """Weights and map: each task learns online from its share, then they are averaged.
 
-    A key that occurs often counts ``cap`` times at most here, so that few tokens don't take over.
+    Keys weigh as often as they occur. A step is divided by the weight of its group, so it is the same
+    for a corpus many times as large.
     """
 
     def run(frames):
         mixer, counts = Mixer(), unpacked(shared.value)
         for keys, c in gathered(frames):
-            for slots, turn, weight, first in weighted_events(keys, np.minimum(c, cap), code, 16_000):
+            for slots, turn, weight, first in weighted_events(keys, c, code, 16_000):
                 x, seen = inputs(counts, slots, turn)
                 mixer.learn(x, gate_of(seen, first), turn.astype(np.int64), weight)
         if mixer.load.any():

@@ -287,6 +287,20 @@ def test_word_order_counts(spark):
     assert np.mean([v for i, v in rows.items() if i < 1000]) > 0.7 * np.mean([v for i, v in rows.items() if i >= 1000])
 
 
+def test_weights_do_not_depend_on_the_size_of_the_corpus(spark):
+    """The same shares of each key give the same weights, however often all of them occur."""
+    code = lm_scoring.Code([1] * 256)
+    counts = np.random.default_rng(3).integers(50, 90, (lm_scoring.SLOTS, 2)).astype(np.float32)
+    shared = spark.sparkContext.broadcast(lm_scoring.packed(counts))
+    keys = lm_scoring.word_keys([b"one", b"two", b"three", b"four"])
+
+    def weights(times):
+        rows = [(bytearray(k), times * c) for k, c in zip(keys, (1, 5, 40, 200, 900), strict=True)]
+        return lm_scoring.fit_mixer(spark.createDataFrame(rows, "key binary, c long").coalesce(1), code, shared, 1)[0]
+
+    assert np.allclose(weights(1), weights(1000), rtol=1e-6)
+
+
 def test_shared_beginnings_with_the_word_before():
     rng = random.Random(9)
     tokens = [bytes(rng.choice(b"abc.") for _ in range(rng.randrange(1, 50))) for _ in range(300)]
