@@ -13,8 +13,8 @@ banded bit-parallel edit distance, many pairs at a time. Equal lines are one lin
 are counted inside tasks before any shuffle. Lines go by 64-bit hashes; their text is fetched
 only for candidates.
 
-Edge cases: null and empty texts have no lines that count; lines of fewer than ``least_words``
-words never count as repeated; rows that repeat id and text are one document; null ids come
+Edge cases: null and empty texts have no lines that count; blank lines never count as repeated, nor
+lines of fewer than ``least_words`` words (1: all others count); rows that repeat id and text are one document; null ids come
 first in the order; an empty table gives no rows; further columns are carried on by ``keep`` and
 not read by ``dedup``. A line of any length is compared whole.
 """
@@ -343,7 +343,7 @@ def line_links(docs: DataFrame, least_words: int, edit_chars: int, edits: int) -
     return stored(direct.unionByName(dealt.mapInPandas(run, "a long, b long")))
 
 
-def repeated(docs: DataFrame, edits: int = 2, edit_chars: int = 64, least_words: int = 3) -> DataFrame:
+def repeated(docs: DataFrame, edits: int = 2, edit_chars: int = 64, least_words: int = 1) -> DataFrame:
     """``lid``, ``doc``, ``line``: of each line that isn't alone in its kind, where the kind's
     first line is."""
     found = stored(first_lines(docs, least_words))
@@ -397,7 +397,7 @@ def _dropped(docs: DataFrame, table: DataFrame, least_words: int) -> DataFrame:
     return seen.where("d <> doc or i <> line").groupBy("k").agg(F.collect_set("i").alias("drop"))
 
 
-def with_deduped(docs: DataFrame, edits: int = 2, edit_chars: int = 64, least_words: int = 3, most: int = MOST) -> DataFrame:
+def with_deduped(docs: DataFrame, edits: int = 2, edit_chars: int = 64, least_words: int = 1, most: int = MOST) -> DataFrame:
     """``docs`` with a column ``_lexiloom_lines``: ``struct<text, n_lines, n_kept>``."""
     table = repeated(docs, edits, edit_chars, least_words)
     if table.count() <= most:

@@ -225,6 +225,17 @@ def test_line_dedup(spark, odd, empty, monkeypatch):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_short_lines_and_lines_without_blanks_are_deduped(spark):
+    """By default, every line with a non-blank character counts."""
+    url = "https://example.org/" + "".join("%x" % (i * 7 % 16) for i in range(60))
+    docs = [(1, "Menu\n\n  \n漢字漢字\nabout us"), (2, "Menu\n\n  \nnew\n漢字漢字"), (3, url + "\nabout us"), (4, url[:40] + "x" + url[41:] + "\nMenu\nMenu")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    want = {1: docs[0][1], 2: "\n  \nnew", 3: url, 4: ""}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(frame).collect()} == want
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(frame, most=0).collect()} == want
+    assert {r["doc_id"]: r["text"] for r in line_dedup.keep(frame).collect()} == {k: v for k, v in want.items() if v}
+
+
 def test_lm_scores(spark, odd, empty):
     texts = family(20)
     docs = list(enumerate(texts))
