@@ -315,7 +315,7 @@ def word_keys(tokens: list[bytes]) -> list[bytes]:
 
 
 def token_counts(train: DataFrame, most: int = 400_000) -> DataFrame:
-    """``token``, ``key`` and ``c``: how often each key occurs in the training texts."""
+    """``key`` and ``c``: how often each key occurs in the training texts."""
 
     def run(frames):
         seen: Counter = Counter()
@@ -332,8 +332,7 @@ def token_counts(train: DataFrame, most: int = 400_000) -> DataFrame:
         if seen:
             yield rows()
 
-    parts = train.mapInPandas(run, "key binary, c long").groupBy("key").agg(F.sum("c").alias("c"))
-    return parts.select(F.expr(f"substring(key, {LEAD + 2})").alias("token"), "key", "c")
+    return train.mapInPandas(run, "key binary, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def byte_code(by_token: DataFrame) -> Code:
@@ -366,17 +365,17 @@ def context_counts(table: DataFrame, code: Code, tasks: int) -> np.ndarray:
         for at in range(0, 2 * SLOTS, BLOCK):
             block = counts[at : at + BLOCK]
             if block.any():
-                yield pd.DataFrame({"block": [at // BLOCK], "counts": [block.tobytes()]})
+                yield pd.DataFrame({"block": [at // BLOCK], "counts": [zlib.compress(block.tobytes(), 1)]})
 
     def add(pdf):
-        total = np.sum([np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["counts"]], axis=0)
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "counts": [total.astype(np.float32).tobytes()]})
+        total = np.sum([np.frombuffer(zlib.decompress(x), np.float32).astype(np.float64) for x in pdf["counts"]], axis=0)
+        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "counts": [zlib.compress(total.astype(np.float32).tobytes(), 1)]})
 
-    dealt = table.select("key", "c").repartition(tasks)
+    dealt = table.select("key", "c").coalesce(tasks)  # keys are dealt by their hash already
     blocks = dealt.mapInPandas(run, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
     out = np.zeros(2 * SLOTS, np.float32)
     for row in blocks.collect():  # a table of fixed size, whatever the corpus
-        out[row["block"] * BLOCK : row["block"] * BLOCK + BLOCK] = np.frombuffer(row["counts"], np.float32)
+        out[row["block"] * BLOCK : row["block"] * BLOCK + BLOCK] = np.frombuffer(zlib.decompress(row["counts"]), np.float32)
     return out.reshape(SLOTS, 2)
 
 
@@ -419,7 +418,7 @@ def fit_mixer(table: DataFrame, code: Code, shared, tasks: int) -> tuple[np.ndar
         if mixer.load.any():
             yield pd.DataFrame({"weights": [mixer.weights.tobytes()], "load": [mixer.load.tobytes()], "hits": [mixer.hits.tobytes()]})
 
-    rows = table.select("key", "c").repartition(tasks).mapInPandas(run, "weights binary, load binary, hits binary").collect()
+    rows = table.select("key", "c").coalesce(tasks).mapInPandas(run, "weights binary, load binary, hits binary").collect()
     total, load, hits = np.zeros((GATES, CONTEXTS)), np.zeros(GATES), np.zeros((GATES, CELLS, 2))
     for row in rows:
         n = np.frombuffer(row["load"])
@@ -441,7 +440,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2, memory: int = 1_000_00
     spark = docs.sparkSession
     base = texts(docs).withColumn("held_out", crc_bucket(F.col("doc_id"), folds) == held)
     table = stored(token_counts(base.where(~F.col("held_out"))))
-    by_token = stored(table.groupBy("token").agg(F.sum("c").alias("c")))
+    by_token = stored(table.groupBy(F.expr(f"substring(key, {LEAD + 2})").alias("token")).agg(F.sum("c").alias("c")))
     facts = by_token.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
     n, v = int(facts["n"]), int(facts["v"])
     tasks = int(min(most_tasks, max(6, table.count() // 5_000_000)))
