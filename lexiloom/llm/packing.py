@@ -24,7 +24,7 @@ from . import word_tokenizer
 from .common import stored, texts
 
 
-def token_table(docs: DataFrame, path: str, end_id: int = 1, batch: int = 200) -> DataFrame:
+def token_table(docs: DataFrame, path: str, end_id: int = 1, batch: int = 500) -> DataFrame:
     """``doc_id``, ``part``, ``before`` (ids of the partition before the document's),
     ``n_tokens`` and ``ids`` (binary, two bytes an id if the vocabulary allows)."""
 

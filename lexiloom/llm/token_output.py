@@ -76,7 +76,7 @@ def best_fit(sizes: list[int], length: int) -> list[list[int]]:
     return bins
 
 
-def matrices(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, pad_id: int = 0, shard_tokens: int = 1 << 22, batch: int = 200) -> DataFrame:
+def matrices(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, pad_id: int = 0, shard_tokens: int = 1 << 22, batch: int = 500) -> DataFrame:
     """One row per sequence: ``part``, ``shard``, ``row``, ``n_tokens``, ``ids`` (``length``
     unsigned 32-bit ids, padded), ``cu_seqlens``, ``position_ids`` (as ``ids``), and of each
     segment ``doc_ids`` and ``starts`` (ids of its document before it)."""
