@@ -15,13 +15,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch; documents can be long, so far below Spark's default.
-BATCH_ROWS = 1000
+#: Rows in one Arrow batch.
+BATCH_ROWS = 20_000
+#: Bytes in one: texts can be long, rows of numbers are short.
+BATCH_BYTES = 4 << 20
 
 
 def tune(spark: SparkSession) -> SparkSession:
     """Bound the memory that an Arrow batch of long texts takes in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -41,10 +44,13 @@ def texts(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where that setting is absent, as in tests, a local folder is made.
+    Only where that setting is absent and everything runs on this machine, as in tests, a local
+    folder is made.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = getattr(spark, "_lexiloom_scratch", None)
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="lexiloom-")

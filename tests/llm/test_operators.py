@@ -176,16 +176,46 @@ def test_banded_distance_and_segment_keys():
     rng = random.Random(3)
     a = ["".join(rng.choice("abé ") for _ in range(rng.randrange(70))) for _ in range(600)]
     b = [mutated(rng, x, rng.randrange(6)) for x in a]
-    for edits in (1, 2, 3):
-        want = [levenshtein(x, y) <= edits for x, y in zip(a, b, strict=True)]
+    for edits in (((1, 1),), ((1, 2),), ((1, 3),), ((5, 1), (20, 2), (35, 3), (50, 4))):
+        most = [line_dedup.allowed(min(len(x), len(y)), edits) for x, y in zip(a, b, strict=True)]
+        want = [levenshtein(x, y) <= k for x, y, k in zip(a, b, most, strict=True)]
         assert line_dedup.within(a, b, edits).tolist() == want
+        lines, plans = sorted({*a, *b} - {""}), line_dedup.Plans(edits)
+        key, owner = line_dedup.keys(lines, plans)
+        index, all_keys = collections.defaultdict(set), collections.defaultdict(set)
+        for k, i in zip(key.tolist(), owner.tolist(), strict=True):
+            all_keys[lines[i]].add(k >> 1)
+            if not k & 1:
+                index[lines[i]].add(k >> 1)
         for x, y, near in zip(a, b, want, strict=True):
-            if near and min(len(x), len(y)) > 8:
+            if near and min(len(x), len(y)) > 8 and x != y:
                 short, long = sorted((x, y), key=len)
-                assert set(line_dedup.keys(short, edits)[: edits + 1]) & set(line_dedup.keys(long, edits))
+                assert index[short] & all_keys[long]
+        bag = line_dedup.bags(lines)
+        for x, y in zip(a, b, strict=True):
+            if x and y:
+                i, j = lines.index(x), lines.index(y)
+                assert abs(bag[i] - bag[j]).sum() <= 2 * levenshtein(x, y)
 
 
-def expected_lines(docs, edits=2, edit_chars=20, least=3):
+def test_long_near_equal_lines_in_bounded_memory(spark):
+    """2,000 lines of 5,000 characters within one edit of another, under a limit of memory."""
+    import tracemalloc
+
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(5000))
+    lines = [base[:at] + "#" + base[at + 1 :] for at in range(0, 5000, 10)] * 4
+    tracemalloc.start()
+    assert line_dedup.within(lines, lines[1:] + lines[:1]).all()
+    line_dedup.bags(lines)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    docs = spark.createDataFrame([(i, x + "%d" % i) for i, x in enumerate(lines[:400])], "doc_id long, text string").repartition(4)
+    assert line_dedup.dedup(docs).where("n_kept > 0").count() == 1
+
+
+def expected_lines(docs, edits=line_dedup.EDITS, least=1):
     lines = {}
     for d, t in docs:
         for i, x in enumerate((t or "").split("\n")):
@@ -200,7 +230,8 @@ def expected_lines(docs, edits=2, edit_chars=20, least=3):
 
     for x in lines:
         for y in lines:
-            if min(len(x), len(y)) >= edit_chars and abs(len(x) - len(y)) <= edits and root(x) != root(y) and levenshtein(x, y) <= edits:
+            most = line_dedup.allowed(min(len(x), len(y)), edits)
+            if abs(len(x) - len(y)) <= most and root(x) != root(y) and levenshtein(x, y) <= most:
                 a, b = sorted((root(x), root(y)), key=lines.get)
                 up[b] = a
     return {d: "\n".join(x for i, x in enumerate((t or "").split("\n")) if not (x in lines and lines[root(x)] != (d, i))) for d, t in docs}
@@ -212,8 +243,8 @@ def test_line_dedup(spark, odd, empty, monkeypatch):
     docs = [(i, "\n".join(mutated(rng, rng.choice(base), rng.randrange(4)) if rng.random() < 0.7 else "some unique line %d %d here" % (i, k) for k in range(4))) for i in range(60)]
     docs += [(100, docs[3][1]), (101, ""), (102, "a b\na b")]
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    want = expected_lines(docs)
-    options = {"edits": 2, "edit_chars": 20, "least_words": 3}
+    options = {"edits": ((20, 2),), "least_words": 3}
+    want = expected_lines(docs, ((20, 2),), 3)
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(frame, **options).collect()} == want
     assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(frame, most=0, **options).collect()} == want  # by joins
     kept = {r["doc_id"]: r["text"] for r in line_dedup.keep(frame, **options).collect()}
@@ -225,6 +256,19 @@ def test_line_dedup(spark, odd, empty, monkeypatch):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_line_dedup_as_in_production(spark, monkeypatch):
+    """The query's own thresholds, over lines of 10 to 450 characters, against brute force."""
+    rng = random.Random(15)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (10, 23, 25, 40, 63, 64, 66, 100, 159, 162, 200, 399, 402, 450)]
+    docs = [(i, "\n".join(mutated(rng, rng.choice(base), rng.randrange(5)) for _ in range(3))) for i in range(50)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = expected_lines(docs)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(frame).collect()} == want
+    monkeypatch.setattr(line_dedup, "FEW", 2)
+    monkeypatch.setattr(line_dedup, "BLOCK", 5)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup(frame).collect()} == want
+
+
 def test_short_lines_and_lines_without_blanks_are_deduped(spark):
     """By default, every line with a non-blank character counts."""
     url = "https://example.org/" + "".join("%x" % (i * 7 % 16) for i in range(60))
