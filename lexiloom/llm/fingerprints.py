@@ -7,6 +7,11 @@ and sample. With weight w: t = floor(ln w / r + b), ln a = ln c - r (t - b) - r;
 similarity, so the share of equal samples estimates it. A fingerprint is one 16-bit digit per
 sample, in hexadecimal.
 
+The draws come from three exponentials E, X and q: c = E + X and r = s + q, both Gamma(2, 1), with
+s = ln(c / E), and b = q / r. So a term of weight 1 has t = 0 and a = E, which rises with the hash
+itself: of all such terms the least hash wins, and nothing else is computed for them. That s is an
+exponential independent of c follows from the joint density E e^s exp(-E e^s) of E and s.
+
 ``with_edited`` also fingerprints each text after its second half is replaced by the beginning of
 the next document. Documents are dealt by ranges of their ids; the first ones of each range also go
 to the range before, so no task needs more than its own rows.
@@ -31,31 +36,56 @@ from pyspark.sql import functions as F
 from .common import mix64, texts, tokens_of
 
 SAMPLES = 128
-_SEEDS = mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_STEP = np.uint64(0xD1342543DE82EF95)
-_TABLES: list[np.ndarray] = []
+_SEEDS = (mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+#: Repeated terms whose draws a worker remembers, 1.5 KB each.
+MEMORY = 12_000
+
+
+def mix32(x: np.ndarray) -> np.ndarray:
+    """The finalizer of a 32-bit hash, in place."""
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    return x
+
+
+def exponential(v: np.ndarray) -> np.ndarray:
+    """Exp(1) by its quantiles, rising with the hash."""
+    return -np.log1p(-(v.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32 * (1 - 2.0**-20)))
+
+
+def draws(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, ln c and b from the hashes of terms and samples."""
+    e, x, q = exponential(v), exponential(mix32(v + np.uint32(0x9E3779B9))), exponential(mix32(v + np.uint32(0x7F4A7C15)))
+    ln_c = np.log(e + x)
+    r = ln_c - np.log(e) + q
+    return r, ln_c, q / r
+
+
+class Draws:
+    """The draws of repeated terms, kept from batch to batch up to ``MEMORY`` of them."""
 
+    def __init__(self):
+        self.rows: dict[bytes, int] = {}
+        self.values = np.empty((3, 256, SAMPLES), np.float32)
 
-def gamma_quantiles(bits: int) -> np.ndarray:
-    """Middle quantiles of Gamma(2, 1), whose distribution is 1 - (1 + x) exp(-x), by bisection."""
-    u = (np.arange(1 << bits) + 0.5) / (1 << bits)
-    lo, hi = np.zeros(len(u)), np.full(len(u), 50.0)
-    for _ in range(48):
-        mid = (lo + hi) / 2
-        below = -np.expm1(-mid) - mid * np.exp(-mid) < u
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    return hi
+    def of(self, terms: list[bytes], v: np.ndarray) -> np.ndarray:
+        """Rows of the terms, whose hashes are ``v``."""
+        if len(self.rows) > MEMORY:
+            self.__init__()
+        new = [i for i, t in enumerate(terms) if t not in self.rows]
+        if new:
+            at = len(self.rows)
+            while at + len(new) > self.values.shape[1]:
+                self.values = np.concatenate([self.values, np.empty_like(self.values)], axis=1)
+            self.values[:, at : at + len(new)] = draws(v[new])
+            self.rows.update((terms[i], at + k) for k, i in enumerate(new))
+        return np.fromiter(map(self.rows.__getitem__, terms), np.int64, len(terms))
 
 
-def draws(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c and b of each sample (rows) and term, from 16, 20 and 24 bits of one hash."""
-    if not _TABLES:
-        _TABLES.extend((gamma_quantiles(16).astype(np.float32), np.log(gamma_quantiles(20)).astype(np.float32)))
-    x = mix64(terms[None, :] ^ _SEEDS[:, None])
-    r = _TABLES[0][(x >> np.uint64(48)).astype(np.int32)]
-    ln_c = _TABLES[1][((x >> np.uint64(28)) & np.uint64(0xFFFFF)).astype(np.int32)]
-    b = (((x >> np.uint64(4)) & np.uint64(0xFFFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
-    return r, ln_c, b
+_DRAWS = Draws()
 
 
 def _least(batch: list[dict]) -> tuple[np.ndarray, np.ndarray]:
@@ -65,55 +95,37 @@ def _least(batch: list[dict]) -> tuple[np.ndarray, np.ndarray]:
     index = {t: i for i, t in enumerate(dict.fromkeys(t for c in batch for t in c))}
     if not index:
         return least, out
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
-    r, ln_c, b = draws(hashes)
-    once = ln_c + r * b - r
-    each = np.arange(SAMPLES)
+    terms = list(index)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, terms), np.uint64, len(terms))
+    folded = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    v = mix32(folded[:, None] ^ _SEEDS)
+    repeated = np.unique([index[t] for c in batch for t, w in c.items() if w > 1]).astype(np.int64)
+    rows = np.full(len(terms), -1)
+    rows[repeated] = _DRAWS.of([terms[i] for i in repeated], v[repeated])
+    r, ln_c, b = _DRAWS.values
     for k, counter in enumerate(batch):
         if not counter:
             continue
         at = np.fromiter(map(index.__getitem__, counter), np.int64, len(counter))
         w = np.fromiter(counter.values(), np.float32, len(counter))
-        a, t = once[:, at], None
-        more = np.flatnonzero(w > 1)
+        once, more = at[w == 1], at[w > 1]
+        low, level, a = np.full(SAMPLES, 0xFFFFFFFF, np.uint32), np.zeros(SAMPLES, np.uint64), np.full(SAMPLES, np.inf, np.float32)
+        if len(once):
+            low = v[once].min(axis=0)
+            a = np.log(exponential(low))
         if len(more):
-            rm, bm = r[:, at[more]], b[:, at[more]]
-            t = np.floor(np.log(w[more]) / rm + bm)
-            a[:, more] = ln_c[:, at[more]] - rm * (t - bm) - rm
-        best = a.argmin(axis=1)
-        level = np.zeros(SAMPLES, np.uint64)
-        if t is not None:
-            place = np.searchsorted(more, best)
-            place[place == len(more)] = 0
-            hit = more[place] == best
-            level[hit] = t[each[hit], place[hit]].astype(np.int64).astype(np.uint64)
-        digit = mix64(hashes[at[best]] + level * _STEP) & np.uint64(0xFFFF)
-        least[k], out[k] = a[each, best], np.where(digit == 0xFFFF, 0, digit)
-    return least, out
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, index), np.uint64, len(index))
-    r, ln_c, b = draws(hashes)
-    once = ln_c + r * b - r
-    each = np.arange(SAMPLES)
-    for k, counter in enumerate(batch):
-        if not counter:
-            continue
-        at = np.fromiter(map(index.__getitem__, counter), np.int64, len(counter))
-        w = np.fromiter(counter.values(), np.float32, len(counter))
-        a, t = once[at], None
-        more = np.flatnonzero(w > 1)
-        if len(more):
-            rm, bm = r[at[more]], b[at[more]]
-            t = np.floor(np.log(w[more])[:, None] / rm + bm)
-            a[more] = ln_c[at[more]] - rm * (t - bm) - rm
-        best = a.argmin(axis=0)
-        level = np.zeros(SAMPLES, np.uint64)
-        if t is not None:
-            place = np.searchsorted(more, best)
-            place[place == len(more)] = 0
-            hit = more[place] == best
-            level[hit] = t[place[hit], cols[hit]].astype(np.int64).astype(np.uint64)
-        digit = mix64(hashes[at[best]] + level * _STEP) & np.uint64(0xFFFF)
-        least[k], out[k] = a[best, cols], np.where(digit == 0xFFFF, 0, digit)
+            own = rows[more]
+            rm, bm = r[own], b[own]
+            t = np.floor(np.log(w[w > 1])[:, None] / rm + bm)
+            am = ln_c[own] - rm * (t - bm + 1)
+            best = am.argmin(axis=0)
+            each = np.arange(SAMPLES)
+            less = am[best, each] < a
+            a = np.where(less, am[best, each], a)
+            low = np.where(less, v[more[best], each], low)
+            level = np.where(less, t[best, each], 0).astype(np.int64).astype(np.uint64)
+        digit = mix64(low.astype(np.uint64) + (level << np.uint64(32))) & np.uint64(0xFFFF)
+        least[k], out[k] = a, np.where(digit == 0xFFFF, 0, digit)
     return least, out
 
 
@@ -151,7 +163,7 @@ def text_of(row: np.ndarray) -> str:
     return row.astype(">u2").tobytes().hex()
 
 
-def fingerprint(docs: DataFrame, batch: int = 64) -> DataFrame:
+def fingerprint(docs: DataFrame, batch: int = 128) -> DataFrame:
     """``doc_id`` and ``fingerprint`` of each text: a map without a shuffle."""
 
     def run(frames):
@@ -168,7 +180,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-def with_edited(docs: DataFrame, parts: int | None = None, batch: int = 64) -> DataFrame:
+def with_edited(docs: DataFrame, parts: int | None = None, batch: int = 128) -> DataFrame:
     """``doc_id``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``,
     ``near_edited``, ``near_next``."""
     spark = docs.sparkSession
@@ -199,12 +211,18 @@ def with_edited(docs: DataFrame, parts: int | None = None, batch: int = 64) -> D
     def deal(frames):
         for pdf in frames:
             ids = ids_of(pdf)
-            yield pdf.assign(part=np.searchsorted(borders, ids, "right").astype(np.int32), ghost=False)
+            yield pdf.assign(part=named[np.searchsorted(borders, ids, "right")], ghost=False)
             first = np.fromiter((i in before for i in ids.tolist()), bool, len(ids))
             if first.any():
-                yield pdf[first].assign(part=np.fromiter((before[i] for i in ids[first].tolist()), np.int32), ghost=True)
-
-    kinds = "doc_id long, text string, part int, ghost boolean"
+                yield pdf[first].assign(part=named[np.fromiter((before[i] for i in ids[first].tolist()), np.int64)], ghost=True)
+
+    # ranges are named by numbers that Spark deals to different tasks
+    names, number, place = {}, F.col("id"), F.pmod(F.hash("id"), F.lit(parts))
+    for row in spark.range(0, 30 * parts, 1, 1).groupBy(place.alias("p")).agg(F.min(number).alias("name")).collect():
+        names[row["p"]] = row["name"]
+    spare = iter(range(30 * parts, 31 * parts))
+    named = np.array([names[p] if p in names else next(spare) for p in range(parts)], np.int64)
+    kinds = "doc_id long, text string, part long, ghost boolean"
     dealt = base.mapInPandas(deal, kinds).repartition(parts, "part").sortWithinPartitions("part", "ghost", "doc_id", "text")
 
     def edit(text: str, nxt: str) -> str:
