@@ -7,11 +7,14 @@ as the empty text.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,6 +107,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def cuts(values: list[str], rows: int, chars: int = 1 << 19):
+    """Ranges of texts: of at most so many rows, and of about so many characters."""
+    lo, size = 0, 0
+    for i, t in enumerate(values):
+        if i > lo and (i - lo >= rows or size + len(t) > chars):
+            yield lo, i
+            lo, size = i, 0
+        size += len(t)
+    if lo < len(values):
+        yield lo, len(values)
+
+
+def lean(run):
+    """A task's function that gives its memory back when it ends: Python workers outlive their tasks, and
+    an executor has several."""
+
+    @functools.wraps(run)
+    def wrapped(frames):
+        try:
+            yield from run(frames)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):
+                pass  # another C library
+
+    return wrapped
+
+
 def crc_of(data: bytes) -> int:
     return zlib.crc32(data) & 0xFFFFFFFF
 

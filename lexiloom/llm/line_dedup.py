@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, stored, texts
+from .common import lean, mix64, stored, texts
 from .components import Forest, components
 from .words import powers, spread
 
@@ -257,7 +257,7 @@ def first_lines(docs: DataFrame, least_words: int, most: int = 500_000) -> DataF
         if held:
             yield pd.DataFrame(dict(zip(("lid", "doc", "line", "n"), rows(), strict=True)))
 
-    parts = texts(docs).mapInPandas(run, "lid long, doc long, line long, n long")
+    parts = texts(docs).mapInPandas(lean(run), "lid long, doc long, line long, n long")
     return parts.groupBy("lid").agg(F.min(F.struct("doc", "line")).alias("first"), F.sum("n").alias("n"))
 
 
@@ -312,7 +312,7 @@ def spread_keys(docs: DataFrame, least_words: int, edits) -> DataFrame:
                 key, owner = keys([lines[i] for i in part], plans)
                 yield batch(key, ids[part][owner])
 
-    return texts(docs).select("text").mapInArrow(run, "key long, a long, b long")
+    return texts(docs).select("text").mapInArrow(lean(run), "key long, a long, b long")
 
 
 def candidate_edges(docs: DataFrame, least_words: int, edits) -> DataFrame:
@@ -388,7 +388,7 @@ def candidate_edges(docs: DataFrame, least_words: int, edits) -> DataFrame:
             if len(pdf):
                 yield pa.RecordBatch.from_pandas(pdf, preserve_index=False)
 
-    return ordered.mapInArrow(arrow, "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    return ordered.mapInArrow(lean(arrow), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 
 def lines_of(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
@@ -411,7 +411,7 @@ def lines_of(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
             if len(at):
                 yield pd.DataFrame({"lid": ids[at], "line": [lines[i] for i in at]})
 
-    rows = texts(docs).select("text").mapInPandas(run, "lid long, line string")
+    rows = texts(docs).select("text").mapInPandas(lean(run), "lid long, line string")
     if not few:
         rows = rows.join(wanted.toDF("lid"), "lid", "left_semi")
     return rows.groupBy("lid").agg(F.first("line").alias("line"))
@@ -472,7 +472,7 @@ def line_links(docs: DataFrame, least_words: int, edits) -> DataFrame:
         for pdf in frames:
             yield pdf.loc[within(pdf["la"].tolist(), pdf["lb"].tolist(), edits), ["a", "b"]]
 
-    direct = stored(pairs.mapInPandas(verify, "a long, b long"))
+    direct = stored(pairs.mapInPandas(lean(verify), "a long, b long"))
     linked = components(direct).withColumnRenamed("component", "kind")
     family = components(edges.where("sure").select("a", "b")).join(linked, "node", "left").select("node", F.col("component").alias("f"), F.coalesce("kind", "node").alias("kind"))
     # the largest linked part of each family, where it is not all of it
@@ -507,7 +507,7 @@ def line_links(docs: DataFrame, least_words: int, edits) -> DataFrame:
         if len(held) > 1:
             yield pd.DataFrame(links(), columns=["a", "b"]).astype("int64")
 
-    return stored(direct.unionByName(dealt.mapInPandas(run, "a long, b long")))
+    return stored(direct.unionByName(dealt.mapInPandas(lean(run), "a long, b long")))
 
 
 def repeated(docs: DataFrame, edits=EDITS, least_words: int = 1) -> DataFrame:
@@ -560,7 +560,7 @@ def _dropped(docs: DataFrame, table: DataFrame, least_words: int) -> DataFrame:
             yield pd.DataFrame({"k": pdf["k"].to_numpy()[owner], "d": ids[owner], "i": number, "l": line_ids(lines)})
 
     keyed = texts(docs).withColumn("k", F.xxhash64("doc_id", "text"))
-    seen = keyed.mapInPandas(run, "k long, d long, i long, l long").join(table, F.col("l") == F.col("lid"))
+    seen = keyed.mapInPandas(lean(run), "k long, d long, i long, l long").join(table, F.col("l") == F.col("lid"))
     return seen.where("d <> doc or i <> line").groupBy("k").agg(F.collect_set("i").alias("drop"))
 
 

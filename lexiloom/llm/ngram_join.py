@@ -27,38 +27,43 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, small_side, stored, texts, tokens_of
+from .common import cuts, lean, mix64, small_side, stored, texts
 from .components import Forest, components
+from .words import Words
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_WORDS: dict[bytes, int] = {}
 #: Signatures of more classes than this tie each class to the first instead of giving pairs.
 FEW = 48
 BLOCK = 512
 
 
+def shingle_sets(values: list[str], n: int, rows: int = 512):
+    """Of each text the distinct hashes of its n-word shingles, rising; a text with fewer words has one
+    hash of its whole sequence, one without words none."""
+    for lo, hi in cuts(values, rows):
+        words = Words([t.encode("utf-8", "replace") for t in values[lo:hi]])
+        h, first = words.hash, words.first
+        out = np.zeros(max(0, len(h) - n + 1), np.uint64)
+        for k in range(n):
+            out = mix64(out * _A + h[k : len(h) - n + 1 + k]) if len(out) else out
+        for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if z - a >= n:
+                s = np.sort(out[a : z - n + 1])
+                yield s[np.r_[True, s[1:] != s[:-1]]]
+            elif z > a:
+                whole = np.array([z - a], np.uint64) * _B
+                for x in h[a:z]:
+                    whole = mix64(whole * _A + x)
+                yield whole
+            else:
+                yield np.zeros(0, np.uint64)
+
+
 def shingle_set(text: str, n: int) -> np.ndarray:
-    """Distinct hashes of the text's n-word shingles, rising."""
-    words = tokens_of(text)
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < n:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), len(words))], np.uint64)
-    memo = _WORDS
-    if len(memo) > 400_000:
-        memo.clear()
-    for w in set(words):
-        if w not in memo:
-            memo[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    out = np.zeros(len(words) - n + 1, np.uint64)
-    for k in range(n):
-        out = mix64(out * _A + h[k : len(h) - n + 1 + k])
-    return np.unique(out)
+    return next(shingle_sets([text], n))
 
 
 def class_of(tokens: np.ndarray) -> int:
@@ -153,8 +158,7 @@ def sets(docs: DataFrame, rule: Rule, share: float) -> DataFrame:
         seen: set[int] = set()
         for pdf in frames:
             size, cls = [], []
-            for text in pdf["text"]:
-                s = shingle_set(text, rule.n)
+            for s in shingle_sets(pdf["text"].tolist(), rule.n):
                 c = class_of(s)
                 size.append(len(s))
                 cls.append(c)
@@ -164,13 +168,13 @@ def sets(docs: DataFrame, rule: Rule, share: float) -> DataFrame:
                     kept += len(s)
                     rows += 1
             yield pd.DataFrame({"doc_id": pdf["doc_id"].array, "size": size, "cls": cls, "token": 0, "df": 0}).astype({"doc_id": "Int64"})
-            if kept > 8_000_000:
+            if kept > 3_000_000:
                 yield repeated()
                 held, kept, rows, seen = [], 0, 0, set()
         if held:
             yield repeated()
 
-    return texts(docs).mapInPandas(run, "doc_id long, size long, cls long, token long, df long")
+    return texts(docs).mapInPandas(lean(run), "doc_id long, size long, cls long, token long, df long")
 
 
 def frequent_tokens(counted: DataFrame, n_sets: int, share: float) -> np.ndarray:
@@ -193,14 +197,13 @@ def candidates(docs: DataFrame, rule: Rule, frequent) -> DataFrame:
         times: dict[int, list[int]] = {}
         for pdf in frames:
             out = []
-            for text in pdf["text"]:
-                s = shingle_set(text, rule.n)
+            for s in shingle_sets(pdf["text"].tolist(), rule.n):
                 if not len(s):
                     continue
                 c = class_of(s)
                 if c in seen:
                     continue
-                if len(seen) > 2_000_000:
+                if len(seen) > 500_000:
                     seen.clear()
                 seen.add(c)
                 hot = mask[(s & np.uint64((1 << 24) - 1)).astype(np.int64)]
@@ -216,7 +219,7 @@ def candidates(docs: DataFrame, rule: Rule, frequent) -> DataFrame:
                 for x in pairs.astype(np.int64).tolist():
                     held = times.get(x)
                     if held is None:
-                        if len(times) > 500_000:
+                        if len(times) > 200_000:
                             times.clear()
                         times[x] = [1, c]
                     elif held[0] >= FEW:
@@ -225,12 +228,12 @@ def candidates(docs: DataFrame, rule: Rule, frequent) -> DataFrame:
                     else:
                         held[0] += 1
                     out.append((1, x, c, 0, len(s), empty))
-                if len(out) > 200_000:
+                if len(out) > 60_000:
                     yield pd.DataFrame(out, columns=["kind", "sig", "a", "b", "size", "bits"])
                     out = []
             yield pd.DataFrame(out, columns=["kind", "sig", "a", "b", "size", "bits"])
 
-    return texts(docs).select("text").mapInPandas(run, "kind int, sig long, a long, b long, size long, bits binary")
+    return texts(docs).select("text").mapInPandas(lean(run), "kind int, sig long, a long, b long, size long, bits binary")
 
 
 def bucket_edges(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -281,7 +284,7 @@ def bucket_edges(rows: DataFrame, rule: Rule) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=["a", "b", "sure"])
 
-    return ordered.mapInPandas(run, "a long, b long, sure boolean")
+    return ordered.mapInPandas(lean(run), "a long, b long, sure boolean")
 
 
 def families(found: DataFrame, rule: Rule) -> DataFrame:
@@ -300,7 +303,7 @@ def families(found: DataFrame, rule: Rule) -> DataFrame:
             a, b = pdf["sa"].to_numpy(), pdf["sb"].to_numpy()
             yield pdf.loc[rule.linked((a + b - differ) // 2, a, b), ["a", "b"]]
 
-    close = pairs.mapInPandas(near, "a long, b long")
+    close = pairs.mapInPandas(lean(near), "a long, b long")
     return components(edges.where("sure").select("a", "b").unionByName(close))
 
 
@@ -345,8 +348,7 @@ def true_links(docs: DataFrame, named: DataFrame, family: DataFrame, rule: Rule,
         seen: set[int] = set()
         for pdf in frames:
             out = []
-            for text, cls, family_id, n in zip(pdf["text"], pdf["_cls"].tolist(), pdf["component"].tolist(), pdf["blocks"].tolist(), strict=True):
-                s = shingle_set(text, rule.n)
+            for s, cls, family_id, n in zip(shingle_sets(pdf["text"].tolist(), rule.n), pdf["_cls"].tolist(), pdf["component"].tolist(), pdf["blocks"].tolist(), strict=True):
                 if class_of(s) != cls or cls in seen:
                     continue  # another text under the same id, or a repeated row
                 seen.add(cls)
@@ -357,7 +359,7 @@ def true_links(docs: DataFrame, named: DataFrame, family: DataFrame, rule: Rule,
                     out = []
             yield pd.DataFrame(out, columns=["f", "i", "j", "cls", "data"])
 
-    dealt = found.mapInPandas(deal, "f long, i int, j int, cls long, data binary").repartition("f", "i", "j").sortWithinPartitions("f", "i", "j", "cls")
+    dealt = found.mapInPandas(lean(deal), "f long, i int, j int, cls long, data binary").repartition("f", "i", "j").sortWithinPartitions("f", "i", "j", "cls")
 
     def run(frames):
         at, cls, data, out = None, [], [], []
@@ -378,7 +380,7 @@ def true_links(docs: DataFrame, named: DataFrame, family: DataFrame, rule: Rule,
         if out:
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    return dealt.mapInPandas(run, "a long, b long")
+    return dealt.mapInPandas(lean(run), "a long, b long")
 
 
 def _joined(docs: DataFrame, rule: Rule, frequent_share: float) -> tuple[DataFrame, DataFrame]:
@@ -418,7 +420,7 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, frequen
 
     @F.pandas_udf("long")
     def class_column(values: pd.Series) -> pd.Series:
-        found = [shingle_set(t or "", n) for t in values]
+        found = list(shingle_sets([t or "" for t in values], n))
         return pd.Series([class_of(s) if len(s) else None for s in found], index=values.index, dtype="Int64")
 
     marked = docs.withColumn(name, class_column(F.coalesce(F.col("text").cast("string"), F.lit(""))))

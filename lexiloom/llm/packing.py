@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import word_tokenizer
-from .common import stored, texts
+from .common import cuts, lean, stored, texts
 
 
 def token_table(docs: DataFrame, path: str, end_id: int = 1, batch: int = 500) -> DataFrame:
@@ -32,15 +32,16 @@ def token_table(docs: DataFrame, path: str, end_id: int = 1, batch: int = 500) -
         bpe, part, before = word_tokenizer.loaded(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], bpe.dtype).tobytes()
         for pdf in frames:
-            for lo in range(0, len(pdf), batch):
-                rows = pdf.iloc[lo : lo + batch]
-                ids = [x.tobytes() + end for x in bpe.encode_batch(rows["text"].tolist())]
+            values = pdf["text"].tolist()
+            for lo, hi in cuts(values, batch):
+                rows = pdf.iloc[lo:hi]
+                ids = [x.tobytes() + end for x in bpe.encode_batch(values[lo:hi])]
                 n = np.fromiter(map(len, ids), np.int64, len(ids)) // len(end)
                 at = before + np.cumsum(n) - n
                 before += int(n.sum())
                 yield pd.DataFrame({"doc_id": rows["doc_id"].array, "part": part, "before": at, "n_tokens": n, "width": len(end), "ids": ids})
 
-    return texts(docs).mapInPandas(run, "doc_id long, part long, before long, n_tokens long, width int, ids binary")
+    return texts(docs).mapInPandas(lean(run), "doc_id long, part long, before long, n_tokens long, width int, ids binary")
 
 
 def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1) -> DataFrame:
@@ -68,4 +69,4 @@ def pack(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1) -> Dat
                     start += size
             yield pd.DataFrame(out).astype({"doc_id": "Int64"})
 
-    return table.mapInPandas(run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, continues boolean, ids binary")
+    return table.mapInPandas(lean(run), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, continues boolean, ids binary")

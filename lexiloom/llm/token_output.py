@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from . import word_tokenizer
-from .common import texts
+from .common import cuts, lean, texts
 
 
 class CapacityTree:
@@ -95,9 +95,9 @@ def matrices(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, pa
     def run(frames):
         bpe, part, shard, held, pieces = word_tokenizer.loaded(path), TaskContext.get().partitionId(), 0, 0, []
         for pdf in frames:
-            for lo in range(0, len(pdf), batch):
-                rows = pdf.iloc[lo : lo + batch]
-                for doc, ids in zip(rows["doc_id"].array, bpe.encode_batch(rows["text"].tolist()), strict=True):
+            values = pdf["text"].tolist()
+            for lo, hi in cuts(values, batch):
+                for doc, ids in zip(pdf["doc_id"].array[lo:hi], bpe.encode_batch(values[lo:hi]), strict=True):
                     ids = np.append(ids, np.array([end_id], bpe.dtype))
                     doc = None if pd.isna(doc) else int(doc)
                     pieces += [(doc, s, ids[s : s + length]) for s in range(0, len(ids), length)]
@@ -109,7 +109,7 @@ def matrices(docs: DataFrame, path: str, length: int = 2048, end_id: int = 1, pa
             yield pack(part, shard, pieces)
 
     return texts(docs).mapInPandas(
-        run, "part int, shard int, row int, n_tokens int, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<long>"
+        lean(run), "part int, shard int, row int, n_tokens int, ids binary, cu_seqlens array<int>, position_ids binary, doc_ids array<long>, starts array<long>"
     )
 
 

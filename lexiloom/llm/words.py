@@ -19,7 +19,7 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Rising powers of the hash's base and of its inverse, ``n`` each."""
     if not _POWERS or len(_POWERS[0]) < n:
-        if n > 1 << 24:  # one very long text: not kept
+        if n > 1 << 21:  # very long texts: not kept
             return tuple(np.cumprod(np.full(n, m, np.uint64)) for m in (BASE, INVERSE))
         size = 1 << max(16, (n - 1).bit_length())
         _POWERS[:] = [np.cumprod(np.full(size, m, np.uint64)) for m in (BASE, INVERSE)]
