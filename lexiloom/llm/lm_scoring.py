@@ -1,504 +1,522 @@
-"""Language-model scoring by logistic context mixing.
-
-A text is a sequence of tokens (words, A-Z in lower case, then one end). Each token is spelt in bytes
-with a closing mark, each byte in the binary decisions of a Huffman code of the training bytes, and
-each decision is predicted from eight hashed contexts: the last one to four bytes, the token so
-far, and the token so far with the kind of the token before (none, one that ends with a period,
-question or exclamation mark, another), with its last byte, and with the whole token before. Each
-context keeps counts of zeros and ones in a table of fixed
-size; their logits are combined by weights that a gate picks (how often the longest contexts have been
-seen, and where in the token we are); the weights are learned online, each token being
-predicted from the counts without itself; an adaptive probability map refines the result. The
-logarithms add up to the probability of the text, and over its bytes to bits per byte.
-
-Training reads every training document. What a text adds to the model depends only on how often
-each (token before, token) occurs, so the corpus is first reduced to a table of these counts
-(pre-aggregated, then shuffled); the token before stands there as 32 bits of hash and its last byte; tables and weights are learned from that table in
-parallel and added up. The table grows with the corpus; the model, which is broadcast, does not.
-
-The base score needs the exact count of every token. The most frequent ones, 2^17 at most, are
-broadcast; the rest meet their counts in a shuffle join.
-
-Edge cases: a null or empty text is its end token alone; a null id is hashed as the empty text;
-repeated rows are learned and scored each; without training rows all counts are 0 and the model
-gives every decision one half; an empty table gives no rows; further columns are not read.
+"""Language-model scoring by online logistic context mixing.
+
+A text is a sequence of tokens (words, A-Z in lower case, then one end). Every token is a path of binary
+decisions. Tokens of the vocabulary (seen at least twice in training, the ``most_words`` most frequent
+ones if there are more) have a Huffman code by their counts, an escape among them; a token behind the
+escape is spelt in bytes with a closing mark, each byte by a Huffman code of bytes. So the paths of all
+tokens together are a probability over all token sequences.
+
+Each decision is predicted from several contexts. Of a word's code: none (the counts themselves), the
+token before, and the two before. Of a spelt byte: none, the last three bytes, the token so far, and
+the token so far with the token before. Contexts but the first are hashed, with the decision's place
+in the code, into tables that count zeros and ones. Their logits are added up under weights that a
+gate picks (how often the longer contexts have been seen, and whether a sentence or a token begins);
+an adaptive probability map refines the sum. The logarithms add up to the probability of a text, and
+over its bytes to bits per byte.
+
+Training reads every training text, in order and once: a group of tokens is predicted from what came
+before, weights and map learn from the errors, then the counts take the group in. Several tasks learn
+from their shares; their counts are added, their weights averaged by how much
+each gate was used. The tables' sizes follow the
+number of training tokens up to ``most_bits``, which bounds what is sent to executors; the table of token
+counts behind the base score is exact and has no bound: its most frequent tokens travel with the
+vocabulary, the rest meet the texts in a shuffle join.
+
+Tokens go by 64-bit hashes. Edge cases: a null or empty text is its end token alone; a null id is hashed
+as the empty text; repeated rows are learned and scored each; without training rows all counts are
+0 and every decision has one half; an empty table gives no rows; further columns are not read. Long
+texts are taken whole.
 """
 
 from __future__ import annotations
 
 import heapq
 import uuid
-import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, mix64, stored, texts, tokens_of
-
-END = b"\n"
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-#: Slots of each context's table, as powers of two.
-BITS = (16, 20, 20, 20, 20, 20, 20, 22)
-CONTEXTS = len(BITS)
-STARTS = np.concatenate([[0], np.cumsum([1 << b for b in BITS])]).astype(np.int64)
-SLOTS = int(STARTS[-1])
-BLOCK = 1 << 16
-#: Bytes that stand for the token before, ahead of its last byte.
-LEAD = 4
-#: Kind of a token by its last byte.
-_KINDS = np.full(256, ord("a"), np.uint64)
-_KINDS[list(b".!?")] = ord(".")
-_KINDS[END[0]] = END[0]
-#: Contexts that the gate looks at: the token so far with the token before, with its last byte, and alone.
-_GATED = (7, 6, 4)
-#: Four grades of how often each of the first two of these was seen and two of the third, in and after the first byte.
-GRADES = 4 * 4 * 2
-GATES = 2 * GRADES
-CELLS = 33
-_MARKS = (1.3, 3.3, 25.3)  # between counts, each with its 0.8 of smoothing
+from .common import crc_bucket, cuts, lean, mix64, stored, texts
+from .words import HashTable, Words, powers, spread
+
+#: Stands for the end in contexts and tables.
+END = int(mix64(np.array([0x454E44], np.uint64))[0])
+GATES, CELLS, SLOT_BLOCK = 32, 33, 1 << 15
+#: Steps of the mixed logit when scoring, and how far they reach.
+FINE, REACH = 4096, 12.0
+#: Grades of how often a context has been seen: never, once, up to 15 times, more.
+_SEEN = np.array([0.5, 1.5, 15.5], np.float32)
+#: Trained counts as one number: grade * 256 + logit in tenths + 128.
+_LOGIT = ((np.arange(1024) & 255) - 128).astype(np.float32) / 10
 
 
 class Code:
-    """Huffman code of the 256 bytes: for each its length and, one after another, the inner nodes
-    on its way and the turns there."""
+    """Huffman code of symbols: for each its length and, one after another, the inner nodes on its way
+    and the turns there; for each inner node the logit of a one by the weights."""
 
-    def __init__(self, weights: list[int]):
-        heap = [(int(w) + 1, i) for i, w in enumerate(weights)]  # every byte has a code
+    def __init__(self, weights):
+        weights = np.maximum(np.asarray(weights, np.float64), 0) + 0.5  # every symbol has a code
+        n = len(weights)
+        heap = [(w, i) for i, w in enumerate(weights.tolist())]
         heapq.heapify(heap)
-        children: list[tuple[int, int]] = []
-        while len(heap) > 1:
-            (u, x), (v, y) = heapq.heappop(heap), heapq.heappop(heap)
-            children.append((x, y))
-            heapq.heappush(heap, (u + v, 255 + len(children)))
-        ways: dict[int, list[tuple[int, int]]] = {heap[0][1]: []}
-        for n in range(len(children) - 1, -1, -1):
-            for turn, child in enumerate(children[n]):
-                ways[child] = [*ways[256 + n], (n + 1, turn)]
-        self.size = np.array([len(ways[i]) for i in range(256)], np.int64)
+        parent, turn = np.full(2 * n, -1, np.int64), np.zeros(2 * n, np.uint8)
+        self.static = np.zeros(max(1, n - 1), np.float32)
+        for k in range(n - 1):
+            u, x = heapq.heappop(heap)
+            v, y = heap[0]
+            heapq.heapreplace(heap, (u + v, n + k))
+            parent[x] = parent[y] = n + k
+            turn[y] = 1
+            self.static[k] = np.log(v / u)
+        self.size = np.zeros(n, np.int64)
+        up = parent[:n].copy()
+        while (up >= 0).any():
+            self.size += up >= 0
+            up = np.where(up >= 0, parent[up], -1)
         self.start = np.cumsum(self.size) - self.size
-        flat = [step for i in range(256) for step in ways[i]]
-        self.node = np.array([n for n, _ in flat], np.uint64)
-        self.turn = np.array([t for _, t in flat], np.uint8)
-
-
-def spelt(keys: list[bytes], lead: int = 0) -> list[bytes]:
-    """Keys (``lead`` bytes for the token before + its last byte + token) with the closing mark; the
-    end needs none."""
-    return [k if k[lead + 1 :] == END else k + b" " for k in keys]
-
-
-def events(keys: list[bytes], code: Code, shared: np.ndarray | None = None, lead: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Binary decisions of keys: slots [decisions, CONTEXTS], turns, the key each belongs to, its
-    byte's place in the token, and whether that is the first. shared: for each key the number of
-    leading bytes of its token whose decisions are left out."""
-    full = spelt(keys, lead)
-    size = np.fromiter(map(len, full), np.int64, len(full)) - 1 - lead
-    data = np.frombuffer(b"".join(full), np.uint8).astype(np.uint64)
-    first = np.cumsum(size + 1 + lead) - size  # place of each token's first byte
-    owner = np.repeat(np.arange(len(keys)), size)
-    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    if shared is not None:
-        new = place >= shared[owner]
-        owner, place = owner[new], place[new]
-    at = first[owner] + place
-    # before the token there is the last byte of the one before, before that nothing
-    back = [np.where(place >= k, data[np.maximum(at - k - 1, 0)], np.uint64(0)) for k in range(4)]
-    h1 = back[0]
-    h2 = (h1 << np.uint64(8)) | back[1]
-    h3 = (h2 << np.uint64(8)) | back[2]
-    h4 = (h3 << np.uint64(8)) | back[3]
-    # the token so far: a polynomial hash, as a difference of running sums
-    power, back_power = (np.cumprod(np.full(len(data), m, np.uint64)) for m in (_BASE, _INVERSE))
-    sums = np.cumsum((data + np.uint64(1)) * power)
-    so_far = mix64((sums[at - 1] - sums[first[owner] - 1]) * back_power[first[owner]] + place.astype(np.uint64))
-    last = data[first - 1]
-    word = np.zeros(len(first), np.uint64)
-    for j in range(lead):
-        word = (word << np.uint64(8)) | data[first - 1 - lead + j]
-    word = mix64((word << np.uint64(8)) | last)
-    with_kind = mix64(so_far + _KINDS[last[owner].astype(np.int64)] * np.uint64(_BASE))
-    with_last = mix64(so_far + (last[owner] + np.uint64(256)) * np.uint64(_BASE))
-    with_word = mix64(so_far + word[owner] * np.uint64(_BASE))
-    byte = data[at].astype(np.int64)
-    steps = code.size[byte]
-    n = int(steps.sum())
-    way = np.repeat(code.start[byte] - (np.cumsum(steps) - steps), steps) + np.arange(n)
-    node, turn = code.node[way], code.turn[way]
-    slots = np.empty((n, CONTEXTS), np.int64)
-    slots[:, 0] = (np.repeat(h1, steps) << np.uint64(8)) | node
-    spread = node * np.uint64(0xC2B2AE3D27D4EB4F)
-    for i, x in enumerate((mix64(h2), mix64(h3 + np.uint64(1)), mix64(h4 + np.uint64(2)), so_far, with_kind, with_last, with_word)):
-        y = (np.repeat(x, steps) ^ spread) * np.uint64(_BASE)
-        slots[:, i + 1] = (y >> np.uint64(64 - BITS[i + 1])).astype(np.int64) + STARTS[i + 1]
-    return slots, turn, np.repeat(owner, steps), np.repeat(place, steps), np.repeat(place == 0, steps)
-
-
-def chunks(keys: list[bytes], most: int = 60_000):
-    """Ranges of keys with about ``most`` bytes each; a single longer key is a range of its own."""
-    lo, size = 0, 0
-    for i, k in enumerate(keys):
-        if i > lo and size + len(k) > most:
-            yield lo, i
-            lo, size = i, 0
-        size += len(k)
-    if lo < len(keys):
-        yield lo, len(keys)
-
-
-def sharing(keys: list[bytes], wide: int, lead: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sorted keys of fewer than ``wide`` bytes: leading bytes of each token that it shares with
-    the key before, [keys, wide] the row that stands for each byte, and where there are bytes."""
-    full = spelt(keys, lead)
-    size = np.fromiter(map(len, full), np.int64, len(full))
-    grid = np.zeros((len(keys), lead + wide + 1), np.uint8)
-    inside = np.arange(lead + wide + 1) < size[:, None]
-    grid[inside] = np.frombuffer(b"".join(full), np.uint8)
-    same = np.logical_and.accumulate((grid[1:] == grid[:-1]) & inside[1:] & inside[:-1], axis=1).sum(axis=1)
-    shared = np.r_[0, np.maximum(same - 1 - lead, 0)]
-    row = np.where(np.arange(wide) >= shared[:, None], np.arange(len(keys))[:, None], 0)
-    return shared, np.maximum.accumulate(row, axis=0), inside[:, lead + 1 :]
-
-
-def weighted_events(keys: list[bytes], weight: np.ndarray, code: Code, most: int, wide: int = 40, lead: int = LEAD):
-    """Groups of ``events`` and their weights, in mixed order. A decision that several keys share is
-    given once, with their weights' sum."""
-    order = sorted(range(len(keys)), key=keys.__getitem__)
-    groups = []
-    for part, limit in (([i for i in order if len(keys[i]) - lead < wide], wide), ([i for i in order if len(keys[i]) - lead >= wide], 0)):
-        groups += [(part[lo:hi], limit) for lo, hi in chunks([keys[i] for i in part], most)]
-    for g in np.random.default_rng(len(keys)).permutation(len(groups)):
-        rows, limit = groups[g]
-        own, w = [keys[i] for i in rows], weight[rows].astype(np.float64)
-        if not limit:
-            slots, turn, owner, _, first = events(own, code, None, lead)
-            yield slots, turn, w[owner], first
-            continue
-        shared, stands, inside = sharing(own, limit, lead)
-        at = stands * limit + np.arange(limit)
-        total = np.bincount(at[inside], np.broadcast_to(w[:, None], inside.shape)[inside], inside.size)
-        slots, turn, owner, place, first = events(own, code, shared, lead)
-        yield slots, turn, total[owner * limit + place], first
-
-
-def gathered(frames, least: int = 40_000):
-    """Keys and counts of several batches together."""
-    keys, c = [], []
-    for pdf in frames:
-        keys += pdf["key"].tolist()
-        c.append(pdf["c"].to_numpy(np.float64))
-        if len(keys) >= least:
-            yield keys, np.concatenate(c)
-            keys, c = [], []
-    if keys:
-        yield keys, np.concatenate(c)
-
-
-def inputs(counts: np.ndarray, slots: np.ndarray, leave: np.ndarray | None = None):
-    """Logits of each context and the gate's grade. leave: the turn to be taken out of the counts
-    once. Both counts of a slot lie together and are read as one number."""
-    pairs = counts.view(np.uint64).ravel()[slots].view(np.float32).reshape(*slots.shape, 2)
-    if leave is not None:
-        one = leave[:, None].astype(np.float32)
-        pairs = np.maximum(pairs - np.stack([1 - one, one], axis=-1), 0)
-    pairs = pairs + np.float32(0.4)
-    x = np.log(pairs[..., 1] / pairs[..., 0])
-    n = pairs[:, _GATED, 0] + pairs[:, _GATED, 1]
-    grade = lambda v: (v > _MARKS[0]).astype(np.int64) + (v > _MARKS[1]) + (v > _MARKS[2])
-    return x, 8 * grade(n[:, 0]) + 2 * grade(n[:, 1]) + (n[:, 2] > _MARKS[0])
+        self.node, self.turn = np.zeros(int(self.size.sum()), np.uint32), np.zeros(int(self.size.sum()), np.uint8)
+        leaf, at = np.arange(n), np.arange(n)
+        for back in range(1, int(self.size.max(initial=0)) + 1):
+            on = parent[at] >= 0
+            leaf, at = leaf[on], at[on]
+            place = self.start[leaf] + self.size[leaf] - back
+            self.node[place], self.turn[place] = parent[at] - n, turn[at]
+            at = parent[at]
 
 
 def squash(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -20, 20)))
+    return 1 / (1 + np.exp(-np.clip(z, z.dtype.type(-20), z.dtype.type(20))))
 
 
 def cells(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower cell and the share of the upper one in the probability map."""
-    v = (np.clip(z, -7.99, 7.99) + 8) * ((CELLS - 1) / 16)
-    low = v.astype(np.int64)
-    return low, v - low
+    v = (np.clip(z, z.dtype.type(-7.99), z.dtype.type(7.99)) + 8) * ((CELLS - 1) / 16)
+    low = v.astype(np.int32)
+    return low, v - low.astype(v.dtype)
 
 
-class Mixer:
-    """Weights by gate and the probability map."""
+def nearest(z: np.ndarray) -> np.ndarray:
+    half = z.dtype.type((CELLS - 1) / 2)
+    return (np.clip(z, z.dtype.type(-8), z.dtype.type(8)) * (half / 8) + (half + z.dtype.type(0.5))).astype(np.int64)
 
-    def __init__(self, weights: np.ndarray | None = None):
-        self.weights = np.full((GATES, CONTEXTS), 0.3) if weights is None else weights
-        self.speed = np.full((GATES, CONTEXTS), 1e-4)
-        self.hits = np.zeros((GATES, CELLS, 2))
-        self.load = np.zeros(GATES)
 
-    def learn(self, x, gate, bit, weight, rate: float = 0.02) -> None:
-        """One online step on a group of decisions; the map notes what the weights said before."""
-        z = (x * self.weights[gate]).sum(axis=1)
-        low, up = cells(z)
-        for cell, share in ((low, 1 - up), (low + 1, up)):
-            key = (gate * CELLS + cell) * 2 + bit
-            self.hits += np.bincount(key, weight * share, self.hits.size).reshape(self.hits.shape)
-        err = weight * (bit - squash(z))
-        load = np.bincount(gate, weight, GATES)
-        self.load += load
-        for i in range(CONTEXTS):
-            g = np.bincount(gate, err * x[:, i], GATES) / np.maximum(load, 1e-9)
-            self.speed[:, i] += g * g
-            self.weights[:, i] += rate * g / np.sqrt(self.speed[:, i])
+def steps(z: np.ndarray) -> np.ndarray:
+    """Step of each logit among ``FINE`` from -``REACH`` to ``REACH``."""
+    scale = z.dtype.type((FINE - 1) / (2 * REACH))
+    return ((np.clip(z, z.dtype.type(-REACH), z.dtype.type(REACH)) + z.dtype.type(REACH)) * scale + z.dtype.type(0.5)).astype(np.int64)
 
-    @staticmethod
-    def map_of(hits: np.ndarray) -> np.ndarray:
-        """Probability of a one in each cell; cells without hits keep their own."""
-        own = squash(np.linspace(-8, 8, CELLS))
-        return (hits[..., 1] + 4 * own) / (hits.sum(axis=-1) + 4)
 
+def states(counts: np.ndarray) -> np.ndarray:
+    """Counts of zeros and ones [slots, 2] as grades and logits."""
+    logit = np.log((counts[:, 1] + 0.4) / (counts[:, 0] + 0.4))
+    grade = np.searchsorted(_SEEN, counts.sum(axis=1), "right")
+    return (grade * 256 + np.clip(np.rint(logit * 10), -128, 127).astype(np.int64) + 128).astype(np.uint16)
 
-def gate_of(seen: np.ndarray, first: np.ndarray) -> np.ndarray:
-    return seen.astype(np.int64) + GRADES * first
 
+class Mixer:
+    """Predicts the decisions of one code's symbols in ``len(bits)`` hashed contexts of 2^bits slots.
 
-class Model:
-    """Counts, mixer weights and probability map, ready to score keys."""
-
-    def __init__(self, code: Code, counts: np.ndarray, weights: np.ndarray, chart: np.ndarray, lead: int = 0):
-        self.code, self.counts, self.weights, self.chart, self.lead = code, counts, weights, chart, lead
-
-    def log10(self, keys: list[bytes], wide: int = 40) -> np.ndarray:
-        """Of each key. Keys go in order, and what one shares with the one before is not
-        predicted again; only those over ``wide`` bytes go by themselves."""
-        out = np.zeros(len(keys))
-        order = sorted(range(len(keys)), key=keys.__getitem__)
-        short = [i for i in order if len(keys[i]) - self.lead < wide]
-        for lo, hi in chunks([keys[i] for i in short]):
-            rows = short[lo:hi]
-            part = [keys[i] for i in rows]
-            shared, own, inside = sharing(part, wide, self.lead)
-            value = self._places(part, wide, shared)
-            # where a byte was left out, the value stands in the last row that had it
-            out[rows] = np.where(inside, value[own, np.arange(wide)], 0.0).sum(axis=1)
-        long = [i for i in order if len(keys[i]) - self.lead >= wide]
-        for lo, hi in chunks([keys[i] for i in long]):
-            part = [keys[i] for i in long[lo:hi]]
-            out[long[lo:hi]] = self._places(part, max(map(len, part)) + 1, None).sum(axis=1)
-        return out
+    ``gated``: the two contexts whose grades the gate looks at.
+    ``rare``: contexts that are looked up only for symbols whose first decision has been seen in them.
+    """
 
-    def _places(self, keys: list[bytes], width: int, shared: np.ndarray | None) -> np.ndarray:
-        """[keys, width] log10 of each byte's probability; 0 where there is none or it is left out."""
-        slots, bit, owner, place, first = events(keys, self.code, shared, self.lead)
-        x, seen = inputs(self.counts, slots)
-        gate = gate_of(seen, first)
-        z = (x * self.weights[gate]).sum(axis=1)
-        low, up = cells(z)
-        p = 0.5 * squash(z) + 0.5 * ((1 - up) * self.chart[gate, low] + up * self.chart[gate, low + 1])
-        p = np.where(bit == 1, p, 1 - p)
-        return np.bincount(owner * width + place, np.log10(np.clip(p, 1e-9, 1)), len(keys) * width).reshape(len(keys), width)
+    def __init__(self, code: Code, bits: tuple[int, ...], gated: tuple[int, int], rare: tuple[int, ...]):
+        self.code, self.bits, self.gated, self.rare = code, bits, gated, rare
+        self.inputs = len(bits) + 1
+        self.weights = np.full((self.inputs, GATES), 0.5 / len(bits), np.float32)
+        self.weights[0] = 0.7
+        self.tables, self.chart = None, None
+        self.hits, self.groups = np.zeros((GATES, CELLS, 2)), 0
+        self.steep = np.zeros((self.inputs, GATES))
 
+    @staticmethod
+    def slots(context: np.ndarray, salt, bits: int) -> np.ndarray:
+        x = context ^ salt
+        x *= np.uint32(0x85EBCA6B)
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0xC2B2AE35)
+        x >>= np.uint32(32 - bits)
+        return x
+
+    def read(self, symbols: np.ndarray, contexts: list[np.ndarray], look, every: bool):
+        """Of each decision: the symbol's place, turn and slots (``every``: of all contexts), the inputs and
+        the grades (0 to 3). ``look``: table and slots -> logits and grades."""
+        size = self.code.size[symbols]
+        way = spread(self.code.start[symbols], size)
+        owner = np.repeat(np.arange(len(symbols), dtype=np.int32), size)
+        node = self.code.node.take(way)
+        salt, root = node * np.uint32(0x9E3779B1), np.uint32((len(self.code.static) - 1) * 0x9E3779B1 & 0xFFFFFFFF)
+        slots, x, grades = [], [self.code.static.take(node)], []
+        for i, (bits, c, table) in enumerate(zip(self.bits, contexts, self.tables, strict=True)):
+            rows = None
+            if i in self.rare:
+                seen = look(table, self.slots(c, root, bits))[1] > 0
+                rows = np.flatnonzero(seen.take(owner))
+            if every or rows is None:
+                slots.append(self.slots(c.take(owner), salt, bits))
+            if rows is None:
+                logit, grade = look(table, slots[-1])
+            else:
+                logit, grade = np.zeros(len(owner), np.float32), np.zeros(len(owner), np.uint8)
+                logit[rows], grade[rows] = look(table, slots[-1].take(rows) if every else self.slots(c.take(owner.take(rows)), salt.take(rows), bits))
+            x.append(logit)
+            grades.append(grade)
+        return owner, self.code.turn.take(way), slots, x, grades
+
+    def gate(self, grades: list[np.ndarray], flag: np.ndarray) -> np.ndarray:
+        a, b = (grades[i] for i in self.gated)
+        return (flag * np.uint8(16) + a * np.uint8(4) + b).astype(np.int64)
+
+    def mixed(self, x: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
+        z = x[0] * self.weights[0].take(gate)
+        for w, v in zip(self.weights[1:], x[1:], strict=True):
+            z += v * w.take(gate)
+        return z
+
+    def learn(self, symbols, contexts, flag, rate: float = 0.4) -> None:
+        """One group: predict, correct the weights, note in the map, then count."""
+        if self.tables is None:
+            self.tables = [np.zeros((1 << b, 2), np.float32) for b in self.bits]
+        owner, turn, slots, x, grades = self.read(symbols, contexts, counted, True)
+        gate = self.gate(grades, flag.take(owner))
+        z = self.mixed(x, gate)
+        self.hits += np.bincount((gate * CELLS + nearest(z)) * 2 + turn, minlength=self.hits.size).reshape(self.hits.shape)
+        p = squash(z)
+        err, slope = turn - p, p * (1 - p)
+        if self.groups % 4 == 0:  # how steep the error is changes slowly
+            self.steep *= 0.92
+            for i, v in enumerate(x):
+                self.steep[i] += 4 * np.bincount(gate, slope * v * v, GATES)
+        self.groups += 1
+        for i, v in enumerate(x):
+            self.weights[i] += rate * np.bincount(gate, err * v, GATES) / (self.steep[i] + 5)
+        for table, slot in zip(self.tables, slots, strict=True):
+            np.add.at(table.ravel(), slot.astype(np.int64) * 2 + turn, np.float32(1))
+
+    def log10(self, symbols, contexts, flag) -> np.ndarray:
+        """Of each symbol, from trained tables of ``states``."""
+        owner, turn, _, x, grades = self.read(symbols, contexts, trained, False)
+        gate = self.gate(grades, flag.take(owner))
+        at = gate * FINE + steps(self.mixed(x, gate))
+        return np.bincount(owner, self.logs.take(2 * at + turn), len(symbols))
+
+    def finish(self) -> None:
+        """The logarithms of both turns in each gate at each step of the mixed logit: half the mixed
+        probability, half the map's."""
+        z = np.linspace(-REACH, REACH, FINE)
+        low, up = cells(z)
+        p = 0.5 * squash(z) + 0.5 * ((1 - up) * self.chart[:, low] + up * self.chart[:, low + 1])
+        p = np.clip(p, 1e-9, 1 - 1e-9)
+        self.logs = np.log10(np.stack([1 - p, p], axis=-1)).astype(np.float32).ravel()
+
+
+def counted(table: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logit and grade from counts of zeros and ones, which are read as one number."""
+    pair = table.view(np.uint64).ravel().take(slot).view(np.float32).reshape(-1, 2)
+    zeros, ones = np.ascontiguousarray(pair[:, 0]), np.ascontiguousarray(pair[:, 1])
+    n = zeros + ones
+    grade = (n > _SEEN[0]).view(np.uint8) + (n > _SEEN[1]) + (n > _SEEN[2])
+    return np.log((ones + np.float32(0.4)) / (zeros + np.float32(0.4))), grade
+
+
+def trained(table: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logit and grade from ``states``."""
+    state = table.take(slot)
+    return _LOGIT.take(state), (state >> np.uint16(8)).astype(np.uint8)
+
+
+def map_of(hits: np.ndarray) -> np.ndarray:
+    """Probability of a one in each cell; cells without hits keep their own."""
+    own = squash(np.linspace(-8, 8, CELLS))
+    return ((hits[..., 1] + 4 * own) / (hits.sum(axis=-1) + 4)).astype(np.float32)
+
+
+def fold(h: np.ndarray) -> np.ndarray:
+    return (h ^ (h >> np.uint64(32))).astype(np.uint32)
+
+
+class Tokens:
+    """Tokens of several texts with their ends: ``hash``, ``doc``, ``word`` (the place in ``words``, -1 for
+    an end), ``contexts`` of a word's code and ``flag`` (the token before ends a sentence)."""
+
+    def __init__(self, values: list[str]):
+        self.raw = [t.encode("utf-8", "replace") for t in values]
+        self.words = words = Words(self.raw)
+        n = len(words.hash)
+        ends = words.first[1:] + np.arange(len(values))  # each text's end stands behind its words
+        self.hash, self.word = np.empty(n + len(values), np.uint64), np.full(n + len(values), -1)
+        inside = np.ones(n + len(values), bool)
+        inside[ends] = False
+        self.hash[inside], self.hash[ends] = words.hash, END
+        self.word[inside] = np.arange(n)
+        self.doc = np.repeat(np.arange(len(values)), np.diff(words.first) + 1)
+        self.ends = ends
+        one = np.concatenate([[np.uint64(END)], self.hash[:-1]])  # an end stands before each text's first token
+        two = np.concatenate([[np.uint64(END)], one[:-1]])
+        starts = np.concatenate([[0], ends[:-1] + 1])[: len(values)]
+        two[starts] = END
+        self.one = one
+        self.contexts = [fold(mix64(one)), fold(mix64(one + mix64(two) * np.uint64(3)))]
+        last = np.zeros(n + len(values), bool)
+        if n:
+            last[inside] = np.isin(words.data[words.start + words.size - 1], np.frombuffer(b".!?", np.uint8))
+        self.flag = np.concatenate([[False], last[:-1]]).astype(np.uint8)
+
+    def spelt(self, rows: np.ndarray):
+        """Bytes of the tokens at ``rows``, with the closing mark: symbols, contexts, flags and the row of each."""
+        start, size = self.words.start[self.word[rows]], self.words.size[self.word[rows]]
+        at, owner = spread(start, size + 1), np.repeat(np.arange(len(rows)), size + 1)
+        place = at - start[owner]
+        data = self.words.data
+        byte = np.where(place == size[owner], np.uint8(32), data[at])
+        back = [np.where(place >= k, data[at - k], np.uint8(0)).astype(np.uint32) for k in (1, 2, 3)]
+        lo, hi = int(start.min(initial=0)), int(at.max(initial=-1)) + 1
+        power, inverse = powers(hi - lo)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * power)])
+        so_far = mix64((sums[at - lo] - sums[start[owner] - lo]) * inverse[start[owner] - lo] + place.astype(np.uint64))
+        three = (back[0] | back[1] << np.uint32(8) | back[2] << np.uint32(16)) * np.uint32(0x9E3779B1)
+        contexts = [three, fold(so_far), fold(mix64(so_far + self.one[rows][owner]))]
+        return byte.astype(np.int64), contexts, (place == 0).astype(np.uint8), owner
 
-def keys_of(tokens: list[bytes]) -> list[bytes]:
-    """Each token, the end included, after the kind of the token before. Tokens have no blanks, so
-    they are marked and cut again as one text."""
-    if not tokens:
-        return [END + END]
-    text = b"a" + b" a".join([*tokens, END])
-    keys = text.replace(b". a", b". .").replace(b"! a", b"! .").replace(b"? a", b"? .").split(b" ")
-    keys[0] = END + tokens[0]
-    return keys
 
+class Model:
+    """Vocabulary, codes and mixers. Symbol ``len(words)`` of the word code is the escape."""
+
+    #: Sizes of the tables, as powers of two beside the given one.
+    WORD, BYTE = (0, 0), (-2, -1, 0)
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, by_word: Code, by_byte: Code, bits: int):
+        self.escape = len(words)
+        self.table = HashTable()
+        self.table.add(words, np.arange(len(words)))
+        self.logs = np.log10(counts + 1.0)
+        self.by_word = Mixer(by_word, tuple(max(10, bits + d) for d in self.WORD), (1, 0), (1,))
+        self.by_byte = Mixer(by_byte, tuple(max(10, bits + d) for d in self.BYTE), (2, 1), (2,))
+
+    def groups(self, tokens: Tokens, ids: np.ndarray, most: int):
+        """The tokens, and of the escaped ones the bytes, as (mixer, symbols, contexts, flags, rows) of about
+        ``most`` symbols each."""
+        symbols = np.where(ids < 0, self.escape, ids)
+        for lo in range(0, len(symbols), most):
+            part = slice(lo, lo + most)
+            yield self.by_word, symbols[part], [c[part] for c in tokens.contexts], tokens.flag[part], np.arange(lo, min(lo + most, len(symbols)))
+        escaped = np.flatnonzero((ids < 0) & (tokens.word >= 0))
+        ends = np.cumsum(tokens.words.size[tokens.word[escaped]] + 1)
+        lo = 0
+        while lo < len(escaped):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 2 * most, "right")))
+            byte, contexts, flag, owner = tokens.spelt(escaped[lo:hi])
+            yield self.by_byte, byte, contexts, flag, escaped[lo:hi][owner]
+            lo = hi
+
+    def log10(self, tokens: Tokens, ids: np.ndarray, most: int = 8192) -> np.ndarray:
+        """Of each token."""
+        out = np.zeros(len(ids))
+        for mixer, symbols, contexts, flag, rows in self.groups(tokens, ids, most):
+            out += np.bincount(rows, mixer.log10(symbols, contexts, flag), len(ids))
+        return out
 
-def word_keys(tokens: list[bytes]) -> list[bytes]:
-    """Each token, the end included, after ``LEAD`` bytes of hash and the last byte of the token
-    before; the first token has zeros and the end there."""
-    h = xxhash.xxh32_digest
-    return [b + t for b, t in zip([bytes(LEAD) + END, *[h(t) + t[-1:] for t in tokens]], [*tokens, END], strict=True)]
+    def learn(self, tokens: Tokens, ids: np.ndarray, most: int = 4096) -> None:
+        for mixer, symbols, contexts, flag, _ in self.groups(tokens, ids, most):
+            mixer.learn(symbols, contexts, flag)
 
 
-def token_counts(train: DataFrame, most: int = 400_000) -> DataFrame:
-    """``key`` and ``c``: how often each key occurs in the training texts."""
+def token_counts(train: DataFrame, most: int = 1_500_000) -> DataFrame:
+    """``hash`` and ``c`` of each token of the training texts; bytes stand as hash -1 - byte with ``kind`` 1."""
 
     def run(frames):
-        seen: Counter = Counter()
+        held, kept, by_byte = [], 0, np.zeros(256, np.int64)
 
-        def rows():
-            return pd.DataFrame({"key": list(seen), "c": list(seen.values())})
+        def merged():
+            h, c = map(np.concatenate, zip(*held, strict=True))
+            h, back = np.unique(h, return_inverse=True)
+            return h, np.bincount(back, c).astype(np.int64)
 
         for pdf in frames:
-            for t in pdf["text"]:
-                seen.update(word_keys(tokens_of(t)))
-                if len(seen) > most:
-                    yield rows()
-                    seen.clear()
-        if seen:
-            yield rows()
+            values = pdf["text"].tolist()
+            for lo, hi in cuts(values, 2000, 1 << 20):
+                words = Words([t.encode("utf-8", "replace") for t in values[lo:hi]])
+                h, c = np.unique(words.hash, return_counts=True)
+                held.append((np.append(h, np.uint64(END)), np.append(c, hi - lo)))
+                kept += len(h)
+                by_byte += np.bincount(words.data, minlength=256)
+                if kept > most:
+                    held = [merged()]
+                    kept = len(held[0][0])
+                    if 2 * kept > most:
+                        yield pd.DataFrame({"kind": 0, "hash": held[0][0].view(np.int64), "c": held[0][1]})
+                        held, kept = [], 0
+        if held:
+            h, c = merged()
+            yield pd.DataFrame({"kind": 0, "hash": h.view(np.int64), "c": c})
+        yield pd.DataFrame({"kind": 1, "hash": np.arange(256), "c": by_byte})
+
+    return train.mapInPandas(lean(run), "kind int, hash long, c long").groupBy("kind", "hash").agg(F.sum("c").alias("c"))
+
+
+def vocabulary(counts: DataFrame, most_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the tokens seen at least twice, from the most frequent on and, where not all
+    of one grade of frequency fit in, without that grade."""
+    grade = F.floor(8 * F.log2("c"))
+    above, lowest = 0, None
+    for row in counts.where("c > 1").groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("g")).collect():
+        above += row["k"]
+        if above > most_words:
+            break
+        lowest = row["g"]
+    if lowest is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rows = counts.where((F.col("c") > 1) & (grade >= lowest)).select("hash", "c").toPandas()
+    h, c = rows["hash"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64)
+    order = np.lexsort((h, -c))
+    return h[order], c[order]
 
-    return train.mapInPandas(run, "key binary, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
+def _squeeze(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
 
-def byte_code(by_token: DataFrame) -> Code:
-    """Code by the bytes of the training tokens; a task returns 256 numbers."""
 
-    def run(frames):
-        total = np.zeros(256, np.int64)
-        for pdf in frames:
-            full = [t if t == END else t + b" " for t in pdf["token"].tolist()]
-            size = np.fromiter(map(len, full), np.int64, len(full))
-            weight = np.repeat(pdf["c"].to_numpy(np.float64), size)
-            total += np.bincount(np.frombuffer(b"".join(full), np.uint8), weight, 256).astype(np.int64)
-        yield pd.DataFrame({"byte": np.arange(256), "n": total})
+def _swell(data: bytes, dtype, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, n * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype)
 
-    rows = by_token.select("token", "c").mapInPandas(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    weights = [0] * 256
-    for row in rows:
-        weights[row["byte"]] = row["n"]
-    return Code(weights)
 
+def fit(train: DataFrame, make, tasks: int) -> None:
+    """Learn in ``tasks`` tasks from all rows and give the model its tables, weights and maps.
 
-def context_counts(table: DataFrame, code: Code, tasks: int) -> np.ndarray:
-    """[SLOTS, 2] counts of turns, added up over ``tasks`` tables of fixed size."""
+    make: a function that gives the untrained model. Tables travel in blocks of fixed size; what
+    comes to the driver is their states, two bytes a slot.
+    """
+    spark = train.sparkSession
+    shared = spark.sparkContext.broadcast(make)
 
     def run(frames):
-        counts = np.zeros(2 * SLOTS, np.float32)
-        for keys, c in gathered(frames):
-            for slots, turn, weight, _ in weighted_events(keys, c, code, 60_000):
-                np.add.at(counts, (slots * 2 + turn[:, None]).ravel(), np.repeat(weight.astype(np.float32), CONTEXTS))
-        for at in range(0, 2 * SLOTS, BLOCK):
-            block = counts[at : at + BLOCK]
-            if block.any():
-                yield pd.DataFrame({"block": [at // BLOCK], "counts": [zlib.compress(block.tobytes(), 1)]})
+        model = shared.value()
+        for pdf in frames:
+            values = pdf["text"].tolist()
+            for lo, hi in cuts(values, 200, 1 << 18):
+                tokens = Tokens(values[lo:hi])
+                model.learn(tokens, model.table.find(tokens.hash))
+        for m, mixer in enumerate((model.by_word, model.by_byte)):
+            for t, table in enumerate(mixer.tables or []):
+                flat = table.ravel()
+                for at in range(0, len(flat), 2 * SLOT_BLOCK):
+                    block = flat[at : at + 2 * SLOT_BLOCK]
+                    if block.any():
+                        small = block.max() < 65536
+                        yield pd.DataFrame({"m": [m], "t": [t], "block": [at // (2 * SLOT_BLOCK)], "width": [len(block)], "small": [bool(small)], "data": [_squeeze(block.astype(np.uint16 if small else np.float32))]})
+            facts = np.concatenate([mixer.weights.ravel().astype(np.float64), mixer.hits.ravel()])
+            yield pd.DataFrame({"m": [m], "t": [-1], "block": [TaskContext.get().partitionId()], "width": [len(facts)], "small": [False], "data": [_squeeze(facts)]})
 
     def add(pdf):
-        total = np.sum([np.frombuffer(zlib.decompress(x), np.float32).astype(np.float64) for x in pdf["counts"]], axis=0)
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "counts": [zlib.compress(total.astype(np.float32).tobytes(), 1)]})
-
-    dealt = table.select("key", "c").coalesce(tasks)  # keys are dealt by their hash already
-    blocks = dealt.mapInPandas(run, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary")
-    out = np.zeros(2 * SLOTS, np.float32)
-    for row in blocks.collect():  # a table of fixed size, whatever the corpus
-        out[row["block"] * BLOCK : row["block"] * BLOCK + BLOCK] = np.frombuffer(zlib.decompress(row["counts"]), np.float32)
-    return out.reshape(SLOTS, 2)
-
-
-#: The last table that a worker unpacked.
-_COUNTS: dict[str, np.ndarray] = {}
-
-
-def packed(counts: np.ndarray) -> tuple[str, list[bytes]]:
-    """A name and the table's compressed parts: most counts are small, and every executor keeps a copy."""
-    flat = counts.ravel()
-    return uuid.uuid4().hex, [zlib.compress(flat[at : at + 16 * BLOCK].tobytes(), 1) for at in range(0, len(flat), 16 * BLOCK)]
-
-
-def unpacked(parts: tuple[str, list[bytes]]) -> np.ndarray:
-    name, parts = parts
-    if name not in _COUNTS:
-        _COUNTS.clear()
-        flat, at = np.empty(2 * SLOTS, np.float32), 0
-        for part in parts:
-            values = np.frombuffer(zlib.decompress(part), np.float32)
-            flat[at : at + len(values)] = values
-            at += len(values)
-        _COUNTS[name] = flat.reshape(SLOTS, 2)
-    return _COUNTS[name]
-
-
-def fit_mixer(table: DataFrame, code: Code, shared, tasks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and map: each task learns online from its share, then they are averaged.
-
-    Keys weigh as often as they occur. A step is divided by the weight of its group, so it is the same
-    for a corpus many times as large.
-    """
-
-    def run(frames):
-        mixer, counts = Mixer(), unpacked(shared.value)
-        for keys, c in gathered(frames):
-            for slots, turn, weight, first in weighted_events(keys, c, code, 16_000):
-                x, seen = inputs(counts, slots, turn)
-                mixer.learn(x, gate_of(seen, first), turn.astype(np.int64), weight)
-        if mixer.load.any():
-            yield pd.DataFrame({"weights": [mixer.weights.tobytes()], "load": [mixer.load.tobytes()], "hits": [mixer.hits.tobytes()]})
-
-    rows = table.select("key", "c").coalesce(tasks).mapInPandas(run, "weights binary, load binary, hits binary").collect()
-    total, load, hits = np.zeros((GATES, CONTEXTS)), np.zeros(GATES), np.zeros((GATES, CELLS, 2))
-    for row in rows:
-        n = np.frombuffer(row["load"])
-        total += n[:, None] * np.frombuffer(row["weights"]).reshape(GATES, CONTEXTS)
-        load += n
-        hits += np.frombuffer(row["hits"]).reshape(GATES, CELLS, 2)
-    weights = np.where(load[:, None] > 0, total / np.maximum(load, 1e-9)[:, None], 0.3)
-    return weights, Mixer.map_of(hits)
-
-
-#: Keys that a worker has scored, kept over its tasks while the model is the same.
-_SCORED: dict[str, dict[bytes, float]] = {}
-
-
-def score(docs: DataFrame, folds: int = 7, held: int = 2, memory: int = 1_000_000, most_common: int = 1 << 17, most_tasks: int = 256) -> DataFrame:
+        first = pdf.iloc[0]
+        if first["t"] < 0:
+            return pdf[["m", "t", "block", "width", "data"]]
+        total = np.zeros(int(first["width"]))
+        for small, data in zip(pdf["small"], pdf["data"], strict=True):
+            total += _swell(data, np.uint16 if small else np.float32, len(total))
+        out = states(total.reshape(-1, 2))
+        return pd.DataFrame({"m": [first["m"]], "t": [first["t"]], "block": [first["block"]], "width": [len(out)], "data": [_squeeze(out)]})
+
+    schema = "m int, t int, block int, width int, small boolean, data binary"
+    parts = train.coalesce(tasks).mapInPandas(lean(run), schema)
+    rows = parts.groupBy("m", "t", "block").applyInPandas(add, "m int, t int, block int, width int, data binary").collect()
+    return sorted(((r["m"], r["t"], r["block"], r["width"], bytes(r["data"])) for r in rows), key=lambda r: r[:3])
+
+
+def install(model: Model, rows: list[tuple]) -> Model:
+    for m, mixer in enumerate((model.by_word, model.by_byte)):
+        mixer.tables = [np.full(1 << b, 128, np.uint16) for b in mixer.bits]
+        n, weights, hits = GATES * mixer.inputs, np.zeros((mixer.inputs, GATES)), np.zeros((GATES, CELLS, 2))
+        for _, t, block, width, data in (r for r in rows if r[0] == m):
+            if t >= 0:
+                mixer.tables[t][block * SLOT_BLOCK : block * SLOT_BLOCK + width] = _swell(data, np.uint16, width)
+                continue
+            facts = _swell(data, np.float64, width)
+            own = facts[n:].reshape(hits.shape)
+            weights, hits = weights + facts[:n].reshape(-1, GATES) * own.sum(axis=(1, 2)), hits + own
+        load = hits.sum(axis=(1, 2))
+        mixer.weights = np.where(load > 0, weights / np.maximum(load, 1), mixer.weights).astype(np.float32)
+        mixer.chart = map_of(hits)
+        mixer.finish()
+    return model
+
+
+class Maker:
+    """Makes the untrained model; holds counts and codes only, so it travels cheaply."""
+
+    def __init__(self, *facts):
+        self.facts = facts
+
+    def __call__(self) -> Model:
+        return Model(*self.facts)
+
+
+#: The last model that a worker unpacked.
+_MODEL: dict[str, Model] = {}
+
+
+def unpacked(shared) -> Model:
+    name, make, rows = shared
+    if name not in _MODEL:
+        _MODEL.clear()
+        _MODEL[name] = install(make(), rows)
+    return _MODEL[name]
+
+
+def score(docs: DataFrame, folds: int = 7, held: int = 2, most_words: int = 1 << 18, most_bits: int = 22, most_tasks: int = 4096) -> DataFrame:
     """Per document: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score``, ``score`` (log10 of the model's probability), ``n_bytes`` and
     ``bits_per_byte``."""
     spark = docs.sparkSession
     base = texts(docs).withColumn("held_out", crc_bucket(F.col("doc_id"), folds) == held)
-    table = stored(token_counts(base.where(~F.col("held_out"))))
-    by_token = stored(table.groupBy(F.expr(f"substring(key, {LEAD + 2})").alias("token")).agg(F.sum("c").alias("c")))
-    facts = by_token.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
+    train = base.where(~F.col("held_out"))
+    found = stored(token_counts(train))
+    counts = found.where("kind = 0").select("hash", "c")
+    facts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).collect()[0]
     n, v = int(facts["n"]), int(facts["v"])
-    tasks = int(min(most_tasks, max(6, table.count() // 5_000_000)))
-    code = byte_code(by_token)
-    counts = spark.sparkContext.broadcast(packed(context_counts(table, code, tasks)))
-    weights, chart = fit_mixer(table, code, counts, tasks)
-    name = uuid.uuid4().hex
-    grade = F.floor(8 * F.log2("c"))
-    above, lowest = 0, None  # grades of counts from the top, as long as their tokens are within the bound
-    for row in by_token.groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("g")).collect():
-        above += row["k"]
-        if above > most_common:
-            break
-        lowest = row["g"]
-    common_rows = by_token.where(grade >= lowest).collect() if lowest is not None else []
-    heavy = {bytes(r["token"]): r["c"] for r in common_rows}
-    shared = spark.sparkContext.broadcast({t: float(np.log10(c + 1)) for t, c in heavy.items()})
-    del heavy
+    by_byte = np.zeros(256, np.int64)
+    for row in found.where("kind = 1").collect():
+        by_byte[row["hash"]] = row["c"]
+    words, word_counts = vocabulary(counts, most_words)
+    bits = int(min(most_bits, max(12, np.ceil(np.log2(n + 1)) + 1)))
+    make = Maker(words, word_counts, Code([*word_counts.tolist(), n - int(word_counts.sum())]), Code(by_byte), bits)
+    tasks = int(min(most_tasks, spark.sparkContext.defaultParallelism))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, make, fit(train, make, tasks)))
 
     def run(frames):
-        model, common = Model(code, unpacked(counts.value), weights, chart, LEAD), shared.value
-        part, row = TaskContext.get().partitionId(), 0
-        if name not in _SCORED:
-            _SCORED.clear()
-        memo = _SCORED.setdefault(name, {})
+        model, part, row = unpacked(shared.value), TaskContext.get().partitionId(), 0
         for pdf in frames:
-            for lo in range(0, len(pdf), 200):
-                rows = pdf.iloc[lo : lo + 200]
-                tokens = [tokens_of(t) for t in rows["text"]]
-                spelt = [word_keys(t) for t in tokens]
-                if len(memo) > memory:
-                    memo.clear()
-                new = [k for k in set().union(*spelt) if k not in memo]
-                memo.update(zip(new, model.log10(new).tolist(), strict=True))
-                out = []
-                for doc, held_out, text, t, s in zip(rows["doc_id"].array, rows["held_out"], rows["text"], tokens, spelt, strict=True):
-                    t.append(END)
-                    got = list(map(common.get, t))
-                    rare = b" ".join([x for x, g in zip(t, got, strict=True) if g is None])
-                    got = [g for g in got if g is not None]
-                    base_sum, known = sum(got), len(got)
-                    n_bytes = len(text.encode("utf-8", "replace"))
-                    out.append(((part << 36) + row, doc, held_out, len(t), n_bytes, base_sum, known, sum(map(memo.__getitem__, s)), rare))
-                    row += 1
-                yield pd.DataFrame(out, columns=["uid", "doc_id", "held_out", "n_tokens", "n_bytes", "heavy_sum", "heavy_known", "score", "rare"]).astype({"doc_id": "Int64"})
-
-    scored = stored(
-        base.mapInPandas(
-            run,
-            "uid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, heavy_sum double, heavy_known long, score double, "
-            "rare binary",
-        )
-    )
-    # tokens have no blanks, so the rare ones of a text travel as one string
-    rare = scored.where(F.length("rare") > 0).select("uid", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("t"))
-    counts_of = by_token.select(F.col("token").cast("string").alias("t"), "c")
-    found = rare.join(counts_of, "t").groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1)).alias("rare_sum"), F.count(F.lit(1)).alias("rare_known"))
-    joined = scored.drop("rare").join(found, "uid", "left")
+            values = pdf["text"].tolist()
+            for lo, hi in cuts(values, 200, 1 << 18):
+                tokens = Tokens(values[lo:hi])
+                ids, k = model.table.find(tokens.hash), hi - lo
+                known = ids >= 0
+                rare = tokens.hash[~known].view(np.int64)
+                edges = np.concatenate([[0], np.cumsum(np.bincount(tokens.doc[~known], minlength=k))])
+                yield pd.DataFrame(
+                    {
+                        "uid": (part << 36) + row + np.arange(k),
+                        "doc_id": pdf["doc_id"].array[lo:hi],
+                        "held_out": pdf["held_out"].array[lo:hi],
+                        "n_tokens": np.bincount(tokens.doc, minlength=k),
+                        "n_bytes": np.fromiter(map(len, tokens.raw), np.int64, k),
+                        "heavy_sum": np.bincount(tokens.doc[known], model.logs[ids[known]], k),
+                        "heavy_known": np.bincount(tokens.doc[known], minlength=k),
+                        "score": np.bincount(tokens.doc, model.log10(tokens, ids), k),
+                        "rare": [rare[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)],
+                    }
+                ).astype({"doc_id": "Int64"})
+                row += k
+
+    schema = "uid long, doc_id long, held_out boolean, n_tokens long, n_bytes long, heavy_sum double, heavy_known long, score double, rare array<long>"
+    scored = stored(base.mapInPandas(lean(run), schema))
+    rare = scored.select("uid", F.explode("rare").alias("hash"))
+    met = rare.join(counts, "hash").groupBy("uid").agg(F.sum(F.log10(F.col("c") + 1)).alias("rare_sum"), F.count(F.lit(1)).alias("rare_known"))
+    joined = scored.drop("rare").join(met, "uid", "left")
     none = F.lit(0)
     return joined.select(
         "doc_id",

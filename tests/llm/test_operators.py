@@ -283,7 +283,7 @@ def test_short_lines_and_lines_without_blanks_are_deduped(spark):
 def test_lm_scores(spark, odd, empty):
     texts = family(20)
     docs = list(enumerate(texts))
-    rows = {r["doc_id"]: r for r in lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string"), most_common=16).collect()}
+    rows = {r["doc_id"]: r for r in lm_scoring.score(spark.createDataFrame(docs, "doc_id long, text string"), most_words=16).collect()}
     tokens = lambda t: [*t.lower().encode().split(), b"\n"]
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in docs}
     counts = collections.Counter(w for i, t in docs if not held[i] for w in tokens(t))
@@ -297,34 +297,95 @@ def test_lm_scores(spark, odd, empty):
     assert lm_scoring.score(empty).count() == 0
 
 
+def trained_model(texts, most_words=40, bits=12):
+    tokens = lm_scoring.Tokens(texts)
+    h, c = np.unique(tokens.hash, return_counts=True)
+    order = np.argsort(-c, kind="stable")
+    order = order[c[order] > 1][:most_words]
+    by_byte = np.bincount(tokens.words.data, minlength=256)
+    model = lm_scoring.Model(h[order], c[order], lm_scoring.Code([*c[order].tolist(), len(tokens.hash) - int(c[order].sum())]), lm_scoring.Code(by_byte), bits)
+    model.learn(tokens, model.table.find(tokens.hash), 64)
+    for mixer in (model.by_word, model.by_byte):
+        mixer.tables, mixer.chart = [lm_scoring.states(t) for t in mixer.tables], lm_scoring.map_of(mixer.hits)
+        mixer.finish()
+    return model
+
+
+def plain_log10(mixer, symbol, contexts, flag):
+    """One symbol, decision by decision, in plain Python."""
+    total, (a, b) = 0.0, mixer.gated
+    for step in range(int(mixer.code.size[symbol])):
+        at = int(mixer.code.start[symbol]) + step
+        node, turn = int(mixer.code.node[at]), int(mixer.code.turn[at])
+        x, grade = [float(mixer.code.static[node])], []
+        for i, (bits, c, table) in enumerate(zip(mixer.bits, contexts, mixer.tables, strict=True)):
+
+            def state(n):
+                v = (int(c) ^ (n * 0x9E3779B1)) & 0xFFFFFFFF
+                v = v * 0x85EBCA6B & 0xFFFFFFFF
+                v ^= v >> 15
+                return int(table[(v * 0xC2B2AE35 & 0xFFFFFFFF) >> (32 - bits)])
+
+            here = 128 if i in mixer.rare and not state(len(mixer.code.static) - 1) >> 8 else state(node)
+            x.append(((here & 255) - 128) / 10)
+            grade.append(here >> 8)
+        gate = 16 * int(flag) + 4 * grade[a] + grade[b]
+        z = sum(v * float(w) for v, w in zip(x, mixer.weights[:, gate], strict=True))
+        z = max(-lm_scoring.REACH, min(lm_scoring.REACH, z))
+        cell = (max(-7.99, min(7.99, z)) + 8) * (lm_scoring.CELLS - 1) / 16
+        low, chart = int(cell), mixer.chart[gate]
+        p = 0.5 / (1 + math.exp(-z)) + 0.5 * (chart[low] * (1 - cell + low) + chart[low + 1] * (cell - low))
+        total += math.log10(p if turn else 1 - p)
+    return total
+
+
+def test_lm_scores_against_plain_python():
+    texts = family(12)[:20] + ["A b. A b. c", "", "never seen"]
+    model = trained_model(texts)
+    tokens = lm_scoring.Tokens(texts)
+    ids = model.table.find(tokens.hash)
+    got = model.log10(tokens, ids, 50)
+    assert (ids < 0).any() and (ids >= 0).any()
+    for k in range(len(ids)):
+        want = plain_log10(model.by_word, ids[k] if ids[k] >= 0 else model.escape, [c[k] for c in tokens.contexts], tokens.flag[k])
+        if ids[k] < 0 and tokens.word[k] >= 0:
+            byte, contexts, flag, _ = tokens.spelt(np.array([k]))
+            word = tokens.words.bytes_of(tokens.word[[k]])[0]
+            assert bytes(byte.tolist()) == word + b" "
+            want += sum(plain_log10(model.by_byte, b, [c[i] for c in contexts], flag[i]) for i, b in enumerate(byte.tolist()))
+        assert math.isclose(got[k], want, rel_tol=0.01, abs_tol=0.01)
+
+
 def test_lm_decisions_add_up_to_one():
-    """Over all next bytes the probabilities of one place sum to 1."""
-    rng = np.random.default_rng(1)
-    counts = rng.integers(0, 5, (lm_scoring.SLOTS, 2)).astype(np.float32)
-    code = lm_scoring.Code(rng.integers(0, 1000, 256).tolist())
-    model = lm_scoring.Model(code, counts, np.full((lm_scoring.GATES, lm_scoring.CONTEXTS), 0.3), lm_scoring.Mixer.map_of(np.zeros((lm_scoring.GATES, lm_scoring.CELLS, 2))))
-    slots, bit, owner, _, first = lm_scoring.events([b"\n" + bytes([x]) for x in range(256)], code)
-    x, seen = lm_scoring.inputs(counts, slots)
-    gate = lm_scoring.gate_of(seen, first)
-    z = (x * model.weights[gate]).sum(axis=1)
-    low, up = lm_scoring.cells(z)
-    p = 0.5 * lm_scoring.squash(z) + 0.5 * ((1 - up) * model.chart[gate, low] + up * model.chart[gate, low + 1])
-    p = np.where(bit == 1, p, 1 - p)
-    p = np.where(first, p, 1.0)
-    assert math.isclose(sum(p[owner == k].prod() for k in range(256) if k != 10) + p[owner == 10].prod(), 1, abs_tol=1e-6)
-
-
-def test_shared_beginnings_change_nothing():
-    rng = random.Random(7)
-    keys = list({rng.choice([b"a", b".", b"\n"]) + bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 60))) for _ in range(400)} | {b"a\n", b".\n"})
-    counts = np.random.default_rng(2).integers(0, 5, (lm_scoring.SLOTS, 2)).astype(np.float32)
-    model = lm_scoring.Model(lm_scoring.Code(list(range(256))), counts, np.full((lm_scoring.GATES, lm_scoring.CONTEXTS), 0.3), lm_scoring.Mixer.map_of(np.zeros((lm_scoring.GATES, lm_scoring.CELLS, 2))))
-    assert np.allclose(model.log10(keys), [model.log10([k])[0] for k in keys])
-
-
-def test_keys_carry_the_kind_before():
-    assert lm_scoring.keys_of([b"a.", b"b", b".", b"c?", b"d"]) == [b"\na.", b".b", b"a.", b".c?", b".d", b"a\n"]
-    assert lm_scoring.keys_of([]) == [b"\n\n"] and lm_scoring.keys_of([b"x!"]) == [b"\nx!", b".\n"]
+    """Over all symbols of either code the probabilities in one context sum to 1."""
+    model = trained_model(family(12)[:20])
+    for mixer, n in ((model.by_word, model.escape + 1), (model.by_byte, 256)):
+        for seed in range(3):
+            contexts = [np.full(n, (seed * 7919 + i) * 2654435761 % 2**32, np.uint32) for i in range(len(mixer.bits))]
+            p = 10 ** mixer.log10(np.arange(n), contexts, np.full(n, seed % 2, np.uint8))
+            assert math.isclose(p.sum(), 1, abs_tol=1e-4)
+
+
+def test_huffman_code_is_the_shortest():
+    weights = [random.Random(4).randrange(1, 500) for _ in range(60)]
+    code, heap = lm_scoring.Code(weights), sorted(w + 0.5 for w in weights)
+    total = 0
+    while len(heap) > 1:
+        a, b = heap.pop(0), heap.pop(0)
+        total += a + b
+        heap = sorted([*heap, a + b])
+    assert math.isclose(sum(n * (w + 0.5) for n, w in zip(code.size.tolist(), weights, strict=True)), total)
+
+
+def test_contexts_start_anew_with_each_text():
+    """A text is scored alike alone and behind others."""
+    texts = ["one two. three", "x one two", "", "two"]
+    model = trained_model(family(12)[:20] + texts)
+    together = lm_scoring.Tokens(texts)
+    got = np.bincount(together.doc, model.log10(together, model.table.find(together.hash)), len(texts))
+    for t, s in zip(texts, got, strict=True):
+        alone = lm_scoring.Tokens([t])
+        assert math.isclose(model.log10(alone, model.table.find(alone.hash)).sum(), s, rel_tol=1e-6)
 
 
 def test_word_order_counts(spark):
@@ -342,32 +403,6 @@ def test_word_order_counts(spark):
     assert np.mean([v for i, v in rows.items() if i < 1000]) > 0.7 * np.mean([v for i, v in rows.items() if i >= 1000])
 
 
-def test_weights_do_not_depend_on_the_size_of_the_corpus(spark):
-    """The same shares of each key give the same weights, however often all of them occur."""
-    code = lm_scoring.Code([1] * 256)
-    counts = np.random.default_rng(3).integers(50, 90, (lm_scoring.SLOTS, 2)).astype(np.float32)
-    shared = spark.sparkContext.broadcast(lm_scoring.packed(counts))
-    keys = lm_scoring.word_keys([b"one", b"two", b"three", b"four"])
-
-    def weights(times):
-        rows = [(bytearray(k), times * c) for k, c in zip(keys, (1, 5, 40, 200, 900), strict=True)]
-        return lm_scoring.fit_mixer(spark.createDataFrame(rows, "key binary, c long").coalesce(1), code, shared, 1)[0]
-
-    assert np.allclose(weights(1), weights(1000), rtol=1e-6)
-
-
-def test_shared_beginnings_with_the_word_before():
-    rng = random.Random(9)
-    tokens = [bytes(rng.choice(b"abc.") for _ in range(rng.randrange(1, 50))) for _ in range(300)]
-    keys = list(dict.fromkeys(lm_scoring.word_keys(tokens) + lm_scoring.word_keys([b"a", b"ab", b"a", b"abc", b"a", b"ab."])))
-    counts = np.random.default_rng(2).integers(0, 5, (lm_scoring.SLOTS, 2)).astype(np.float32)
-    model = lm_scoring.Model(lm_scoring.Code(list(range(256))), counts, np.full((lm_scoring.GATES, lm_scoring.CONTEXTS), 0.3), lm_scoring.Mixer.map_of(np.zeros((lm_scoring.GATES, lm_scoring.CELLS, 2))), lm_scoring.LEAD)
-    got = model.log10(keys)
-    assert np.allclose(got, [model.log10([k])[0] for k in keys])
-    a, b = (lm_scoring.word_keys([x, b"abc"])[1] for x in (b"xa", b"ya"))  # equal last bytes, other words
-    assert not math.isclose(model.log10([a])[0], model.log10([b])[0])
-
-
 def test_trees_learn_and_traverse():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4)).astype(np.float32)
