@@ -16,7 +16,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lexiloom-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="lexiloom-"))
     return df.checkpoint()
 
 
@@ -71,18 +74,88 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def depths(parents: DataFrame, most: int = 64) -> DataFrame:
-    """``node`` and ``depth``, its longest path to a root, from (``child``, ``parent``) pairs without
-    cycles; only nodes whose depth rose go into the next round."""
-    nodes = parents.select(F.col("child").alias("node")).union(parents.select("parent")).distinct()
-    level = cut_lineage(nodes.join(parents, nodes["node"] == parents["child"], "left_anti").select("node"))
-    found = level.select("node", F.lit(0).alias("depth"))
-    for d in range(1, most):
-        level = cut_lineage(level.join(parents, level["node"] == parents["parent"]).select(F.col("child").alias("node")).distinct())
+def depths(parents: DataFrame) -> DataFrame:
+    """``node`` and ``depth``, its longest path to a root, from (``child``, ``parent``) pairs.
+
+    Only nodes whose depth rose go into the next round, and rounds go on until none does. A cycle would
+    never end, so nodes are peeled off level by level first (a node goes when all its parents have
+    gone); what is left lies on or below a cycle. An edge between two of those that lies on a cycle is
+    dropped, the one to the greater name, and the depth is taken of the rest, as a walk that comes back
+    to a node counts it as 0. Null pairs are left out; repeated pairs count once.
+    """
+    edges = cut_lineage(parents.select("child", "parent").where("child is not null and parent is not null and child <> parent").distinct())
+    nodes = parents.select(F.col("child").alias("node")).union(parents.select("parent")).where("node is not null").distinct()
+    if _has_cycle(edges):
+        edges = cut_lineage(edges.join(_on_cycles(edges), ["child", "parent"], "left_anti"))
+    level = cut_lineage(nodes.join(edges, nodes["node"] == edges["child"], "left_anti").select("node"))
+    found, d = level.select("node", F.lit(0).alias("depth")), 0
+    while True:
+        d += 1
+        level = cut_lineage(level.join(edges, level["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct())
         if level.limit(1).count() == 0:
-            break
+            return found.groupBy("node").agg(F.max("depth").alias("depth"))
         found = found.union(level.select("node", F.lit(d).alias("depth")))
-    return found.groupBy("node").agg(F.max("depth").alias("depth"))
+        if d % 16 == 0:
+            found = cut_lineage(found.groupBy("node").agg(F.max("depth").alias("depth")))
+
+
+def _has_cycle(edges: DataFrame) -> bool:
+    """Whether anything is left when nodes without parents go, again and again."""
+    left = edges
+    before = left.count()
+    while before:
+        above = left.select(F.col("child").alias("parent")).distinct()
+        left = cut_lineage(left.join(above, "parent", "left_semi").select("child", "parent"))
+        now = left.count()
+        if now == before:
+            return True
+        before = now
+    return False
+
+
+def _on_cycles(edges: DataFrame) -> DataFrame:
+    """Edges to drop: those to a greater name between nodes that have both parents and children left
+    after peeling from either side, so that no cycle remains (every cycle has an edge that rises)."""
+    left, before = edges, -1
+    while left.count() != before:
+        before = left.count()
+        left = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent")
+        left = cut_lineage(left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent"))
+    return left.where("parent > child")
+
+
+def exploded_evidence(questions: DataFrame) -> DataFrame:
+    """One row per piece of evidence of questions (``cq_id``, ``evidence_chunks``: array of structs with
+    ``chunk_id``, ``article_id``, ``paper_id``, ``score``, ``text``).
+
+    Questions and pieces with blank ids are left out, as are null arrays; the document is the article, else
+    the paper, else what stands before ``::`` in the chunk's id; a missing score is 0; a text is cut to 500
+    characters.
+    """
+    e = questions.where("trim(cq_id) <> ''").select(F.trim("cq_id").alias("cq_id"), F.posexplode("evidence_chunks").alias("pos", "e"))
+    chunk = F.trim("e.chunk_id")
+    some = lambda c: F.nullif(F.col(c), F.lit(""))
+    return e.where(chunk != "").select(
+        "cq_id", chunk.alias("chunk_id"), F.coalesce(some("e.article_id"), some("e.paper_id"), F.trim(F.substring_index(chunk, "::", 1))).alias("doc_id"),
+        F.coalesce(F.col("e.score").try_cast("double"), F.lit(0.0)).alias("score"), F.left(F.coalesce(F.col("e.text"), F.lit("")), F.lit(500)).alias("text_span"), "pos",
+    )
+
+
+def evidence_graph(rows: DataFrame, ns: str = "kg:") -> DataFrame:
+    """Triples with ``literal`` of ``exploded_evidence``: types, ids, spans, edges and one support node for
+    each question and chunk."""
+    iri = lambda kind, c: F.concat(F.lit(f"{ns}{kind}/"), T.slug(F.col(c)))
+    e = rows.select("*", iri("cq", "cq_id").alias("cq"), iri("chunk", "chunk_id").alias("chunk"), iri("paper", "doc_id").alias("paper"), F.concat(F.lit("_:s"), F.sha1(F.concat_ws("|", "cq_id", "chunk_id"))).alias("sup"))
+    t = lambda s, p, o, literal=False: F.struct(F.col(s).alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit(literal).alias("literal"))
+    c = F.col
+    span = F.nullif("text_span", F.lit(""))
+    one = F.array(
+        t("cq", "rdf:type", F.lit(f"{ns}CQ")), t("chunk", "rdf:type", F.lit(f"{ns}Chunk")), t("paper", "rdf:type", F.lit(f"{ns}Paper")), t("sup", "rdf:type", F.lit(f"{ns}Support")),
+        t("cq", f"{ns}cqId", c("cq_id"), True), t("chunk", f"{ns}chunkId", c("chunk_id"), True), t("chunk", f"{ns}docId", c("doc_id"), True), t("paper", f"{ns}docId", c("doc_id"), True), t("chunk", f"{ns}textSpan", span, True),
+        t("chunk", f"{ns}inPaper", c("paper")), t("cq", f"{ns}supportedBy", c("chunk")), t("sup", f"{ns}fromCQ", c("cq")), t("sup", f"{ns}toChunk", c("chunk")),
+        t("sup", f"{ns}score", c("score").cast("string"), True), t("sup", "prov:wasDerivedFrom", c("chunk")),
+    )
+    return e.select(F.explode(one).alias("t")).select("t.*").where("o is not null").distinct()
 
 
 def provenance(supports: DataFrame) -> DataFrame:
