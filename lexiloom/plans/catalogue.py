@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.plans import alignment, corpus, graph, identifiers, matching, questions, rdf, references, retrieval, topics  # noqa: F401
+from lexiloom.plans import alignment, corpus, enrichment, graph, identifiers, matching, questions, rdf, references, retrieval, topics  # noqa: F401
 from lexiloom.plans.registry import ORACLES, QUERIES
 
 
