@@ -58,20 +58,34 @@ def contracted(edges: DataFrame, most: int = 500_000) -> DataFrame:
     return edges.mapInPandas(run, "a long, b long")
 
 
+#: Labels whose own labels are broadcast; above it they are joined by salted keys.
+MOST, SALT = 200_000, 16
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``component``, its smallest reachable node, for the nodes of ``edges`` (a, b)."""
+    """``node`` and ``component``, its smallest reachable node, for the nodes of ``edges`` (a, b).
+
+    Edges with a null are left out; an edge of a node with itself says nothing, so its node is in the result
+    only by another edge; repeated edges count once; an empty table gives an empty one.
+    """
     spark = edges.sparkSession
-    stars = stored(contracted(edges.select("a", "b")).distinct())
+    stars = stored(contracted(edges.select("a", "b").where("a is not null and b is not null")).distinct())
     both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")))
     while True:
         sent = both.join(labels, both["a"] == labels["node"]).groupBy(F.col("b").alias("node")).agg(F.min("component").alias("m"))
-        lower = labels.join(sent, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("low"))
-        parent = lower.select(F.col("node").alias("p"), F.col("low").alias("up"))
-        jumped = lower.join(parent, lower["low"] == parent["p"], "left").select("node", F.least("low", F.coalesce("up", "low")).alias("component"), "old")
-        nxt = stored(jumped)
+        lower = stored(labels.join(sent, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("low")))
+        # a large component's label is common, so what it leads to is found once for each label
+        parent = lower.select(F.col("node").alias("low"), F.col("low").alias("up"))
+        jumps = stored(lower.select("low").distinct().join(parent, "low").where("up < low"))
+        if jumps.count() <= MOST:
+            jumped = lower.join(F.broadcast(jumps), "low", "left")
+        else:
+            salted = jumps.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+            jumped = lower.withColumn("salt", F.pmod(F.hash("node"), F.lit(SALT))).join(salted, ["low", "salt"], "left")
+        nxt = stored(jumped.select("node", F.least("low", F.coalesce("up", "low")).alias("component"), "old"))
         changed = nxt.where("component <> old").limit(1).count()
-        discard(spark, labels)
+        discard(spark, labels, lower, jumps)
         labels = nxt
         if not changed:
             discard(spark, stars)

@@ -279,9 +279,17 @@ def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _EDGE = pa.schema([("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
 
-def spread_keys(docs: DataFrame, least_words: int, edits) -> DataFrame:
+def spread_keys(docs: DataFrame, found: DataFrame, least_words: int, edits) -> DataFrame:
     """``key``, ``a`` (a line) of each key; with ``b``, a line that is tied to ``a`` by a key which is
-    frequent in one batch: that key then goes on with ``a`` alone."""
+    frequent in one batch: that key then goes on with ``a`` alone.
+
+    A line that repeats gives keys where it first stands; only if more than ``MOST`` lines repeat, every
+    task gives the keys of the lines it has.
+    """
+    spark = docs.sparkSession
+    again = found.where("n > 1").select("lid", F.col("first.doc").alias("doc"), F.col("first.line").alias("line"))
+    known = again.toPandas().sort_values("lid") if again.count() <= MOST else None
+    shared = spark.sparkContext.broadcast(None if known is None else tuple(known[c].to_numpy(np.int64) for c in ("lid", "doc", "line")))
     shortest = min((least for least, k in edits if k), default=0)
 
     def batch(key, lid):
@@ -296,13 +304,19 @@ def spread_keys(docs: DataFrame, least_words: int, edits) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(key), pa.array(lid), pa.array(other, mask=other == 0)], schema=_EDGE)
 
     def run(batches):
-        plans, seen = Plans(edits), np.zeros(0, np.int64)
+        plans, seen, firsts = Plans(edits), np.zeros(0, np.int64), shared.value
         for b in batches:
-            _, _, lines = lines_in(b.column("text").to_pylist(), least_words)
-            lines = [x for x in lines if len(x) >= shortest]
-            if not lines:
+            owner, number, lines = lines_in(b.column("text").to_pylist(), least_words)
+            long = np.array([i for i, x in enumerate(lines) if len(x) >= shortest], np.int64)
+            ids = line_ids([lines[i] for i in long])
+            if firsts is not None and len(long):
+                doc = np.array([LOWEST if d is None else d for d in b.column("doc_id").to_pylist()], np.int64)[owner[long]]
+                place = _inside(firsts[0], ids)
+                own = (place < 0) | ((firsts[1][place] == doc) & (firsts[2][place] == number[long])) if len(firsts[0]) else np.ones(len(ids), bool)
+                long, ids = long[own], ids[own]
+            if not len(long):
                 continue
-            ids = line_ids(lines)
+            lines = [lines[i] for i in long]
             fresh = _fresh(ids, seen)
             if len(seen) > 2_000_000:
                 seen = np.zeros(0, np.int64)
@@ -312,12 +326,12 @@ def spread_keys(docs: DataFrame, least_words: int, edits) -> DataFrame:
                 key, owner = keys([lines[i] for i in part], plans)
                 yield batch(key, ids[part][owner])
 
-    return texts(docs).select("text").mapInArrow(lean(run), "key long, a long, b long")
+    return texts(docs).mapInArrow(lean(run), "key long, a long, b long")
 
 
-def candidate_edges(docs: DataFrame, least_words: int, edits) -> DataFrame:
+def candidate_edges(docs: DataFrame, found: DataFrame, least_words: int, edits) -> DataFrame:
     """Edges (``a`` < ``b``, ``sure``) of lines that share a key; ``sure`` ones are ties."""
-    rows = spread_keys(docs, least_words, edits)
+    rows = spread_keys(docs, found, least_words, edits)
     ordered = rows.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
 
     def run(batches):
@@ -461,9 +475,9 @@ def family_links(lids: list[int], lines: list[str], settled: np.ndarray, part: i
     return [(x, r) for x in forest.up if (r := forest.root(x)) != x]
 
 
-def line_links(docs: DataFrame, least_words: int, edits) -> DataFrame:
+def line_links(docs: DataFrame, found: DataFrame, least_words: int, edits) -> DataFrame:
     """Verified links (``a``, ``b``) that connect the lines within the threshold."""
-    edges = stored(candidate_edges(docs, least_words, edits))
+    edges = stored(candidate_edges(docs, found, least_words, edits))
     wanted = edges.select("a").union(edges.select("b")).distinct()
     line = stored(lines_of(docs, wanted, least_words))
     pairs = edges.select("a", "b").join(line.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a").join(line.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
@@ -514,7 +528,7 @@ def repeated(docs: DataFrame, edits=EDITS, least_words: int = 1) -> DataFrame:
     """``lid``, ``doc``, ``line``: of each line that isn't alone in its kind, where the kind's
     first line is."""
     found = stored(first_lines(docs, least_words))
-    kinds = components(line_links(docs, least_words, edits))
+    kinds = components(line_links(docs, found, least_words, edits))
     named = found.join(kinds, found["lid"] == kinds["node"], "left").where("n > 1 or component is not null")
     named = named.select("lid", F.coalesce("component", "lid").alias("kind"), "first")
     least = named.groupBy("kind").agg(F.min("first").alias("m"))
