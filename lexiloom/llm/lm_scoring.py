@@ -147,7 +147,7 @@ class Mixer:
         the grades (0 to 3). ``look``: table and slots -> logits and grades."""
         size = self.code.size[symbols]
         way = spread(self.code.start[symbols], size)
-        owner = np.repeat(np.arange(len(symbols), dtype=np.int32), size)
+        owner = np.repeat(np.arange(len(symbols)), size)
         node = self.code.node.take(way)
         salt, root = node * np.uint32(0x9E3779B1), np.uint32((len(self.code.static) - 1) * 0x9E3779B1 & 0xFFFFFFFF)
         slots, x, grades = [], [self.code.static.take(node)], []
@@ -194,8 +194,9 @@ class Mixer:
         self.groups += 1
         for i, v in enumerate(x):
             self.weights[i] += rate * np.bincount(gate, err * v, GATES) / (self.steep[i] + 5)
+        one = np.ones(len(turn), np.float32)  # an array of the table's type takes numpy's fast way
         for table, slot in zip(self.tables, slots, strict=True):
-            np.add.at(table.ravel(), slot.astype(np.int64) * 2 + turn, np.float32(1))
+            np.add.at(table.ravel(), slot.astype(np.int64) * 2 + turn, one)
 
     def log10(self, symbols, contexts, flag) -> np.ndarray:
         """Of each symbol, from trained tables of ``states``."""
