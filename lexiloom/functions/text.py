@@ -133,3 +133,9 @@ def clean_str(x: Column) -> Column:
     """Trimmed text; empty, ``nan``, ``none`` and ``null`` are missing."""
     y = F.trim(x.cast("string"))
     return F.when(~F.lower(y).isin("", "nan", "none", "null"), y)
+
+
+def once(x: Column) -> Column:
+    """A value that takes long, computed once a row: filters and projections that read it stay above the
+    generator instead of copying it."""
+    return F.explode_outer(F.array(x))

@@ -9,8 +9,10 @@ from lexiloom.functions import text as T
 
 
 def tokenized(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and ``tokens`` after all vocabulary rules."""
-    return docs.select("doc_id", T.kept_tokens(T.topic_tokens(F.col("text"))).alias("tokens"))
+    """``doc_id`` and ``tokens`` after all vocabulary rules. A null text has null tokens, an empty one none;
+    rows that repeat an id are documents of their own here and one in what counts by id."""
+    raw = docs.select("doc_id", T.once(T.topic_tokens(F.col("text"))).alias("raw"))
+    return raw.select("doc_id", T.once(T.kept_tokens(F.col("raw"))).alias("tokens"))
 
 
 def term_statistics(tokens: DataFrame) -> DataFrame:
@@ -45,10 +47,11 @@ def filter_reason(token, min_len: int = 3):
 
 
 def word_chunks(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFrame:
-    """``doc_id``, ``chunk_index``, ``chunk``: the text itself if it is short, else word windows."""
+    """``doc_id``, ``chunk_index``, ``chunk``: the text itself if it is short, else word windows. A null text has no
+    chunk, an empty one itself; repeated rows are cut each."""
     words = F.filter(F.split(F.col("text"), r"(?U)\s+"), lambda w: w != "")
     step = size - overlap
-    parts = docs.select("doc_id", "text", words.alias("w")).select(
+    parts = docs.select("doc_id", "text", T.once(words).alias("w")).select(
         "doc_id",
         F.when(F.size("w") <= size, F.array("text")).otherwise(
             F.transform(F.sequence(F.lit(0), F.size("w") - 1, F.lit(step)), lambda i: F.array_join(F.slice(F.col("w"), i + 1, size), " "))
@@ -58,7 +61,8 @@ def word_chunks(docs: DataFrame, size: int = 512, overlap: int = 50) -> DataFram
 
 
 def char_chunks(docs: DataFrame, size: int = 1000, overlap: int = 300, least: int = 200) -> DataFrame:
-    """Character windows up to the first that is too short once stripped or that reaches the end."""
+    """Character windows up to the first that is too short once stripped or that reaches the end. Null and
+    empty texts have none; repeated rows are cut each."""
     n = F.length("text")
     step = size - overlap
     starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((n - size) / step).cast("int")) * step, F.lit(step))).otherwise(F.array().cast("array<int>"))
@@ -67,5 +71,5 @@ def char_chunks(docs: DataFrame, size: int = 1000, overlap: int = 300, least: in
         lambda s: F.struct(s.alias("start_char"), F.least(s + size, n).alias("end_char"), F.regexp_replace(F.substring(F.col("text"), s + 1, F.lit(size)), r"(?U)^\s+|\s+$", "").alias("chunk")),
     )
     bad = F.filter(F.transform(F.col("x"), lambda c, i: F.when(F.length(c["chunk"]) < least, i)), lambda i: i.isNotNull())
-    kept = docs.select("doc_id", windows.alias("x")).select("doc_id", F.slice("x", 1, F.coalesce(F.array_min(bad), F.size("x"))).alias("x"))
+    kept = docs.select("doc_id", T.once(windows).alias("x")).select("doc_id", F.slice("x", 1, F.coalesce(F.array_min(bad), F.size("x"))).alias("x"))
     return kept.select("doc_id", F.posexplode("x").alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.*")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
+from lexiloom.operators.graph import cut_lineage
 
 #: Queries that one block of the vector search holds.
 BLOCK = 4096
@@ -19,11 +20,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75)
     Postings are cut to the queries' tokens before the join that scores them; idf is
     ln(1 + (N - df + 0.5) / (df + 0.5)).
     """
-    tokens = docs.select("doc_id", T.word_tokens(F.lower("text")).alias("t"))
+    tokens = docs.select("doc_id", T.once(T.word_tokens(F.lower("text"))).alias("t"))
     facts = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean"))
     asked = queries.select("query_id", F.explode(F.array_distinct(T.word_tokens(F.lower("text")))).alias("token"))
     wanted = asked.select("token").distinct()
     postings = tokens.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("token")).join(wanted, "token", "left_semi").groupBy("token", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    postings = cut_lineage(postings)
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     scored = postings.join(df, "token").crossJoin(F.broadcast(facts)).select(
         "token", "doc_id",

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import similarity as S
 from lexiloom.functions import text as T
+from lexiloom.operators.corpus import tokenized
+from lexiloom.operators.graph import cut_lineage
 
 
 def cooccurrence(docs: DataFrame, words: DataFrame) -> DataFrame:
@@ -16,9 +18,9 @@ def cooccurrence(docs: DataFrame, words: DataFrame) -> DataFrame:
     Documents are cut to the words asked for before pairs are made, so pairs depend on the
     words and not on the documents' length.
     """
-    tokens = docs.select("doc_id", F.array_distinct(T.k_tokens(F.col("text"))).alias("t")).where(F.size("t") > 0)
+    tokens = docs.select("doc_id", T.once(F.array_distinct(T.k_tokens(F.col("text")))).alias("t")).where(F.size("t") > 0)
     n = tokens.agg(F.count(F.lit(1)).alias("n"))
-    hits = tokens.select("doc_id", F.explode("t").alias("word")).join(words, "word", "left_semi")
+    hits = cut_lineage(tokens.select("doc_id", F.explode("t").alias("word")).join(words, "word", "left_semi"))
     df = hits.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     own = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("word")).alias("w"))  # at most the words asked for
     pair = F.flatten(F.transform("w", lambda a: F.transform(F.filter("w", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
@@ -80,7 +82,7 @@ def lda_terms(docs: DataFrame, k: int = 4, terms: int = 10, seed: int = 1) -> Da
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
-    tokens = docs.select("doc_id", T.kept_tokens(T.topic_tokens(F.col("text"))).alias("tokens"))
+    tokens = tokenized(docs)
     vocabulary = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=5000, minDF=2, maxDF=0.7).fit(tokens)
     model = LDA(k=k, maxIter=10, seed=seed, optimizer="online").fit(vocabulary.transform(tokens))
     words = F.array(*[F.lit(w) for w in vocabulary.vocabulary])

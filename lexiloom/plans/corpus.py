@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.operators import corpus as C
+from lexiloom.operators.graph import cut_lineage
 from lexiloom.plans.registry import query, table
 
 
@@ -45,7 +47,7 @@ SELECT k AS documents, (SELECT count(*) FROM documents) AS documents_total, (SEL
 )
 def vocab_stats_row(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    kept = C.tokenized(docs).where(F.size("tokens") >= 20)
+    kept = cut_lineage(C.tokenized(docs).where(F.size("tokens") >= 20))  # read three times
     terms = C.term_statistics(kept).agg(
         F.sum("tf").alias("total_tokens"), F.count(F.lit(1)).alias("unique_tokens"), F.round(F.count_if(F.col("tf") == 1) / F.count(F.lit(1)), 6).alias("hapax_share")
     )
@@ -65,7 +67,7 @@ SELECT reason, count(*) AS n FROM r GROUP BY reason"""
 )
 def dictionary_filter_reasons(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    terms = C.term_statistics(docs.select("doc_id", T.topic_tokens(F.col("text")).alias("tokens")))
+    terms = C.term_statistics(docs.select("doc_id", T.once(T.topic_tokens(F.col("text"))).alias("tokens")))
     n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     bounded = terms.crossJoin(F.broadcast(n)).where("df >= 2 and tf >= 2 and df <= 0.7 * n_docs").orderBy(F.desc("tf"), "token").limit(50_000)
     return bounded.groupBy(F.coalesce(C.filter_reason(F.col("token")), F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
@@ -173,8 +175,7 @@ def vw_lines(spark, sf_dir):
 SELECT doc_id, CAST(page AS INT) AS page, CAST(coalesce(sum(length(line) + 2) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_char FROM p"""
 )
 def page_offsets(spark, sf_dir):
-    """Running start of each line, as of pages joined by two characters, inside the row: no shuffle."""
-    lines = F.split("text", "\n")
-    before = F.aggregate(lines, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 2)))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.slice(before, 1, F.size(lines)).alias("s"))
-    return docs.select("doc_id", F.posexplode("s").alias("p", "start_char")).select("doc_id", (F.col("p") + 1).alias("page"), "start_char")
+    """Running start of each line, as of pages joined by two characters."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    above = Window.partitionBy("doc_id").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    return lines.select("doc_id", (F.col("p") + 1).alias("page"), F.coalesce(F.sum((F.length("line") + 2).cast("long")).over(above), F.lit(0)).alias("start_char"))

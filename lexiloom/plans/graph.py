@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators import graph as G
@@ -59,17 +60,21 @@ def kg_stats(spark, sf_dir):
 @query(
     f"""WITH {EDGES}, v AS (SELECT count(*) AS n FROM (SELECT s FROM g UNION SELECT o FROM g)), c AS (SELECT p, count(*) AS c FROM g GROUP BY p), t AS (SELECT sum(c) AS m FROM c)
 SELECT n AS n_nodes, CAST(m AS BIGINT) AS n_edges, round(m / (n * (n - 1)), 6) AS density, round(2 * m / n, 4) AS avg_degree,
- round((SELECT -sum(c / m * log2(c / m)) FROM c), 4) AS predicate_entropy, round((SELECT max(c) FROM c) / m, 4) AS top1_share, 1.0::DOUBLE AS top3_share FROM v, t"""
+ round((SELECT -sum(c / m * log2(c / m)) FROM c), 4) AS predicate_entropy, round((SELECT max(c) FROM c) / m, 4) AS top1_share, round((SELECT sum(c) FROM (SELECT c FROM c ORDER BY c DESC LIMIT 3)) / m, 4) AS top3_share FROM v, t"""
 )
 def graph_metrics(spark, sf_dir):
     return G.edge_metrics(edges(spark, sf_dir))
 
 
-CHAIN = "l AS (SELECT doc_id AS a, doc_id + 1 AS b FROM documents WHERE doc_id % 5 <> 4)"
+#: Every customer is tied to the next one of its nation and segment and to its orders: components grow with the tables.
+CHAIN = """l AS (SELECT c_custkey AS a, lead(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS b FROM customer QUALIFY b IS NOT NULL
+UNION ALL SELECT o_custkey, 1000000000 + o_orderkey FROM orders)"""
 
 
 def chain(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where("doc_id % 5 <> 4").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
+    following = F.lead("c_custkey").over(Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey"))
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("a"), following.alias("b")).where("b is not null")
+    return own.unionByName(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (1_000_000_000 + F.col("o_orderkey")).alias("b")))
 
 
 @query(
@@ -115,7 +120,7 @@ def schema_metrics(spark, sf_dir):
 
 @query(
     f"""WITH {EVIDENCE}, c AS (SELECT paper, count(*) AS c FROM e GROUP BY paper), t AS (SELECT count(*) AS n FROM e)
-SELECT n AS n_statements, 1.0::DOUBLE AS evidence_coverage, (SELECT count(*) FROM c) AS doc_diversity, round((SELECT max(c) FROM c) / n, 4) AS doc_top1_share,
+SELECT n AS n_statements, round((SELECT count(*) FILTER (coalesce(trim(paper), '') <> '') FROM e) / n, 4) AS evidence_coverage, (SELECT count(*) FROM c) AS doc_diversity, round((SELECT max(c) FROM c) / n, 4) AS doc_top1_share,
  round((SELECT -sum(c / n * log2(c / n)) FROM c), 4) AS doc_entropy, round((SELECT avg(score::DOUBLE) FROM e), 4) AS score_mean,
  round((SELECT count(*) FILTER (score >= 0.5) FROM e) / n, 4) AS score_ge_05, round((SELECT count(*) FILTER (score >= 0.7) FROM e) / n, 4) AS score_ge_07, round((SELECT count(*) FILTER (score >= 0.9) FROM e) / n, 4) AS score_ge_09 FROM t"""
 )

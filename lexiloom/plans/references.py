@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiloom.operators import references as R
+from lexiloom.operators import layout as L
 from lexiloom.plans.registry import query, table
 
 
@@ -79,10 +80,9 @@ SELECT c.doc_id || ':' || a AS chunk, min(page) AS page_start, max(page) AS page
 )
 def chunk_pages(spark, sf_dir):
     """Lines as pages, windows of 1000 characters every 700 as chunks."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.split("text", "\n").alias("w"))
-    starts = F.aggregate("w", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x) + 1)))
-    pages = docs.select(F.col("doc_id").alias("doc"), starts.alias("s")).select("doc", F.posexplode(F.arrays_zip(F.slice("s", 1, F.size("s") - 1).alias("a"), F.slice("s", 2, F.size("s")).alias("b"))).alias("i", "x"))
-    pages = pages.select("doc", (F.col("i") + 1).cast("long").alias("page"), F.col("x.a").alias("start"), F.col("x.b").alias("stop"))
+    docs = table(spark, sf_dir, "documents")
+    lines = L.lines_of(docs.select(F.col("doc_id").alias("doc"), "text"))
+    pages = lines.select("doc", (F.col("n") + 1).cast("long").alias("page"), "start", (F.col("start") + F.length("line") + 1).alias("stop"))
     n = F.length("text")
     windows = docs.where(n > 0).select(F.col("doc_id").alias("doc"), n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1, F.lit(700))).alias("start_char"))
     chunks = windows.select("doc", F.concat_ws(":", "doc", "start_char").alias("chunk"), "start_char", F.least(F.col("start_char") + 1000, F.col("n")).alias("end_char"))
