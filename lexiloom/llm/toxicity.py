@@ -3,8 +3,9 @@
 Lexicons are mined from at most ``most`` labelled training rows of each class (a documented bound):
 words and word beginnings that stand in toxic documents and hardly in others. They are dealt
 into many voters, beside fixed pattern voters. A generative label model (two latent classes,
-fitted by EM) estimates how often each voter speaks in either class; the votes' correlations
-within the classes weaken voters that repeat each other. Its posterior labels train a linear
+fitted by EM) estimates how often each voter speaks in either class and how votes depend on one
+another inside the classes, along a tree of pairs; the sampled rows' labels are one more voter to it,
+whose errors it estimates like the others'. Its posterior labels train a linear
 classifier on terms and votes, which scores every document in one map without a shuffle. Only
 the text is an input of the score.
 
@@ -95,36 +96,101 @@ class Model:
         return {**self.__dict__, "memo": {}}
 
 
-def label_model(votes: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of the toxic class, rates [2, voters] at which voters speak, and voter weights.
+def tree_of(pairs: np.ndarray, least: float) -> np.ndarray:
+    """Parent of each voter in the tree of greatest total information, Prim's way; -1 for roots, which are
+    those whose best pair has less than ``least``."""
+    v = len(pairs)
+    parent = np.full(v, -1)
+    best, near = pairs[0].copy(), np.zeros(v, np.int64)
+    inside = np.zeros(v, bool)
+    inside[0] = True
+    for _ in range(v - 1):
+        i = int(np.where(inside, -np.inf, best).argmax())
+        parent[i], inside[i] = near[i] if best[i] >= least else -1, True
+        closer = pairs[i] > best
+        best, near = np.where(closer, pairs[i], best), np.where(closer, i, near)
+    return parent
+
+
+class LabelModel:
+    """Two latent classes, in each of which the voters' votes depend on one another along a tree.
+
+    ``rates`` [2, voters]: how often each voter speaks in a class. ``parent`` and ``given`` [2, 2, voters]: how often
+    it speaks in a class when its parent is silent or speaks; the tree holds the pairs that share most
+    information inside the classes, so voters that repeat each other count about once. All are fitted by EM.
+    """
 
-    A voter's weight is one over one plus the sum of its correlations with the others inside the
-    classes, so that a group of repeating voters counts about as one.
+    def __init__(self, v: int):
+        self.prior, self.rates = 0.5, np.full((2, v), 0.5)
+        self.parent, self.given = np.full(v, -1), np.full((2, 2, v), 0.5)
+
+    def fit(self, x: np.ndarray, post: np.ndarray, least: float) -> None:
+        """Parameters from votes and the posterior of the toxic class; pairs share ``least`` nats a row."""
+        self.prior = float(np.clip(post.mean(), 0.02, 0.98))
+        mass = (1 - post, post)
+        both = [(x * p[:, None]).T @ x for p in mass]
+        total = [p.sum() for p in mass]
+        for y in (0, 1):
+            self.rates[y] = (np.diag(both[y]) + 0.5 * (0.2 if y else 0.02)) / (total[y] + 0.5)
+        self.rates = np.clip(self.rates, 1e-4, 1 - 1e-4)
+        self.rates[1] = np.maximum(self.rates[1], self.rates[0])  # a voter speaks for the toxic class only
+        info = np.zeros((x.shape[1], x.shape[1]))
+        for y in (0, 1):
+            p1 = np.diag(both[y]) / max(total[y], 1e-9)
+            p11 = both[y] / max(total[y], 1e-9)
+            cells = ((p11, p1[:, None] * p1), (p1[:, None] - p11, p1[:, None] * (1 - p1)), (p1 - p11, (1 - p1)[:, None] * p1), (1 - p1[:, None] - p1 + p11, (1 - p1)[:, None] * (1 - p1)))
+            info += total[y] * sum(np.where(a > 1e-9, a * np.log(np.maximum(a, 1e-12) / np.maximum(b, 1e-12)), 0) for a, b in cells)
+        np.fill_diagonal(info, -np.inf)
+        self.parent = tree_of(info, least * len(x))
+        strength = 4.0  # rows that the voter's own rate weighs beside the pair's counts
+        for y in (0, 1):
+            own = np.diag(both[y])
+            spoke = both[y][self.parent, np.arange(len(own))]
+            parent_spoke = own[self.parent]
+            for k, (n, d) in enumerate(((own - spoke, total[y] - parent_spoke), (spoke, parent_spoke))):
+                self.given[y, k] = np.clip((n + strength * self.rates[y]) / (d + strength), 1e-4, 1 - 1e-4)
+        root = self.parent < 0
+        for y in (0, 1):
+            self.given[y][:, root] = self.rates[y][root]
+
+    def posterior(self, x: np.ndarray) -> np.ndarray:
+        above = x[:, self.parent].astype(bool)
+        logit = np.full(len(x), np.log(self.prior / (1 - self.prior)))
+        for y, sign in ((1, 1), (0, -1)):
+            p = np.where(above, self.given[y, 1], self.given[y, 0])
+            logit += sign * np.where(x > 0, np.log(p), np.log(1 - p)).sum(axis=1)
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def label_model(votes: np.ndarray, said: np.ndarray | None = None, rounds: int = 50) -> tuple[np.ndarray, LabelModel]:
+    """Posterior of the toxic class and the fitted model.
+
+    said: labels of the rows, which vote too. Their rates in the classes are fitted like the others', but stay
+    at least 0.9 and at most 0.05, so that the classes are the ones that the labels mean; they depend on no
+    other voter. Without labels the tree could take over what the classes should explain, so then it keeps only
+    pairs that share 0.1 nats a row.
     """
     n, v = votes.shape
-    x = votes.astype(np.float64)
-    # rare votes say more; at first the class is split at the mean of what the votes say
-    said = x @ -np.log(np.clip(x.mean(0), 1e-3, 0.999)) if n else np.zeros(0)
-    post = np.clip(0.5 + 0.45 * np.sign(said - said.mean()), 0.05, 0.95) if n else said
-    weight, rates = np.ones(v), np.zeros((2, v))
-    for step in range(rounds):
-        prior = float(np.clip(post.mean(), 0.02, 0.98)) if n else 0.5
-        for y, p in ((1, post), (0, 1 - post)):
-            rates[y] = (p @ x + 0.5 * (0.02 if y == 0 else 0.2)) / (p.sum() + 0.5)
-        rates = np.clip(rates, 1e-4, 1 - 1e-4)
-        rates[1] = np.maximum(rates[1], rates[0])  # a voter speaks for the toxic class only
-        if n and step % 5 == 0:
-            inside = np.zeros((v, v))
-            for y, p in ((1, post), (0, 1 - post)):
-                centred = x - rates[y]
-                cov = (centred * p[:, None]).T @ centred / max(p.sum(), 1e-9)
-                scale = np.sqrt(np.clip(np.diag(cov), 1e-6, None))
-                inside += p.sum() / n * np.abs(cov / scale / scale[:, None])
-            np.fill_diagonal(inside, 0)
-            weight = 1 / (1 + np.where(inside > 0.3, inside, 0).sum(1))
-        logit = np.log(prior / (1 - prior)) + x @ (weight * np.log(rates[1] / rates[0])) + (1 - x) @ (weight * np.log((1 - rates[1]) / (1 - rates[0])))
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, rates, weight
+    x, model = votes.astype(np.float64), LabelModel(v)
+    if not n:
+        return np.zeros(0), model
+    if said is None:  # rare votes say more; at first the class is split at the mean of what the votes say
+        weight = x @ -np.log(np.clip(x.mean(0), 1e-3, 0.999))
+        post = np.clip(0.5 + 0.45 * np.sign(weight - weight.mean()), 0.05, 0.95)
+    else:
+        post = np.where(said, 0.95, 0.05)
+    for _ in range(rounds):
+        model.fit(x, post, 0.1 if said is None else 0.0)
+        new = model.posterior(x)
+        if said is not None:
+            hit, miss = max(0.9, float(post[said].sum() / post.sum())), min(0.05, float((1 - post)[said].sum() / (1 - post).sum()))
+            odds = new / (1 - new) * np.where(said, hit / max(miss, 1e-3), (1 - min(hit, 0.999)) / (1 - miss))
+            new = odds / (1 + odds)
+        done = np.abs(new - post).max() < 1e-6
+        post = new
+        if done:
+            break
+    return post, model
 
 
 def linear(rows: np.ndarray, cols: np.ndarray, n: int, width: int, target: np.ndarray, steps: int = 400, rate: float = 0.5, l2: float = 1e-4):
@@ -168,15 +234,16 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
 
     def run(frames):
         for pdf in frames:
-            yield pd.DataFrame({"found": [model.found(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"y": pdf["y"], "found": [model.found(t) for t in pdf["text"]]})
 
-    found = sorted(map(tuple, sample.select("text").mapInPandas(run, "found array<int>").toPandas()["found"]))
+    known = sample.select("y", "text").mapInPandas(run, "y int, found array<int>").toPandas()
+    said, found = zip(*sorted(zip(known["y"], map(tuple, known["found"]), strict=True)), strict=True)
     rows = np.repeat(np.arange(len(found)), list(map(len, found)))
     cols = np.array([c for f in found for c in f], np.int64)
     votes = np.zeros((len(found), VOTERS), bool)
     spoke = cols >= len(best)
     votes[rows[spoke], cols[spoke] - len(best)] = True
-    post, _, _ = label_model(votes)
+    post, _ = label_model(votes, np.array(said, bool))
     model.weights, model.bias = linear(rows, cols, len(found), len(best) + VOTERS, post)
     return model
 

@@ -454,9 +454,16 @@ def test_label_model_finds_accuracies():
     rates = [(0.8, 0.02), (0.7, 0.05), (0.3, 0.01), (0.6, 0.3)]
     votes = np.column_stack([rng.random(4000) < np.where(y, a, b) for a, b in rates])
     votes = np.column_stack([votes, votes[:, 3]])  # a voter that repeats another
-    post, found, weight = toxicity.label_model(votes)
+    post, model = toxicity.label_model(votes)
     assert ((post > 0.5) == y).mean() > 0.85
-    assert found[1, 0] > found[1, 2] and weight[4] < 0.8 and weight[0] > weight[4]
+    assert model.rates[1, 0] > model.rates[1, 2]
+    # the pair that repeats itself is an edge of the tree, and the repetition says next to nothing
+    child, parent = (4, 3) if model.parent[4] == 3 else (3, 4)
+    assert model.parent[child] == parent
+    assert abs(model.given[1, 1, child] - model.given[0, 1, child]) < 0.02 and model.given[0, 1, child] > 0.98
+    said = np.where(rng.random(4000) < 0.05, ~y, y)  # labels with errors
+    assert ((toxicity.label_model(votes, said)[0] > 0.5) == y).mean() > 0.95
+    assert len(toxicity.label_model(votes[:0])[0]) == 0
 
 
 def test_host_rates_are_the_same_by_either_join(spark):
