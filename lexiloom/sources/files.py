@@ -105,3 +105,50 @@ def append_new(rows: DataFrame, path: str, key: str, done: DataFrame | None) ->
     """Append the rows whose key isn't in ``done``: how an interrupted run goes on."""
     todo = rows if done is None else rows.join(done.select(key).distinct(), key, "left_anti")
     todo.write.mode("append").json(path)
+
+
+def numbered_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines; blank ones are skipped, and a bad one raises an error with its file and number. Each
+    file is read as a whole to number its lines."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("f"), F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where("trim(line) <> ''")
+    good = F.col("line").rlike(r"^\s*\{") & F.try_parse_json("line").isNotNull()
+    told = F.raise_error(F.concat(F.lit("bad line "), (F.col("n") + 1).cast("string"), F.lit(" of "), F.col("f")))
+    checked = whole.select(F.when(good, F.col("line")).otherwise(told.cast("string")).alias("line"))
+    return checked.select(F.from_json("line", schema).alias("r")).select("r.*")
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """One text column as lines: Vowpal Wabbit and the like."""
+    rows.write.mode("overwrite").text(path)
+
+
+def write_metrics(rows: DataFrame, path: str, columns: list[str], ranked_path: str | None = None, order=None) -> None:
+    """A table of metrics as CSV in a fixed order of columns, and in the order given as a second file. There is a
+    row for each data set, so one file holds them."""
+    fixed = rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in columns])
+    fixed.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    if ranked_path is not None:
+        order(rows).select(*[c for c in columns if c in rows.columns]).coalesce(1).write.mode("overwrite").option("header", True).csv(ranked_path)
+
+
+def write_document(row: DataFrame, path: str) -> None:
+    """A row of metrics as one JSON document; numbers that JSON can't hold are missing."""
+    clean = [F.when(~F.isnan(f.name) & (F.abs(f.name) != float("inf")), F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f.name) for f in row.schema.fields]
+    row.select(*clean).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_table(rows: DataFrame, path: str) -> str:
+    """Parquet or, where a column's type or name isn't allowed there, CSV; gives the format."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows.write.mode("overwrite").parquet(path)
+        return "parquet"
+    except AnalysisException:
+        rows.select(*[F.col(f"`{c}`").cast("string") for c in rows.columns]).write.mode("overwrite").option("header", True).csv(path)
+        return "csv"
+
+
+def write_by_dataset(rows: DataFrame, path: str, key: str = "dataset") -> None:
+    """The vector store's tables: Parquet in a folder for each data set, which a rerun replaces alone."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)

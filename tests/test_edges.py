@@ -1,0 +1,168 @@
+"""Nulls, ties, repeats, empty tables and clashing columns in the library's operators; readers and writers."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from lexiloom.operators import alignment, corpus, enrichment, graph, layout, matching, rdf, retrieval, topicflow
+from lexiloom.sources import files
+from lexiloom.sources import rdf as rdf_files
+
+DOCS = [(1, None), (2, ""), (3, "one two"), (3, "one two"), (None, "word " * 1500), (5, "x" * 30_000)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = spark.createDataFrame(DOCS, "doc_id long, text string")
+    return rows.withColumns({"tokens": F.lit("t"), "chunk": F.lit("c"), "n": F.lit(1), "score": F.lit(0.5)})
+
+
+@pytest.fixture(scope="module")
+def nothing(docs):
+    return docs.where("false")
+
+
+def test_chunks_and_statistics(docs, nothing):
+    words = corpus.word_chunks(docs).groupBy("doc_id").count().collect()
+    assert {r["doc_id"]: r["count"] for r in words} == {2: 1, 3: 2, None: 4, 5: 1}
+    chars = {r["doc_id"]: r["count"] for r in corpus.char_chunks(docs).groupBy("doc_id").count().collect()}
+    assert 1 not in chars and 2 not in chars and chars[5] == 43
+    assert corpus.word_chunks(nothing).count() == corpus.char_chunks(nothing).count() == 0
+    terms = {r["token"]: (r["tf"], r["df"]) for r in corpus.term_statistics(corpus.tokenized(docs)).collect()}
+    assert terms["word"] == (1500, 1) and terms["one"] == (2, 1)
+    assert corpus.term_statistics(corpus.tokenized(nothing)).count() == 0
+
+
+def test_retrieval_of_nothing_and_of_ties(docs, nothing):
+    ask = docs.where("doc_id = 3").limit(1).select(F.lit(7).alias("query_id"), "text")
+    found = retrieval.top_k(retrieval.bm25(docs, ask), 3).collect()
+    assert [r["doc_id"] for r in found] == [3]
+    assert retrieval.bm25(nothing, ask).count() == retrieval.bm25(docs, ask.where("false")).count() == 0
+
+
+def test_cascade_and_containment(spark, docs, nothing):
+    refs = spark.createDataFrame([(1, "a", "x"), (2, None, "x"), (3, None, None), (1, "a", "x")], "ref int, p string, q string")
+    source = spark.createDataFrame([(9, "a", "x"), (8, "a", "x"), (7, None, "x")], "id int, p string, q string")
+    rows = {(r["ref"], r["id"], r["stage"]) for r in matching.cascade(refs, source, "ref", "id", [["p"], ["q"]]).collect()}
+    assert rows == {(1, 8, 0), (2, 7, 1)}
+    lexicon = spark.createDataFrame([("e", "one two"), ("f", None)], "entity string, surface string")
+    assert [tuple(r) for r in matching.containment(docs.select("doc_id", "text"), lexicon, [2]).collect()] == [("e", 3)]
+    assert matching.containment(nothing.select("doc_id", "text"), lexicon, [2]).count() == 0
+
+
+def test_depths_of_long_chains_and_cycles(spark):
+    chain = spark.createDataFrame([(i + 1, i) for i in range(90)], "child long, parent long")
+    assert graph.depths(chain).agg(F.max("depth")).collect()[0][0] == 90  # past the bound there was
+    loop = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("d", None), (None, "d"), ("e", "e"), ("e", "c")], "child string, parent string")
+    got = {r["node"]: r["depth"] for r in graph.depths(loop).collect()}
+    assert set(got) == {"a", "b", "c", "d", "e"} and got["d"] == 0 and got["c"] == got["a"] + 1 and got["e"] == got["c"] + 1
+    assert {got["a"], got["b"]} == {0, 1}
+    assert graph.depths(chain.where("false")).count() == 0
+
+
+def test_graph_measures_of_nothing(spark):
+    none = spark.createDataFrame([], "s string, p string, o string, literal boolean")
+    assert rdf.stats(none).collect()[0].asDict() == {"triples": 0, "resources": 0, "literals": 0, "blank_nodes": 0}
+    assert rdf.typed_counts(none).collect()[0]["typed_ratio"] == 1.0
+    assert rdf.richness(none).collect()[0]["inheritance_richness"] == 0.0
+    assert rdf.supports(none).count() == rdf.entity_edges(none).count() == rdf.expanded(none, "rdfs:domain").count() == 0
+    odd = spark.createDataFrame([("a", None, "b", False), (None, "p", "b", True), ("a", "p", "b", False), ("a", "p", "b", False)], none.schema)
+    assert rdf.statements(odd).count() == 1
+
+
+def test_supports_by_file_and_without_chunk(spark):
+    rows = [("_:1", "rdf:type", "kg:Support"), ("_:2", "rdf:type", "kg:Support"), ("_:2", "prov:wasDerivedFrom", "kg:chunk/c2"), ("_:2", "kg:score", "no number"), ("kg:chunk/c2", "kg:docId", "own")]
+    g = spark.createDataFrame([(*r, False) for r in rows], "s string, p string, o string, literal boolean")
+    got = rdf.supports(g).collect()
+    assert [(r["chunk_id"], r["doc_id"], r["score"], r["has_prov"]) for r in got] == [("c2", "own", 0.0, True)]
+    told = spark.createDataFrame([("c2", "file")], "chunk_id string, doc_id string")
+    assert rdf.supports(g, told).collect()[0]["doc_id"] == "file"
+
+
+def test_alignment_rules(spark):
+    triples = [("o#GraphModel", "rdf:type", "owl:Class"), ("o#uses_data", "rdf:type", "owl:ObjectProperty"), ("o#x", "rdf:type", "owl:DatatypeProperty"), ("o#x", "rdfs:label", "the curve")]
+    names = alignment.lexicon(spark.createDataFrame([(*t, False) for t in triples], "s string, p string, o string, literal boolean"))
+    questions = spark.createDataFrame([(1, "Which data uses it?"), (2, None), (3, ""), (4, "A curve?"), (5, "graphmodel"), (6, "How many?")], "id int, text string")
+    rows = {r["id"]: r for r in alignment.grounding(questions, names).collect()}
+    assert rows[1]["properties"] == ["o#uses_data"] and rows[4]["properties"] == ["o#x"] and rows[5]["classes"] == ["o#GraphModel"]
+    assert not rows[2]["grounded"] and not rows[3]["grounded"] and rows[6]["intents"] == ["numeric"] and not rows[6]["supported"]
+    assert alignment.grounding(questions.where("false"), names).count() == 0
+
+
+def test_enrichment_of_odd_references(spark):
+    c = F.col
+    rows = spark.createDataFrame([(1, "nan", None, "https://arxiv.org/abs/2101.00001v3"), (2, "https://doi.org/10.1234/abc", "none", None), (3, None, None, None)], "ref int, doi string, raw string, url string")
+    got = {r["ref"]: (r["a"], r["d"]) for r in rows.select("ref", enrichment.arxiv_of(c("doi"), c("url"), F.lit(None).cast("string"), c("raw"), F.lit("x")).alias("a"), enrichment.doi_of(c("doi"), c("url"), c("raw")).alias("d")).collect()}
+    assert got == {1: ("2101.00001", None), 2: (None, "10.1234/abc"), 3: (None, None)}
+    lists = spark.createDataFrame([("['A B', \"C\"]",), ("A; B",), (None,), ("[]",)], "a string").select(enrichment.author_list(c("a")).alias("l")).collect()
+    assert [r["l"] for r in lists] == [["A B", "C"], ["A", "B"], [], []]
+    pair = spark.createDataFrame([("Deep learning of large graphs", 2020, "Deep learning of large graphs.", 2023), ("Deep learning of large graphs", 2020, "Deep Learning of Large Graphs", None), ("a", 1, "", 1)], "title string, year int, c_title string, c_year int")
+    assert enrichment.valid_candidates(pair).count() == 1 and enrichment.valid_candidates(pair, strict=False).count() == 1
+    assert enrichment.valid_candidates(pair.where("false")).count() == 0
+
+
+def test_layout_of_odd_texts(spark):
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, "1. First heading here\n" + "x" * 120 + "\nMETHODS\n" + "y" * 50 + "\n2. Too close heading\nREFERENCES\n[1] A. B, \"A quoted title here\", 2020.\n[2] C\n")], "doc int, text string")
+    heads = [(r["doc"], r["heading"]) for r in layout.headings(texts).orderBy("start").collect()]
+    assert heads == [(3, "First heading here"), (3, "METHODS")]
+    refs = {(r["number"], r["raw"]) for r in layout.numbered_references(texts).where("doc = 3").collect()}
+    assert {n for n, _ in refs} >= {1, 2}
+    page = spark.createDataFrame([("JOURNAL OF L ATEX CLASS FILES\nauto-\nencoder\n\n 12 \nﬁne",), (None,)], "t string").select(layout.clean_page(F.col("t")).alias("c")).collect()
+    assert [r["c"] for r in page] == ["autoencoder fine", ""]
+
+
+def test_topics_and_providers(spark):
+    rows = spark.createDataFrame([(i, "p%d" % i) for i in range(45)], "index int, payload string").repartition(3)
+    sizes = {r["batch"]: len(r["items"]) for r in topicflow.batches(rows).collect()}
+    assert sizes == {0: 20, 1: 20, 2: 5} and topicflow.batches(rows.where("false")).count() == 0
+    calls = []
+
+    def failing(text):
+        calls.append(text)
+        raise OSError("no answer")
+
+    assert topicflow.ask(rows.limit(1), failing).collect()[0]["answer"] is None
+    with pytest.raises(Exception, match="no list of papers"):
+        spark.createDataFrame([("{}",)], "d string").select(topicflow.papers(F.col("d"))).collect()
+    labelled = spark.createDataFrame([(1, None), (2, -1), (3, 7), (4, 7)], "index int, label int")
+    assert sorted((r["cluster_id"] or "", r["size"]) for r in topicflow.clusters(labelled).collect()) == [("", 1), ("", 1), ("CLUSTER_0000", 2)]
+
+
+def test_turtle_and_rdf_xml_say_the_same(spark, tmp_path):
+    (tmp_path / "a.ttl").write_text(
+        '@prefix ex: <http://e.org/> .\n# note\nex:A a ex:Class ; ex:label "one \\"x\\""@en , \'two\' ; ex:of [ ex:n 1.5 ] .\nex:P ex:in ( ex:A ex:B ) .\n'
+    )
+    got = {(r["s"], r["p"], r["o"], r["literal"]) for r in rdf_files.graph(spark, str(tmp_path / "a.ttl")).collect()}
+    e, r = "http://e.org/", rdf_files.RDF
+    assert {(e + "A", r + "type", e + "Class", False), (e + "A", e + "label", 'one "x"', True), (e + "A", e + "label", "two", True)} <= got
+    assert len(got) == 3 + 2 + 1 + 4
+    (tmp_path / "b.rdf").write_text(
+        f'<?xml version="1.0"?><rdf:RDF xmlns:rdf="{r}" xmlns:ex="{e}"><ex:Class rdf:about="{e}A"><ex:label>two</ex:label><ex:of><rdf:Description ex:n="1.5"/></ex:of></ex:Class>'
+        f'<rdf:Description rdf:about="{e}P"><ex:in rdf:parseType="Collection"><rdf:Description rdf:about="{e}A"/><rdf:Description rdf:about="{e}B"/></ex:in></rdf:Description></rdf:RDF>'
+    )
+    xml = {(x["s"], x["p"], x["o"], x["literal"]) for x in rdf_files.graph(spark, str(tmp_path / "b.rdf")).collect()}
+    plain = lambda rows: {x for x in rows if "_:" not in x[0] + x[2]}
+    assert plain(xml) == plain(got) - {(e + "A", e + "label", 'one "x"', True)} and len(xml) == len(got) - 1
+    short = rdf_files.shortened(rdf_files.graph(spark, str(tmp_path / "b.rdf")), {"rdf:": r, "ex:": e})
+    assert short.where("p = 'rdf:type' and o = 'ex:Class' and s = 'ex:A'").count() == 1
+    (tmp_path / "c.ttl").write_text("@prefix ex: <http://e.org/> .\nex:A ex:b")
+    with pytest.raises(Exception, match="ends in the middle"):
+        rdf_files.graph(spark, str(tmp_path / "c.ttl")).collect()
+
+
+def test_numbered_lines_and_writers(spark, tmp_path):
+    (tmp_path / "q.jsonl").write_text('{"text": "a"}\n\nnot json\n')
+    with pytest.raises(Exception, match="bad line 3 of q.jsonl"):
+        files.numbered_json_lines(spark, str(tmp_path / "q.jsonl"), "text string").collect()
+    (tmp_path / "g.jsonl").write_text('{"text": "a"}\n\n{"text": "b"}\n')
+    assert [r["text"] for r in files.numbered_json_lines(spark, str(tmp_path / "g.jsonl"), "text string").collect()] == ["a", "b"]
+    rows = spark.createDataFrame([("a", 0.5, None), ("b", 0.9, 2), ("c", 0.9, 1)], "name string, evidence_coverage double, shacl_violations int")
+    files.write_metrics(rows, str(tmp_path / "m"), ["name", "evidence_coverage", "missing"], str(tmp_path / "r"), rdf.ranked)
+    assert spark.read.option("header", True).csv(str(tmp_path / "m")).columns == ["name", "evidence_coverage", "missing"]
+    assert [r["name"] for r in spark.read.option("header", True).csv(str(tmp_path / "r")).collect()] == ["c", "b", "a"]
+    files.write_document(rows.agg(F.lit(float("nan")).alias("x"), F.count(F.lit(1)).alias("n")), str(tmp_path / "d"))
+    assert spark.read.json(str(tmp_path / "d")).collect()[0].asDict() == {"n": 3, "x": None}
+    assert files.write_table(rows, str(tmp_path / "t")) == "parquet"
+    files.write_by_dataset(rows.withColumn("dataset", F.col("name")), str(tmp_path / "v"))
+    assert spark.read.parquet(str(tmp_path / "v")).where("dataset = 'b'").count() == 1
+    files.write_lines(rows.select("name"), str(tmp_path / "l"))
+    assert spark.read.text(str(tmp_path / "l")).count() == 3

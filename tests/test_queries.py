@@ -47,10 +47,18 @@ def test_model_queries_have_rows(spark):
     assert catalogue.queries()["lda_topics"](spark, SF).count() == 40
 
 
-def test_entry_imports_without_the_llm_part():
-    import __spark_entry__
-
-    assert set(catalogue.queries()) <= set(__spark_entry__.queries())
+def test_entry_imports_without_the_llm_part(tmp_path):
+    """In a copy of the repository without the two folders and the pipeline."""
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(os.path.join(root, "lexiloom"), tmp_path / "lexiloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 100 and not any(k.startswith('op1') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q); print(e.__file__)"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert done.returncode == 0 and str(tmp_path) in done.stdout, done.stderr
 
 
 def test_files(spark, tmp_path):
