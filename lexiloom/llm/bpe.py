@@ -21,11 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 
 from . import bpe_engine
-from .common import texts
+from .common import cuts, lean, texts
 
 _OTHER_SPACE = re.compile(r"[^\S \n]")
-#: Words kept in a worker's memory; it is emptied when full.
-MEMORY = 400_000
+#: Parts kept in a worker's memory, and their characters and ids in bytes; it is emptied when full.
+MEMORY, MEMORY_BYTES = 400_000, 48 << 20
 
 
 class ByteBpe:
@@ -35,16 +35,17 @@ class ByteBpe:
         self.engine, self.table = bpe_engine.from_ranks(path)
         self.find = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
-        self.memory = memory
+        self.memory, self.held = memory, 0
 
-    def split(self, text: str) -> list[str]:
-        """Parts of a text that no match crosses."""
+    def split(self, text: str) -> tuple[list[str], bool]:
+        """Parts of a text that no match crosses, and whether they are matches already: texts with wide or
+        double blanks are cut by the pattern at once."""
         if not text:
-            return []
+            return [], False
         words = text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
         if "\0" in text or " " in words or "\n" in words or _OTHER_SPACE.search(text):
-            return [text]
-        return words
+            return self.find(text), True
+        return words, False
 
     def cut(self, part: str) -> list[str]:
         """The matches of the pattern; plain words need no search."""
@@ -59,20 +60,21 @@ class ByteBpe:
 
     def encode_batch(self, batch: list[str]) -> list[np.ndarray]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
-        parts = [self.split(t) for t in batch]
-        known = self.known
-        if len(known) > self.memory:
+        split = [self.split(t) for t in batch]
+        parts, known = [p for p, _ in split], self.known
+        if len(known) > self.memory or self.held > MEMORY_BYTES:
             known.clear()
-        new: set[str] = set()
-        for p in parts:
-            new.update(p)
-        cut = {w: self.cut(w) for w in new if w not in known}
+            self.held = 0
+        whole = set().union(*[p for p, matches in split if matches])
+        cut = {w: [w] for w in whole if w not in known}
+        cut.update((w, self.cut(w)) for w in set().union(*[p for p, matches in split if not matches]) if w not in known and w not in cut)
         if cut:
             fresh = list({x for v in cut.values() for x in v if x not in known})
             known.update(zip(fresh, self.engine.encode([x.encode("utf-8", "replace") for x in fresh]), strict=True))
             for w, v in cut.items():
                 if len(v) != 1 or v[0] != w:
                     known[w] = b"".join([known[x] for x in v])
+            self.held += sum(4 * len(w) + 2 * len(known[w]) for w in cut)
         get = known.__getitem__
         return [np.frombuffer(b"".join(map(get, p)), "<u4") for p in parts]
 
@@ -97,9 +99,10 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, bat
     def run(frames):
         bpe = loaded(path, pattern)
         for pdf in frames:
-            for lo in range(0, max(1, len(pdf)), batch):
-                part = pdf.iloc[lo : lo + batch]
-                ids = bpe.encode_batch(part["text"].tolist())
+            values = pdf["text"].tolist()
+            for lo, hi in cuts(values, batch):
+                part = pdf.iloc[lo:hi]
+                ids = bpe.encode_batch(values[lo:hi])
                 out = pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].array,
@@ -113,4 +116,4 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = False, bat
                 yield out
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return texts(docs).mapInPandas(run, schema)
+    return texts(docs).mapInPandas(lean(run), schema)
