@@ -58,7 +58,14 @@ def scratch_dir(spark: SparkSession) -> str:
         if root is None:
             root = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
             spark._lexiloom_scratch = root
-    return f"{root.rstrip('/')}/lexiloom-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/lexiloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; for when the results that read them are written."""
+    folder = scratch_dir(spark).rsplit("/", 1)[0]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
