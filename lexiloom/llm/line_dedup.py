@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, mix64, stored, texts
+from .common import lean, mix64, small_side, stored, texts
 from .components import Forest, components
 from .words import powers, spread
 
@@ -45,6 +45,8 @@ BLOCK = 512
 CELLS, BAGS = 2_000_000, 32
 #: Lines of one family meet by ranges of this many lengths.
 RANGE = 16
+#: Families, and ranges of them, whose facts are broadcast, so that a large one isn't gathered for a join.
+FEW_FAMILIES = 200_000
 #: Entries of a broadcast table of lines; above it shuffle joins take over.
 MOST = 2_000_000
 LOWEST = -(2**63)
@@ -492,13 +494,15 @@ def line_links(docs: DataFrame, found: DataFrame, least_words: int, edits) -> Da
     # the largest linked part of each family, where it is not all of it
     part = family.groupBy("f", "kind").agg(F.count(F.lit(1)).alias("n"))
     top = part.groupBy("f").agg(F.max(F.struct("n", "kind")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("f", F.col("m.kind").alias("top"))
-    members = stored(family.join(top, "f").join(line, F.col("node") == F.col("lid")).select("f", "lid", "line", (F.col("kind") == F.col("top")).alias("settled"), F.char_length("line").alias("size")))
+    top = stored(top)
+    members = stored(family.join(small_side(top, top.count(), FEW_FAMILIES), "f").join(line, F.col("node") == F.col("lid")).select("f", "lid", "line", (F.col("kind") == F.col("top")).alias("settled"), F.char_length("line").alias("size")))
     most = max((k for _, k in edits), default=0)
     low = F.floor(F.col("size") / RANGE)
     # a line near the end of its range of lengths meets the longer ones of the next range there
     ranged = members.withColumn("r", F.explode(F.when(F.floor((F.col("size") + most) / RANGE) > low, F.array(low, low + 1)).otherwise(F.array(low))))
     blocks = ranged.groupBy("f", "r").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"), F.count_if(~F.col("settled")).alias("free")).where("free > 0")
-    dealt = ranged.join(blocks, ["f", "r"]).withColumn("part", F.explode(F.when(F.col("settled"), F.array(F.pmod("lid", "parts"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
+    blocks = stored(blocks)
+    dealt = ranged.join(small_side(blocks, blocks.count(), FEW_FAMILIES), ["f", "r"]).withColumn("part", F.explode(F.when(F.col("settled"), F.array(F.pmod("lid", "parts"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
     dealt = dealt.select("f", "r", "part", "parts", "lid", "line", "settled").repartition("f", "r", "part").sortWithinPartitions("f", "r", "part")
 
     def run(frames):
