@@ -126,6 +126,15 @@ def cuts(values: list[str], rows: int, chars: int = 1 << 19):
         yield lo, len(values)
 
 
+def release() -> None:
+    """Give memory that is free inside this process back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def lean(run):
     """A task's function that gives its memory back when it ends: Python workers outlive their tasks, and
     an executor has several."""
@@ -135,11 +144,7 @@ def lean(run):
         try:
             yield from run(frames)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):
-                pass  # another C library
+            release()
 
     return wrapped
 

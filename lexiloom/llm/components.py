@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, lean, stored
 
 
 class Forest:
@@ -38,7 +38,7 @@ class Forest:
             self.up[max(a, b)] = min(a, b)
 
 
-def contracted(edges: DataFrame, most: int = 500_000) -> DataFrame:
+def contracted(edges: DataFrame, most: int = 200_000) -> DataFrame:
     """An equivalent edge table: each partition's edges as stars (``a`` > ``b``)."""
 
     def run(frames):
@@ -55,7 +55,7 @@ def contracted(edges: DataFrame, most: int = 500_000) -> DataFrame:
         rows = [(x, r) for x in list(forest.up) if (r := forest.root(x)) != x]
         return pd.DataFrame(rows, columns=["a", "b"]).astype("int64")
 
-    return edges.mapInPandas(run, "a long, b long")
+    return edges.mapInPandas(lean(run), "a long, b long")
 
 
 #: Labels whose own labels are broadcast; above it they are joined by salted keys.

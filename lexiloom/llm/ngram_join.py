@@ -24,13 +24,14 @@ carried on by ``keep_one`` and not read by ``groups``.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cuts, lean, mix64, small_side, stored, texts
+from .common import cuts, lean, mix64, release, small_side, stored, texts
 from .components import Forest, components
 from .words import Words
 
@@ -419,9 +420,10 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, frequen
     name = "_lexiloom_class"
 
     @F.pandas_udf("long")
-    def class_column(values: pd.Series) -> pd.Series:
-        found = list(shingle_sets([t or "" for t in values], n))
-        return pd.Series([class_of(s) if len(s) else None for s in found], index=values.index, dtype="Int64")
+    def class_column(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in parts:
+            yield pd.Series([class_of(s) if len(s) else None for s in shingle_sets([t or "" for t in values], n)], index=values.index, dtype="Int64")
+        release()
 
     marked = docs.withColumn(name, class_column(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     side = small_side(kept, kept.count(), most_broadcast)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gbdt
-from .common import crc_bucket, texts
+from .common import crc_bucket, lean, release, texts
 from .labelled import training_texts
 from .quality_rules import repeated_words
 
@@ -59,7 +60,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int
         for pdf in frames:
             yield pd.DataFrame({"x": list(matrix(pdf["text"])), "y": pdf["y"]})
 
-    rows = training_texts(docs, labels, column, most, **folds).mapInPandas(run, "x array<float>, y int").toPandas()
+    rows = training_texts(docs, labels, column, most, **folds).mapInPandas(lean(run), "x array<float>, y int").toPandas()
     x = np.array(rows["x"].tolist(), np.float32).reshape(len(rows), len(NAMES))
     order = np.lexsort([*x.T, rows["y"]]) if len(rows) else []  # the order of arrival doesn't matter
     return gbdt.fit(x[order], rows["y"].to_numpy(np.float64)[order])
@@ -67,8 +68,10 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", most: int
 
 def score_column(model: gbdt.Trees, text: Column) -> Column:
     @F.pandas_udf("double")
-    def score(values: pd.Series) -> pd.Series:
-        return pd.Series(model.proba(matrix(values)).astype(np.float64), index=values.index)
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in parts:
+            yield pd.Series(model.proba(matrix(values)).astype(np.float64), index=values.index)
+        release()
 
     return score(text)
 

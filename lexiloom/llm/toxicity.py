@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, stored, texts
+from .common import crc_bucket, lean, release, stored, texts
 from .labelled import training_texts
 
 #: Plain insults of general English.
@@ -66,7 +67,7 @@ class Model:
         for raw in set(text.lower().split()):
             hit = memo.get(raw)
             if hit is None:
-                if len(memo) > 300_000:
+                if len(memo) > 60_000:
                     memo.clear()
                 w = raw.strip(EDGES)
                 keys = [w, *(f"{k}^{w[:k]}" for k in PREFIXES if len(w) >= k)] if w else []
@@ -219,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
             if seen:
                 yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
 
-        rows = sample.where(F.col("y") == which).mapInPandas(run, "term string, n long")
+        rows = sample.where(F.col("y") == which).mapInPandas(lean(run), "term string, n long")
         return rows.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= (least if among is None else 1))
 
     toxic = {r["term"]: r["n"] for r in count(1).orderBy(F.desc("n"), "term").limit(5 * most_terms).collect()}
@@ -236,7 +237,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
         for pdf in frames:
             yield pd.DataFrame({"y": pdf["y"], "found": [model.found(t) for t in pdf["text"]]})
 
-    known = sample.select("y", "text").mapInPandas(run, "y int, found array<int>").toPandas()
+    known = sample.select("y", "text").mapInPandas(lean(run), "y int, found array<int>").toPandas()
     said, found = zip(*sorted(zip(known["y"], map(tuple, known["found"]), strict=True)), strict=True)
     rows = np.repeat(np.arange(len(found)), list(map(len, found)))
     cols = np.array([c for f in found for c in f], np.int64)
@@ -250,8 +251,11 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", most: int =
 
 def score_column(model: Model, text: Column) -> Column:
     @F.pandas_udf("double")
-    def score(values: pd.Series) -> pd.Series:
-        return pd.Series(model.proba(values), index=values.index)
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for values in parts:
+            yield pd.Series(model.proba(values), index=values.index)
+        model.memo.clear()
+        release()
 
     return score(text)
 
