@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import extract as X
 from lexiloom.functions import text as T
+from lexiloom.operators.references import TABLE_CAPTION
 
-#: A running head, captions, section words, marks of a reference list's end.
+#: A running head, section words, marks of a reference list's end.
 RUNNING_HEAD = "(?i)JOURNAL OF L ATEX CLASS FILES"
-TABLE_CAPTION = r"(?i)^\s*table\s*(s?\d+|[ivxlcdm]+)\s*[\.:]?\s+.*$"
-FIGURE_CAPTION = r"(?i)^\s*fig(ure)?\.?\s*(s?\d+|[ivxlcdm]+)\s*[\.:]?\s+.*$"
 REFERENCES = r"(?i)(?:^|\n)\s*(?:references|bibliography)\s*(?:\n|$)"
 THANKS = r"(?i)(?:^|\n)\s*(?:acknowledgments?|acknowledgements?)\s*(?:\n|$)"
 LIST_END = r"(?im)^(?:biographies?|acknowledgments?|acknowledgements?|appendix|appendices|author\s+biography|about\s+the\s+author)"

@@ -16,7 +16,11 @@ WIDE = {"ß": "ss", "æ": "ae", "œ": "oe", "Æ": "AE", "Œ": "OE"}
 #: Words of other sections, of biographies, of trusted hosts, of blocked hosts.
 SECTION_WORDS = "(?i)biography|acknowledgment|appendix"
 BIOGRAPHY = "biography|biographical|about the author|about the authors|author biography|he was also|visiting associate professor|in 2016|ieee transactions"
+#: Fixed value: marks of formulas.
 LATEX = r"\\(frac|sum|int|alpha|beta|gamma|delta|theta|lambda|mu|sigma|phi|psi|omega|mathbb|mathbf|mathrm|mathcal|cdot|times|approx|leq|geq|neq)"
+#: Captions.
+TABLE_CAPTION = r"(?i)^\s*table\s*(s?\d+|[ivxlcdm]+)\s*[\.:]?\s+.*$"
+FIGURE_CAPTION = r"(?i)^\s*fig(ure)?\.?\s*(s?\d+|[ivxlcdm]+)\s*[\.:]?\s+.*$"
 
 
 def unaccent(x: Column) -> Column:
@@ -115,12 +119,15 @@ def completeness(refs: DataFrame) -> DataFrame:
 
 
 def is_formula(x: Column, symbols: float = 0.2, digits: float = 0.1, least: int = 5) -> Column:
-    """Line of a formula: a LaTeX mark, or many symbols and digits among enough tokens."""
-    n = F.greatest(F.length(F.regexp_replace(x, r"\s", "")), F.lit(1))
-    s, d = F.regexp_count(x, F.lit(r"[=+\-*/^<>_~|()\[\]{}]")) / n, F.regexp_count(x, F.lit(r"\d")) / n
-    tokens = F.regexp_count(x, F.lit(r"[A-Za-z]+|\d+(?:\.\d+)?|[=+*/^<>_-]"))
-    dense = ((s >= symbols) & (d >= digits)) | ((x.contains("=") | x.contains("/")) & (d >= digits) & (s >= 0.08))
-    return (F.length(F.trim(x)) >= 8) & (x.rlike(LATEX) | ((tokens >= least) & dense))
+    """Line of a formula: a LaTeX mark, or many symbols and digits among enough words and operators. Captions of
+    tables and figures are none, whatever they hold; null is none."""
+    line = F.trim(F.coalesce(x, F.lit("")))
+    n = F.greatest(F.length(F.regexp_replace(line, r"\s", "")), F.lit(1))
+    s, d = F.regexp_count(line, F.lit(r"[=+\-*/^<>_~|()\[\]{}]")) / n, F.regexp_count(line, F.lit(r"\d")) / n
+    tokens = F.regexp_count(line, F.lit(r"\\?[A-Za-z]+|[=+*/^<>_-]"))
+    dense = ((s >= symbols) & (d >= digits)) | ((line.contains("=") | line.contains("/")) & (d >= digits) & (s >= 0.08))
+    caption = line.rlike(TABLE_CAPTION) | line.rlike(FIGURE_CAPTION)
+    return (F.length(line) >= 8) & ~caption & (line.rlike(LATEX) | ((tokens >= least) & dense))
 
 
 def tei_records(rows: DataFrame) -> DataFrame:

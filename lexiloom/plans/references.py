@@ -58,10 +58,25 @@ def author_surnames(spark, sf_dir):
     return rows.select("id", F.array_join(R.surnames_first(F.col("a")), ",").alias("first"), F.array_join(R.surnames_last(F.col("a")), ",").alias("last"))
 
 
-@query("SELECT * FROM (VALUES (1, true), (2, false), (3, true), (4, false)) t(id, formula)")
+FORMULAS = """f AS (SELECT p_partkey AS id, CASE WHEN p_size > 40 THEN 'Table 3: y = ' || p_size || '/2 + 1/4 - 5' WHEN p_size > 30 THEN '\\frac{' || p_partkey || '}{b}' WHEN p_size > 20 THEN 'a_b = ' || p_size || '*c/' || p_partkey || ' + 2'
+ WHEN p_size > 10 THEN 'a = ' || p_partkey ELSE p_name || ' in size ' || p_size || ' and of one colour' END AS x FROM part),
+g AS (SELECT id, x, length(regexp_replace(x, '\\s', '', 'g')) AS n, len(regexp_extract_all(x, '[=+\\-*/^<>_~|()\\[\\]{}]')) AS s, len(regexp_extract_all(x, '[0-9]')) AS d, len(regexp_extract_all(x, '[A-Za-z]+|[=+*/^<>_-]')) AS t FROM f)"""
+
+
+@query(
+    f"""WITH {FORMULAS} SELECT id, x, length(x) >= 8 AND NOT starts_with(x, 'Table 3') AND (contains(x, '\\frac') OR (t >= 5 AND d / n >= 0.1 AND (s / n >= 0.2 OR ((contains(x, '=') OR contains(x, '/')) AND s / n >= 0.08)))) AS formula FROM g"""
+)
 def formula_lines(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "x = \\frac{a}{b} + 1"), (2, "A plain sentence with words."), (3, "y_1 = 2*x^2 + 3/4"), (4, "a=1")], "id int, x string")
-    return rows.select("id", R.is_formula(F.col("x")).alias("formula"))
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    c = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    x = (
+        F.when(F.col("p_size") > 40, c("Table 3: y = ", size, "/2 + 1/4 - 5"))
+        .when(F.col("p_size") > 30, c("\\frac{", key, "}{b}"))
+        .when(F.col("p_size") > 20, c("a_b = ", size, "*c/", key, " + 2"))
+        .when(F.col("p_size") > 10, c("a = ", key))
+        .otherwise(c(F.col("p_name"), " in size ", size, " and of one colour"))
+    )
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), x.alias("x")).select("id", "x", R.is_formula(F.col("x")).alias("formula"))
 
 
 TEI = '<biblStruct xmlns="http://www.tei-c.org/ns/1.0"><analytic><title level="a">Deep  nets</title><author><persName><surname>Roe</surname></persName></author><author><persName><surname>Doe</surname></persName></author></analytic><monogr><title level="j">J. Tests</title><imprint><date when="2019-05"/></imprint></monogr><idno type="DOI">10.1/a</idno></biblStruct>'
