@@ -272,3 +272,59 @@ def enrich(refs: DataFrame, registry: Registry) -> DataFrame:
     how = F.when(F.col("found_by") == "title", "title").otherwise("doi")
     pdf = best_pdf(pdf_candidates(whole, whole.withColumn("how", how)))
     return whole.drop("pdf_url").join(pdf, "ref", "left").withColumn("article_url", F.coalesce("article_url", F.nullif(X.article_url(F.col("pdf_url")), F.lit(""))))
+
+
+#: Columns of a record, in order.
+RECORD = ("title", "authors", "year", "venue", "doi", "article_url", "pdf_url")
+_WORKS = (
+    "title string, display_name string, doi string, publication_year int, authorships array<struct<author:struct<display_name:string>>>, host_venue struct<display_name:string>, "
+    "primary_location struct<landing_page_url:string,pdf_url:string>"
+)
+_MESSAGE = (
+    "title array<string>, author array<struct<given:string,family:string>>, `container-title` array<string>, DOI string, URL string, `published-print` struct<`date-parts`:array<array<int>>>, "
+    "`published-online` struct<`date-parts`:array<array<int>>>, issued struct<`date-parts`:array<array<int>>>"
+)
+
+
+def work_record(answer: Column) -> dict[str, Column]:
+    """A record of an index's JSON of a work: authors joined by ``; ``, the first location's addresses, the bare DOI.
+    Text that isn't JSON, and null, give nulls."""
+    j = F.from_json(answer, _WORKS)
+    clean = lambda c: T.collapse_space(c)
+    names = F.filter(F.transform(j["authorships"], lambda a: clean(a["author"]["display_name"])), lambda n: n.isNotNull())
+    return {
+        "title": clean(F.coalesce(F.nullif(j["title"], F.lit("")), j["display_name"])), "authors": F.array_join(names, "; "), "year": j["publication_year"], "venue": clean(j["host_venue"]["display_name"]),
+        "doi": F.regexp_replace(clean(j["doi"]), "^https://doi.org/", ""), "article_url": clean(j["primary_location"]["landing_page_url"]), "pdf_url": clean(j["primary_location"]["pdf_url"]),
+    }
+
+
+def message_record(answer: Column) -> dict[str, Column]:
+    """A record of a registry's JSON message: given and family names, the first title and container, and the year of the first
+    date that is there (print, online, issued)."""
+    j = F.from_json(answer, _MESSAGE)
+    clean = lambda c: T.collapse_space(c)
+    names = F.transform(j["author"], lambda a: clean(F.concat_ws(" ", a["given"], a["family"])))
+    year = F.coalesce(*[F.get(F.get(j[f]["date-parts"], F.lit(0)), F.lit(0)) for f in ("published-print", "published-online", "issued")])
+    first = lambda c: clean(F.get(j[c], F.lit(0)))
+    return {"title": first("title"), "authors": F.array_join(names, "; "), "year": year, "venue": first("container-title"), "doi": clean(j["DOI"]), "article_url": clean(j["URL"]), "pdf_url": F.lit(None).cast("string")}
+
+
+def backfilled(refs: DataFrame) -> DataFrame:
+    """References with an arXiv id from the article's address or else the first address in the raw text that has one, and an
+    article's address from the PDF's, where those lack."""
+    some = lambda c: T.clean_str(F.col(c))
+    inside = F.get(F.filter(F.transform(X.urls(F.col("raw_text")), lambda u: X.arxiv_id(u)), lambda a: a.isNotNull()), F.lit(0))
+    return refs.withColumns(
+        {"arxiv_id": F.coalesce(some("arxiv_id"), X.arxiv_id(F.col("article_url")), inside), "article_url": F.coalesce(some("article_url"), F.nullif(X.article_url(F.col("pdf_url")), F.lit("")))}
+    )
+
+
+def display_rows(refs: DataFrame, most: int = 100) -> DataFrame:
+    """References as rows of a table for people: ``n`` by title, authors shortened behind the third, titles behind ``most``
+    characters, and the best link."""
+    listed = author_list(F.col("authors"))
+    people = F.when(F.size(listed) > 3, F.concat(F.array_join(F.slice(listed, 1, 3), ", "), F.lit(" et al."))).otherwise(F.array_join(listed, ", "))
+    title = F.coalesce(T.clean_str(F.col("title")), F.lit("untitled"))
+    short = F.when(F.length(title) > most, F.concat(F.left(title, F.lit(most)), F.lit("..."))).otherwise(title)
+    doi = F.concat(F.lit("https://doi.org/"), T.clean_str(F.col("doi")))
+    return refs.select("ref", short.alias("title"), people.alias("people"), F.coalesce(T.clean_str(F.col("pdf_url")), T.clean_str(F.col("article_url")), doi, F.lit("")).alias("link"))

@@ -209,3 +209,52 @@ def cached_lookup(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref"), "o_orderstatus", F.concat("o_orderpriority", F.lit("!")).alias("answer"))
     answers, _ = E.with_cache(o.select("ref"), o.where("o_orderstatus = 'O'").select("ref", "answer"), lambda misses: misses.join(o, "ref").select("ref", "answer"))
     return answers
+
+
+@query(
+    """SELECT o_custkey AS ref, 'Orders of ' || o_custkey AS title, string_agg(o_orderpriority, '; ' ORDER BY o_orderkey) AS authors, min(year(o_orderdate))::INT AS year, '10.1234/' || o_custkey AS doi, 'https://a.org/' || o_custkey AS article_url FROM orders GROUP BY 1"""
+)
+def work_records(spark, sf_dir):
+    """An index's answers, one a customer, read back from their JSON."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("ref")).agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda s: F.struct(F.struct(s["o_orderpriority"].alias("display_name")).alias("author"))).alias("authorships"), F.min(F.year("o_orderdate")).alias("publication_year"))
+    k = F.col("ref").cast("string")
+    answer = F.to_json(F.struct(
+        F.lit("").alias("title"), F.concat(F.lit("Orders  of "), k).alias("display_name"), F.concat(F.lit("https://doi.org/10.1234/"), k).alias("doi"), "publication_year", "authorships",
+        F.struct(F.concat(F.lit("https://a.org/"), k).alias("landing_page_url")).alias("primary_location"),
+    ))
+    found = E.work_record(F.col("answer"))
+    return o.select("ref", answer.alias("answer")).select("ref", *[found[c].alias(c) for c in ("title", "authors", "year", "doi", "article_url")])
+
+
+@query("""SELECT c_custkey AS ref, c_name AS title, 'Jo ' || c_mktsegment AS authors, CASE WHEN c_acctbal > 0 THEN 2001 ELSE 1999 END::INT AS year, '10.1/' || c_custkey AS doi FROM customer""")
+def message_records(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    dates = lambda y: F.struct(F.array(F.array(F.lit(y))).alias("date-parts"))
+    answer = F.to_json(F.struct(
+        F.array("c_name").alias("title"), F.array(F.struct(F.lit("Jo").alias("given"), F.col("c_mktsegment").alias("family"))).alias("author"), F.concat(F.lit("10.1/"), F.col("c_custkey").cast("string")).alias("DOI"),
+        F.when(F.col("c_acctbal") > 0, dates(2001)).alias("published-online"), dates(1999).alias("issued"),
+    ))
+    found = E.message_record(F.col("answer"))
+    return c.select(F.col("c_custkey").alias("ref"), answer.alias("answer")).select("ref", *[found[k].alias(k) for k in ("title", "authors", "year", "doi")])
+
+
+@query(
+    """SELECT c_custkey AS ref, CASE WHEN c_acctbal > 5000 THEN '2101.' || lpad(c_custkey::VARCHAR, 5, '0') WHEN c_acctbal > 0 THEN '2202.' || lpad(c_custkey::VARCHAR, 5, '0') END AS arxiv_id,
+ CASE WHEN c_acctbal > 5000 THEN 'https://arxiv.org/abs/2101.' || lpad(c_custkey::VARCHAR, 5, '0') ELSE 'https://b.org/' || c_custkey END AS article_url FROM customer"""
+)
+def backfilled_references(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    k = F.lpad(F.col("c_custkey").cast("string"), 5, "0")
+    refs = c.select(
+        F.col("c_custkey").alias("ref"), F.lit(" ").alias("arxiv_id"), F.when(F.col("c_acctbal") > 5000, F.concat(F.lit("https://arxiv.org/abs/2101."), k)).alias("article_url"),
+        F.when(F.col("c_acctbal") > 0, F.concat(F.lit("See https://a.org/x and https://arxiv.org/pdf/2202."), k, F.lit("."))).alias("raw_text"), F.concat(F.lit("https://b.org/"), F.col("c_custkey").cast("string"), F.lit(".pdf")).alias("pdf_url"),
+    )
+    return E.backfilled(refs).select("ref", "arxiv_id", "article_url")
+
+
+@query("""SELECT c_custkey AS ref, c_name AS title, CASE WHEN c_acctbal > 0 THEN 'A, B, C et al.' ELSE 'A, B' END AS people, 'https://doi.org/10.1/' || c_custkey AS link FROM customer""")
+def reference_table(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    authors = F.when(F.col("c_acctbal") > 0, "A;B;C;D").otherwise("A;B")
+    refs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ref"), F.col("c_name").alias("title"), authors.alias("authors"), F.concat(F.lit("10.1/"), F.col("c_custkey").cast("string")).alias("doi"), none.alias("pdf_url"), F.lit("nan").alias("article_url"))
+    return E.display_rows(refs)
