@@ -89,11 +89,43 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read_table(tune(spark), sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import conversations as c
+
+    rows = c.digests(c.repair(c.damaged(read_table(tune(spark), sf_dir, "conversations"))))
+    return rows.drop("n_rows")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 ORACLES = {
+    "op11_conversation_repair": r"""
+WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(k) + 1), lambda i: list_transform(range(0, 8), lambda b: (ascii(k[i]) >> b::INTEGER) & 1)))),
+  lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295) % 20 AS kind FROM t),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM h, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
+m AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again, left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY k) || left(role, 1) AS two FROM n),
+f AS (SELECT *, bare = '' AS blank, again AND bare <> '' AS dup, NOT again AND bare <> '' AND right(bare, 1) NOT IN ('.', '!', '?') AS cut FROM m),
+s AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+  count(*) FILTER (cut) AS truncated, count(*) FILTER (two NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS last FROM f GROUP BY conv_id),
+v(conv_id, k, s0, s1, s2, s3) AS (SELECT conv_id, 0::BIGINT, {c: 0, a: '', r: ''}, {c: 1000000000, a: '', r: ''}, {c: 2, a: 'I', r: 'user:'}, {c: 4, a: 'II', r: 'user:' || chr(10) || 'assistant:'} FROM s
+UNION ALL SELECT conv_id, k, n0, n1, least(y2, {c: y3.c + 2, a: y3.a || 'I', r: y3.r || chr(10) || 'user:'}), y3 FROM (
+  SELECT *, least(n3, {c: y2.c + 2, a: y2.a || 'I', r: y2.r || chr(10) || 'assistant:'}) AS y3 FROM (
+  SELECT *, least(n2, {c: n0.c + 2, a: n0.a || 'I', r: 'user:'}, {c: n1.c + 2, a: n1.a || 'I', r: n1.r || chr(10) || 'user:'}, {c: n3.c + 2, a: n3.a || 'I', r: n3.r || chr(10) || 'user:'}) AS y2 FROM (
+  SELECT v.conv_id, f.k, {c: s0.c + 3, a: s0.a || 'D', r: ''} AS n0,
+    least({c: s1.c + 3, a: s1.a || 'D', r: s1.r}, {c: s0.c + stay + CASE i WHEN 's' THEN 0 ELSE 1000000000 END, a: s0.a || 'K', r: role || ':' || text}) AS n1,
+    least({c: s2.c + 3, a: s2.a || 'D', r: s2.r}, {c: s0.c + stay + asked, a: s0.a || edit, r: said}, {c: s1.c + stay + asked, a: s1.a || edit, r: s1.r || chr(10) || said}, {c: s3.c + stay + asked, a: s3.a || edit, r: s3.r || chr(10) || said}) AS n2,
+    least({c: s3.c + 3, a: s3.a || 'D', r: s3.r}, {c: s2.c + stay + CASE i WHEN 'a' THEN 0 ELSE 2 END, a: s2.a || CASE i WHEN 'a' THEN 'K' ELSE 'R' END, r: s2.r || chr(10) || CASE i WHEN 'a' THEN role ELSE 'assistant' END || ':' || text}) AS n3
+  FROM v JOIN (SELECT *, CASE WHEN blank OR dup THEN 1000000000 WHEN cut THEN 1 ELSE 0 END AS stay, CASE i WHEN 'u' THEN 0 ELSE 2 END AS asked,
+    CASE i WHEN 'u' THEN 'K' ELSE 'R' END AS edit, CASE i WHEN 'u' THEN role ELSE 'user' END || ':' || text AS said FROM f) f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.k = v.k + 1)))),
+e AS (SELECT s.*, least(s0, s3) AS b FROM s JOIN v ON v.conv_id IS NOT DISTINCT FROM s.conv_id AND v.k = s.last)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(b.c, 0)::BIGINT AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(b.r, '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id""",
     "op7_quality_rules": r"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
