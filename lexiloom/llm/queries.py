@@ -96,11 +96,26 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("n_rows")
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lexical_search
+
+    return lexical_search.search(read_table(tune(spark), sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 ORACLES = {
+    "op13_lexical_search": r"""
+WITH d AS (SELECT doc_id, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+n AS (SELECT doc_id, count(*) AS n FROM d WHERE t <> '' GROUP BY doc_id), g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM n),
+p AS (SELECT doc_id, t, count(*) AS tf FROM d WHERE t <> '' AND t IN (SELECT t FROM i) GROUP BY doc_id, t),
+f AS (SELECT t, floor(1000 * ln((2 * max(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, g GROUP BY t),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::BIGINT AS score FROM i JOIN p ON p.t = i.t JOIN f ON f.t = p.t JOIN n USING (doc_id), g GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 50""",
     "op11_conversation_repair": r"""
 WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
   coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
