@@ -56,7 +56,7 @@ def corpus():
     return docs, items
 
 
-@pytest.mark.parametrize("limits", [{}, {"part": 16, "span": 50}, {"most_terms": 0, "part": 64, "span": 100}])
+@pytest.mark.parametrize("limits", [{}, {"part": 16}, {"most_terms": 0, "part": 64}])
 def test_against_brute_force(spark, corpus, limits):
     docs, items = corpus
     assert found(spark, docs, items, 5, **limits) == brute(docs, items, 5)
