@@ -96,6 +96,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("n_rows")
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    rows = pii.find(read_table(tune(spark), sf_dir, "documents"))
+    counts = [pii.number_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    every = pii.joined(F.concat("base", "added")).alias("spans")
+    return rows.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), every, F.size("added").cast("long").alias("n_added"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lexical_search
 
