@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +24,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """A table in the shared folder, read again: unlike a checkpoint it forgets the size that the plan was thought to have, which
+    grows with the square in each round of a join with itself."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = "file://" + tempfile.mkdtemp(prefix="lexiloom-")
+    path = f"{shared.rstrip('/')}/lexiloom-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def evidence_triples(evidence: DataFrame, ns: str = "kg:") -> DataFrame:
     """Distinct ``s``, ``p``, ``o`` of (``cq_id``, ``chunk_id``, ``paper_id``, ``score``, ``pos``).
 
@@ -74,56 +89,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def depths(parents: DataFrame) -> DataFrame:
-    """``node`` and ``depth``, its longest path to a root, from (``child``, ``parent``) pairs.
-
-    Only nodes whose depth rose go into the next round, and rounds go on until none does. A cycle would
-    never end, so nodes are peeled off level by level first (a node goes when all its parents have
-    gone); what is left lies on or below a cycle. An edge between two of those that lies on a cycle is
-    dropped, the one to the greater name, and the depth is taken of the rest, as a walk that comes back
-    to a node counts it as 0. Null pairs are left out; repeated pairs count once.
-    """
-    edges = cut_lineage(parents.select("child", "parent").where("child is not null and parent is not null and child <> parent").distinct())
-    nodes = parents.select(F.col("child").alias("node")).union(parents.select("parent")).where("node is not null").distinct()
-    if _has_cycle(edges):
-        edges = cut_lineage(edges.join(_on_cycles(edges), ["child", "parent"], "left_anti"))
-    level = cut_lineage(nodes.join(edges, nodes["node"] == edges["child"], "left_anti").select("node"))
-    found, d = level.select("node", F.lit(0).alias("depth")), 0
-    while True:
-        d += 1
-        level = cut_lineage(level.join(edges, level["node"] == edges["parent"]).select(F.col("child").alias("node")).distinct())
-        if level.limit(1).count() == 0:
-            return found.groupBy("node").agg(F.max("depth").alias("depth"))
-        found = found.union(level.select("node", F.lit(d).alias("depth")))
-        if d % 16 == 0:
-            found = cut_lineage(found.groupBy("node").agg(F.max("depth").alias("depth")))
-
-
-def _has_cycle(edges: DataFrame) -> bool:
-    """Whether anything is left when nodes without parents go, again and again."""
-    left = edges
-    before = left.count()
-    while before:
-        above = left.select(F.col("child").alias("parent")).distinct()
-        left = cut_lineage(left.join(above, "parent", "left_semi").select("child", "parent"))
-        now = left.count()
-        if now == before:
-            return True
-        before = now
-    return False
-
-
-def _on_cycles(edges: DataFrame) -> DataFrame:
-    """Edges to drop: those to a greater name between nodes that have both parents and children left
-    after peeling from either side, so that no cycle remains (every cycle has an edge that rises)."""
-    left, before = edges, -1
-    while left.count() != before:
-        before = left.count()
-        left = left.join(left.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent")
-        left = cut_lineage(left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("child", "parent"))
-    return left.where("parent > child")
-
-
 def exploded_evidence(questions: DataFrame) -> DataFrame:
     """One row per piece of evidence of questions (``cq_id``, ``evidence_chunks``: array of structs with
     ``chunk_id``, ``article_id``, ``paper_id``, ``score``, ``text``).

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators import graph as G
+from lexiloom.operators import hierarchy as H
 from lexiloom.plans.registry import query, table
 
 EVIDENCE = """n AS (SELECT count(*) AS k FROM benchmark),
@@ -104,7 +105,41 @@ def class_depth(spark, sf_dir):
     name = lambda a, c: F.concat(F.lit(a), F.col(c).cast("string"))
     nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
     own = nation.select(name("n", "n_nationkey").alias("child"), name("r", "n_regionkey").alias("parent"))
-    return G.depths(own.union(customer.select(name("c", "c_custkey"), name("n", "c_nationkey"))))
+    return H.depths(own.union(customer.select(name("c", "c_custkey"), name("n", "c_nationkey"))))
+
+
+#: The nations of a region form a cycle. Customers stand in chains of a thousand, each of which ends in a region's cycle, and each
+#: cycle but the last leads to the chain that ends in the next one.
+CLASSES = """m AS (SELECT n_regionkey AS r, min(n_nationkey) AS n FROM nation GROUP BY n_regionkey),
+p AS (SELECT 'c' || a.c_custkey AS child, 'c' || b.c_custkey AS parent FROM customer a JOIN customer b ON b.c_custkey = a.c_custkey + 1 WHERE a.c_custkey % 1000 <> 0
+UNION SELECT 'c' || c_custkey, 'n' || n FROM customer JOIN m ON r = (c_custkey // 1000 - 1) % 5 WHERE c_custkey % 1000 = 0
+UNION SELECT 'n' || n_nationkey, 'n' || coalesce(lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), min(n_nationkey) OVER (PARTITION BY n_regionkey)) FROM nation
+UNION SELECT 'n' || n, 'c' || (1000 * r + 1001) FROM m WHERE r < 4)"""
+
+
+def classes(spark, sf_dir):
+    key = lambda a, c: F.concat(F.lit(a), F.col(c).cast("string"))
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    after = customer.select((F.col("c_custkey") - 1).alias("c_custkey"), key("c", "c_custkey").alias("parent"))
+    chains = customer.where("c_custkey % 1000 <> 0").join(after, "c_custkey").select(key("c", "c_custkey").alias("child"), "parent")
+    first = nation.groupBy(F.col("n_regionkey").cast("long").alias("r")).agg(F.min("n_nationkey").alias("n"))
+    ends = customer.where("c_custkey % 1000 = 0").withColumn("r", F.expr("(c_custkey div 1000 - 1) % 5")).join(first, "r").select(key("c", "c_custkey"), key("n", "n"))
+    region = Window.partitionBy("n_regionkey")
+    onward = F.coalesce(F.lead("n_nationkey").over(region.orderBy("n_nationkey")), F.min("n_nationkey").over(region))
+    cycles = nation.select(key("n", "n_nationkey"), F.concat(F.lit("n"), onward.cast("string")))
+    leads = first.where("r < 4").select(key("n", "n"), F.concat(F.lit("c"), (1000 * F.col("r") + 1001).cast("string")))
+    return chains.union(ends).union(cycles).union(leads)
+
+
+@query(
+    f"""WITH RECURSIVE {CLASSES}, n AS (SELECT child AS node FROM p UNION SELECT parent FROM p), r(a, b) AS (SELECT child, parent FROM p UNION SELECT r.a, p.parent FROM r JOIN p ON p.child = r.b),
+k AS (SELECT node, least(node, coalesce(min(x.b), node)) AS spot FROM n LEFT JOIN (SELECT r.a, r.b FROM r JOIN r q ON q.a = r.b AND q.b = r.a) x ON x.a = node GROUP BY node),
+e AS (SELECT DISTINCT c.spot AS child, q.spot AS parent FROM p JOIN k c ON c.node = p.child JOIN k q ON q.node = p.parent WHERE c.spot <> q.spot),
+d(spot, depth) AS (SELECT DISTINCT spot, 0 FROM k WHERE spot NOT IN (SELECT child FROM e) UNION SELECT e.child, d.depth + 1 FROM d JOIN e ON e.parent = d.spot)
+SELECT node, max(depth)::INTEGER AS depth FROM k JOIN d USING (spot) GROUP BY node"""
+)
+def cyclic_class_depth(spark, sf_dir):
+    return H.depths(classes(spark, sf_dir))
 
 
 @query(

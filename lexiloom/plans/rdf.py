@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.operators import graph as G
+from lexiloom.operators import hierarchy as H
 from lexiloom.operators import rdf as R
 from lexiloom.plans.registry import query, table
 
@@ -79,7 +80,7 @@ m AS (SELECT iri, max(depth) AS depth FROM d GROUP BY iri) SELECT max(depth) AS
 )
 def ontology_depth(spark, sf_dir):
     graph = ontology(spark, sf_dir)
-    rows = R.classes(graph).join(G.depths(R.subclass_edges(graph)).withColumnRenamed("node", "iri"), "iri", "left").fillna(0, ["depth"])
+    rows = R.classes(graph).join(H.depths(R.subclass_edges(graph)).withColumnRenamed("node", "iri"), "iri", "left").fillna(0, ["depth"])
     return rows.agg(F.max("depth").alias("max_depth"), F.round(F.avg("depth"), 4).alias("avg_depth"), F.count(F.lit(1)).alias("classes"))
 
 

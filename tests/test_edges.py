@@ -1,9 +1,11 @@
 """Nulls, ties, repeats, empty tables and clashing columns in the library's operators; readers and writers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.operators import alignment, corpus, enrichment, graph, layout, matching, rdf, retrieval, topicflow
+from lexiloom.operators import alignment, corpus, enrichment, graph, hierarchy, layout, matching, rdf, retrieval, topicflow
 from lexiloom.sources import files
 from lexiloom.sources import rdf as rdf_files
 
@@ -51,12 +53,45 @@ def test_cascade_and_containment(spark, docs, nothing):
 
 def test_depths_of_long_chains_and_cycles(spark):
     chain = spark.createDataFrame([(i + 1, i) for i in range(90)], "child long, parent long")
-    assert graph.depths(chain).agg(F.max("depth")).collect()[0][0] == 90  # past the bound there was
+    assert hierarchy.depths(chain).agg(F.max("depth")).collect()[0][0] == 90
     loop = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "a"), ("d", None), (None, "d"), ("e", "e"), ("e", "c")], "child string, parent string")
-    got = {r["node"]: r["depth"] for r in graph.depths(loop).collect()}
+    got = {r["node"]: r["depth"] for r in hierarchy.depths(loop).collect()}
     assert set(got) == {"a", "b", "c", "d", "e"} and got["d"] == 0 and got["c"] == got["a"] + 1 and got["e"] == got["c"] + 1
-    assert {got["a"], got["b"]} == {0, 1}
-    assert graph.depths(chain.where("false")).count() == 0
+    assert got["a"] == got["b"] == 0
+    assert hierarchy.depths(chain.where("false")).count() == 0
+    beside = spark.createDataFrame([tuple(x.split("-")) for x in "a-b b-a a-m m-z z-y y-z".split()], "child string, parent string")
+    assert {r["node"]: r["depth"] for r in hierarchy.depths(beside).collect()} == {"a": 2, "b": 2, "m": 1, "z": 0, "y": 0}
+
+
+def depths_by_hand(pairs):
+    """Components by mutual reach, then longest paths over them."""
+    nodes = {x for p in pairs for x in p}
+    reach = {n: {n} for n in nodes}
+    for _ in nodes:
+        for a, b in pairs:
+            reach[a] |= reach[b]
+    place = {n: min(m for m in reach[n] if n in reach[m]) for n in nodes}
+    depth = dict.fromkeys(nodes, 0)
+    for _ in nodes:
+        for a, b in pairs:
+            if place[a] != place[b]:
+                deep = max(depth[x] for x in nodes if place[x] == place[b])
+                for x in nodes:
+                    if place[x] == place[a]:
+                        depth[x] = max(depth[x], deep + 1)
+    return place, depth
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_depths_and_components_of_random_graphs(spark, seed):
+    draw = random.Random(seed)
+    pairs = {(draw.randrange(60), draw.randrange(60)) for _ in range(70)}
+    place, depth = depths_by_hand(pairs)
+    rows = spark.createDataFrame(list(pairs), "child long, parent long")
+    assert {r["node"]: r["depth"] for r in hierarchy.depths(rows).collect()} == depth
+    found = {r["node"]: r["component"] for r in hierarchy.strong_components(rows.toDF("a", "b").where("a <> b")).collect()}
+    many = [c for c in place.values() if list(place.values()).count(c) > 1]
+    assert found == {n: c for n, c in place.items() if c in many}
 
 
 def test_graph_measures_of_nothing(spark):
