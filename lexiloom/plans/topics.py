@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexiloom.operators import artm as A
 from lexiloom.operators import topics as P
 from lexiloom.plans.registry import query, table
 
@@ -73,3 +74,21 @@ def lda_topics(spark, sf_dir):
 @query()
 def kmeans_clusters(spark, sf_dir):
     return P.kmeans(table(spark, sf_dir, "embeddings"))
+
+
+def _tokens(spark, sf_dir):
+    docs = P.tokenized(table(spark, sf_dir, "documents"))
+    return docs.select(F.lit(0).alias("fit"), F.col("doc_id").alias("doc"), F.explode("tokens").alias("word"), F.lit(1).alias("n"))
+
+
+@query()
+def regularized_topics(spark, sf_dir):
+    """Top words of a model whose topics are made sparse and unlike each other; the last topic takes common words."""
+    topics = spark.createDataFrame([(0, 6)], "fit int, k int")
+    phi, _ = A.fit(_tokens(spark, sf_dir), topics, rounds=8, phi_tau=-0.1, theta_tau=-0.05, decorrelation=1000.0, background=1, smooth=0.1)
+    return A.top_words(phi, 10).select(F.col("t").alias("topic"), "rank", "word", F.round("p", 8).alias("p"))
+
+
+@query()
+def topic_number_search(spark, sf_dir):
+    return A.search(table(spark, sf_dir, "documents"), [2, 4, 6], rounds=5)
