@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lexiloom.operators import topics as T
 from lexiloom.operators.graph import written
 
-PAIRS = 200_000
+PAIRS = 50_000
 SCORES = "fit int, round int, perplexity double, sparsity_theta double, sparsity_phi double"
 
 
@@ -77,29 +77,32 @@ def fit(tokens: DataFrame, topics: DataFrame, rounds: int = 10, passes: int = 5,
     A fit without tokens has no rows; an empty table gives empty ones; repeated (doc, word) rows are summed.
     """
     spark = tokens.sparkSession
-    dealt = blocks(tokens, pairs)
+    named = blocks(tokens, pairs)
+    dictionary = written(named.select("word").distinct().withColumn("id", F.monotonically_increasing_id()))
+    coded = lambda rows: rows.join(dictionary, "word").drop("word").withColumnRenamed("id", "word")
+    dealt = written(coded(named))
     needs = written(dealt.select("fit", "block", "word").distinct())
     sizes = {r["fit"]: r["k"] for r in topics.collect()}  # one row a fit
-    phi, scores = written(start(dealt, topics, seed)), []
+    phi, scores = written(coded(start(named, topics, seed)).select("fit", "word", "t", "p")), []
     vocabulary = {r["fit"]: r["v"] for r in needs.groupBy("fit").agg(F.count_distinct("word").alias("v")).collect()}
 
     def run(key, docs: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         k = sizes[key[0]]
         docs = docs.sort_values(["doc", "word"], kind="stable")
-        words, word = np.unique(docs["word"].to_numpy(str), return_inverse=True)
+        words, word = np.unique(docs["word"].to_numpy(), return_inverse=True)
         matrix = np.zeros((len(words), k))
         if len(cells):
-            matrix[np.searchsorted(words, cells["word"].to_numpy(str)), cells["t"].to_numpy(int)] = cells["p"]
+            matrix[np.searchsorted(words, cells["word"].to_numpy()), cells["t"].to_numpy(int)] = cells["p"]
         n = docs["n"].to_numpy(float)
         found, theta, likely = e_step(n, pd.factorize(docs["doc"])[0], word, matrix, passes, theta_tau)
         w, t = np.nonzero(found > 0)
         out = pd.DataFrame({"word": words[w], "t": t, "m": found[w, t]})
-        told = pd.DataFrame({"word": None, "t": [-1, -2, -3, -4], "m": [likely, n.sum(), float((theta == 0).sum()), float(theta.size)]})
+        told = pd.DataFrame({"word": -1, "t": [-1, -2, -3, -4], "m": [likely, n.sum(), float((theta == 0).sum()), float(theta.size)]})
         return pd.concat([out, told]).assign(fit=key[0])[["fit", "word", "t", "m"]]
 
     for r in range(rounds):
         sent = needs.join(phi, ["fit", "word"]).select("fit", "block", "word", "t", "p")
-        parts = dealt.groupBy("fit", "block").cogroup(sent.groupBy("fit", "block")).applyInPandas(run, "fit int, word string, t int, m double")
+        parts = dealt.groupBy("fit", "block").cogroup(sent.groupBy("fit", "block")).applyInPandas(run, "fit int, word long, t int, m double")
         summed = written(parts.groupBy("fit", "word", "t").agg(F.sum("m").alias("m")))
         domain = F.col("t") < F.col("k") - background
         counts = summed.where("t >= 0").join(F.broadcast(topics.select("fit", "k")), "fit").join(phi, ["fit", "word", "t"], "left")
@@ -115,7 +118,8 @@ def fit(tokens: DataFrame, topics: DataFrame, rounds: int = 10, passes: int = 5,
         for f in sorted({f for f, _ in told}):
             likely, n, zero, size = (told[f, -i] for i in (1, 2, 3, 4))
             scores.append((f, r, float(np.exp(-likely / n)), zero / size, 1 - cells.get(f, 0) / (vocabulary[f] * sizes[f])))
-    return phi, spark.createDataFrame(scores, SCORES)
+    found = phi.withColumnRenamed("word", "id").join(dictionary, "id").select("fit", "word", "t", "p")
+    return found, spark.createDataFrame(scores, SCORES)
 
 
 def top_words(phi: DataFrame, n: int) -> DataFrame:

@@ -85,10 +85,10 @@ def _tokens(spark, sf_dir):
 def regularized_topics(spark, sf_dir):
     """Top words of a model whose topics are made sparse and unlike each other; the last topic takes common words."""
     topics = spark.createDataFrame([(0, 6)], "fit int, k int")
-    phi, _ = A.fit(_tokens(spark, sf_dir), topics, rounds=8, phi_tau=-0.1, theta_tau=-0.05, decorrelation=1000.0, background=1, smooth=0.1)
+    phi, _ = A.fit(_tokens(spark, sf_dir), topics, rounds=5, phi_tau=-0.1, theta_tau=-0.05, decorrelation=1000.0, background=1, smooth=0.1)
     return A.top_words(phi, 10).select(F.col("t").alias("topic"), "rank", "word", F.round("p", 8).alias("p"))
 
 
 @query()
 def topic_number_search(spark, sf_dir):
-    return A.search(table(spark, sf_dir, "documents"), [2, 4, 6], rounds=5)
+    return A.search(table(spark, sf_dir, "documents"), [2, 4, 6], rounds=3)
