@@ -76,23 +76,46 @@ def _term(x: Column) -> Column:
     return F.when(x.startswith("<"), "iri").when(x.startswith("_:"), "blank").otherwise("literal")
 
 
-def n_triples(spark: SparkSession, path: str) -> DataFrame:
-    """``s``, ``p``, ``o``, ``o_kind``, ``o_datatype`` of N-Triples lines; comments are skipped."""
-    line = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:\S+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z-]+|\^\^<[^>]*>)?)\s*\.\s*$'
-    rows = spark.read.text(path).where(F.col("value").rlike(line))
+def unescaped(x: Column) -> Column:
+    """The characters of a literal between its quotes. JSON knows all escapes but those of the apostrophe and of eight digits, which are
+    rewritten first; null where an escape is none (or stands for a character past the basic plane by eight digits)."""
+    plain = F.regexp_replace(x, r"(?<!\\)((?:\\\\)*)\\'", "$1'")
+    short = F.regexp_replace(plain, r"(?<!\\)((?:\\\\)*)\\U0000([0-9A-Fa-f]{4})", r"$1\\u$2")
+    read = F.from_json(F.concat(F.lit('{"x":"'), short, F.lit('"}')), "x string", {"allowUnquotedControlChars": "true"})
+    return F.when(x.contains("\\"), read["x"]).otherwise(x)
+
+
+def n_triples(spark: SparkSession, path: str, bad: str = "raise") -> DataFrame:
+    """``s``, ``p``, ``o``, ``o_kind``, ``o_datatype``, ``o_lang`` of N-Triples lines. Blank lines and comments are skipped; another line that
+    is no triple ends the read with an error that shows it, or goes with ``bad="drop"``."""
+    if bad not in ("raise", "drop"):
+        raise ValueError("bad must be 'raise' or 'drop'")
+    line = r'^\s*(<[^>]*>|_:\S+)\s+(<[^>]*>)\s+(<[^>]*>|_:[^\s.]\S*?|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*\.\s*(?:#.*)?$'
+    rows = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
     part = lambda i: F.regexp_extract("value", line, i)
-    raw = rows.select(part(1).alias("s"), part(2).alias("p"), part(3).alias("o"))
+    raw = rows.select("value", part(1).alias("s"), part(2).alias("p"), part(3).alias("o"))
     bare = lambda c: F.regexp_replace(c, "^<|>$", "")
-    kind = F.regexp_extract("o", r"\^\^<([^>]*)>$", 1)
-    literal = F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1)
-    return raw.select(bare("s").alias("s"), bare("p").alias("p"), F.when(F.col("o").startswith('"'), literal).otherwise(bare("o")).alias("o"), _term(F.col("o")).alias("o_kind"), F.when(kind != "", kind).alias("o_datatype"))
+    after = lambda mark: F.nullif(F.regexp_extract("o", rf'^"(?:[^"\\]|\\.)*"{mark}$', 1), F.lit(""))
+    literal = unescaped(F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1))
+    value = F.when(F.col("o").startswith('"'), literal).otherwise(bare("o"))
+    told = raw.withColumns({"x": value, "o_kind": _term(F.col("o")), "o_datatype": after(r"\^\^<([^>]*)>"), "o_lang": after("@([A-Za-z0-9-]+)")})
+    wrong = (F.col("s") == "") | F.col("x").isNull()
+    if bad == "drop":
+        told = told.where(~wrong)
+    else:
+        told = told.withColumn("s", F.when(wrong, F.raise_error(F.concat(F.lit("no N-Triples line: "), "value"))).otherwise(F.col("s")))
+    return told.select(bare("s").alias("s"), bare("p").alias("p"), F.col("x").alias("o"), "o_kind", "o_datatype", "o_lang")
 
 
 def write_n_triples(triples: DataFrame, path: str) -> None:
-    """Triples (``s``, ``p``, ``o``, ``o_kind``) as lines; literals are escaped."""
+    """Triples (``s``, ``p``, ``o``, ``o_kind``; optional ``o_datatype``, ``o_lang``) as lines that read back as the same values."""
     node = lambda c: F.when(F.col(c).startswith("_:"), F.col(c)).otherwise(F.concat(F.lit("<"), F.col(c), F.lit(">")))
-    text = F.regexp_replace(F.regexp_replace("o", r"\\", r"\\\\"), '"', r'\\"')
-    o = F.when(F.col("o_kind") == "literal", F.concat(F.lit('"'), F.regexp_replace(text, "\n", r"\\n"), F.lit('"'))).otherwise(node("o"))
+    text = F.col("o")
+    for plain, escape in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+        text = F.replace(text, F.lit(plain), F.lit(escape))
+    kind = F.concat(F.lit("^^<"), F.col("o_datatype"), F.lit(">")) if "o_datatype" in triples.columns else F.lit(None)
+    lang = F.concat(F.lit("@"), F.col("o_lang")) if "o_lang" in triples.columns else F.lit(None)
+    o = F.when(F.col("o_kind") == "literal", F.concat(F.lit('"'), text, F.lit('"'), F.coalesce(lang, kind, F.lit("")))).otherwise(node("o"))
     triples.select(F.concat_ws(" ", node("s"), F.concat(F.lit("<"), F.col("p"), F.lit(">")), o, F.lit(".")).alias("value")).write.mode("overwrite").text(path)
 
 

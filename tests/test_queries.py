@@ -89,6 +89,17 @@ def test_n_triples_round_trip(spark, tmp_path):
     assert got.where("o_kind = 'literal'").count() == 1
 
 
+def test_n_triples_keep_their_values(spark, tmp_path):
+    odd = ['say "hi"', "back\\slash", "two\nlines", "\\n is no line end", "ends in \\", "tab\tand \r", "é漢😀", "", "it's", '\\"']
+    rows = [("_:x", "http://p", o, "literal", d, lang) for o in odd for d, lang in ((None, None), ("http://t", None), (None, "en-GB"))] + [("http://a/1", "http://p", "http://b/2", "iri", None, None)]
+    files.write_n_triples(spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_datatype string, o_lang string"), str(tmp_path / "n"))
+    assert {tuple(r) for r in files.n_triples(spark, str(tmp_path / "n")).collect()} == set(rows)
+    (tmp_path / "m.nt").write_text("# c\n\n<a> <b> 'x' .\n<a> <b> \"\\u00e9\\'\\U0000006e\" . # end\n_:a <b> _:c .\n")
+    with pytest.raises(Exception, match="no N-Triples line"):
+        files.n_triples(spark, str(tmp_path / "m.nt")).collect()
+    assert {r["o"] for r in files.n_triples(spark, str(tmp_path / "m.nt"), "drop").collect()} == {"é'n", "_:c"}
+
+
 def test_append_new_resumes(spark, tmp_path):
     rows = spark.range(5).withColumnRenamed("id", "k")
     files.append_new(rows.where("k < 3"), str(tmp_path / "o"), "k", None)
