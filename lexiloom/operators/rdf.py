@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
+from lexiloom.operators.graph import written
 
 TYPE, SUBCLASS, LABEL, COMMENT, PREFERRED = "rdf:type", "rdfs:subClassOf", "rdfs:label", "rdfs:comment", "skos:prefLabel"
 CLASS_TYPES = ("owl:Class", "rdfs:Class")
@@ -115,18 +116,20 @@ def bad_names(graph: DataFrame, resources: DataFrame) -> DataFrame:
 
 def expanded(graph: DataFrame, predicate: str) -> DataFrame:
     """``property``, ``iri`` of a domain or range; a union of classes (a list of ``first`` and ``rest``)
-    becomes its members. Lists end at ``rdf:nil`` and are followed to ``32`` members in a fixed number of
-    joins, longer ones by further rounds until none is left."""
+    becomes its members. Lists end at ``rdf:nil``, where a cell has no rest, or where they come back to a cell seen before; each
+    round follows all lists by one cell and is written, so that no round does the work of those before it."""
     used = graph.where(F.col("p") == predicate).select(F.col("s").alias("property"), F.col("o").alias("node"))
     union = graph.where(F.col("p") == "owl:unionOf").select(F.col("s").alias("node"), F.col("o").alias("cell"))
     first = graph.where(F.col("p") == "rdf:first").select(F.col("s").alias("cell"), F.col("o").alias("iri"))
     rest = graph.where(F.col("p") == "rdf:rest").select(F.col("s").alias("cell"), F.col("o").alias("next"))
     out = used.join(union, "node", "left_anti").select("property", F.col("node").alias("iri"))
-    cells = used.join(union, "node").select("property", "cell")
+    cells = written(used.join(union, "node").select("property", "cell").where("cell <> 'rdf:nil'").distinct())
+    seen = cells
     while cells.limit(1).count():
-        out = out.unionByName(cells.join(first, "cell").select("property", "iri"))
-        cells = cells.join(rest, "cell").select("property", F.col("next").alias("cell")).where("cell <> 'rdf:nil'")
-    return out.distinct()
+        following = cells.join(rest, "cell").select("property", F.col("next").alias("cell")).where("cell <> 'rdf:nil'").distinct()
+        cells = written(following.join(seen, ["property", "cell"], "left_anti"))
+        seen = seen.unionByName(cells)
+    return out.unionByName(seen.join(first, "cell").select("property", "iri")).distinct()
 
 
 def within(graph: DataFrame, predicate: str) -> DataFrame:

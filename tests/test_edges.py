@@ -94,6 +94,13 @@ def test_depths_and_components_of_random_graphs(spark, seed):
     assert found == {n: c for n, c in place.items() if c in many}
 
 
+def test_unions_whose_lists_come_back(spark):
+    triples = [("p", "rdfs:domain", "u"), ("u", "owl:unionOf", "c0"), ("q", "rdfs:domain", "v"), ("v", "owl:unionOf", "rdf:nil"), ("q", "rdfs:domain", "K")]
+    triples += [(f"c{i}", "rdf:first", f"K{i}") for i in range(5)] + [(f"c{i}", "rdf:rest", f"c{(i + 1) % 5}") for i in range(5)]
+    got = rdf.expanded(spark.createDataFrame(triples, "s string, p string, o string"), "rdfs:domain").collect()
+    assert sorted(tuple(r) for r in got) == sorted([("p", f"K{i}") for i in range(5)] + [("q", "K")])
+
+
 def test_graph_measures_of_nothing(spark):
     none = spark.createDataFrame([], "s string, p string, o string, literal boolean")
     assert rdf.stats(none).collect()[0].asDict() == {"triples": 0, "resources": 0, "literals": 0, "blank_nodes": 0}
