@@ -18,7 +18,7 @@ from lexiloom.functions import extract as X
 from lexiloom.functions import similarity as S
 from lexiloom.functions import text as T
 from lexiloom.operators import references as R
-from lexiloom.operators.graph import cut_lineage
+from lexiloom.operators.graph import cut_lineage, written
 
 FIELDS = ("title", "year", "authors", "doi", "arxiv_id", "article_url", "pdf_url")
 #: Domains whose papers are trusted, and those that searches leave out.
@@ -216,9 +216,10 @@ def best_pdf(candidates: DataFrame) -> DataFrame:
 
 def with_cache(refs: DataFrame, cache: DataFrame, ask) -> tuple[DataFrame, DataFrame]:
     """Answers of ``ask`` (a function of the references that aren't in the cache, giving ``ref`` and ``answer``), the
-    cached ones before them, and the cache with the new ones. A null answer is cached too."""
+    cached ones before them, and the cache with the new ones. A null answer is cached too. What was asked is written down, so
+    that reading both results asks once."""
     known = cache.groupBy("ref").agg(F.max_by("answer", "answer").alias("answer"))
-    fresh = ask(refs.join(known, "ref", "left_anti")).select("ref", "answer")
+    fresh = written(ask(refs.join(known, "ref", "left_anti")).select("ref", "answer"))
     return refs.select("ref").join(known, "ref").unionByName(fresh), known.unionByName(fresh)
 
 

@@ -6,6 +6,7 @@ an empty one, or one row of zeros where one row is promised; further columns are
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -67,28 +68,33 @@ def batches(rows: DataFrame, size: int = 20, order: str = "index") -> DataFrame:
     return numbered.groupBy(F.floor(F.col("_i") / size).alias("batch")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: F.struct(*[s[c].alias(c) for c in rows.columns])).alias("items"))
 
 
-def ask(rows: DataFrame, provider: Callable[[str], str], payload: str = "payload", tries: int = 3) -> DataFrame:
-    """``rows`` with ``answer``: the provider's JSON for each payload, null if ``tries`` attempts fail.
+def ask(rows: DataFrame, provider: Callable[[str], str], payload: str = "payload", tries: int = 3, wait: float = 0.0, reason: str | None = None) -> DataFrame:
+    """``rows`` with ``answer``: the provider's JSON for each payload, null if ``tries`` attempts fail. Between attempts it waits ``wait``
+    seconds, twice as long each time; ``reason`` names a column for the last error of rows without an answer.
 
     The provider is any function of one JSON text; without a network a deterministic stub stands for it.
     """
 
     def run(frames):
         for pdf in frames:
-            out = []
+            out, errors = [], []
             for x in pdf[payload]:
-                answer = None
-                for _ in range(tries):
+                answer = error = None
+                for turn in range(tries):
                     try:
-                        answer = provider(x)
+                        answer, error = provider(x), None
                         break
-                    except Exception:  # a provider may fail in any way; the next attempt may not
-                        continue
+                    except Exception as e:  # a provider may fail in any way; the next attempt may not
+                        error = f"{type(e).__name__}: {e}"
+                        if turn + 1 < tries:
+                            time.sleep(wait * 2**turn)
                 out.append(answer)
-            yield pdf.assign(answer=pd.Series(out, index=pdf.index, dtype=object))
+                errors.append(error)
+            more = {"answer": out} | ({reason: errors} if reason else {})
+            yield pdf.assign(**{c: pd.Series(v, index=pdf.index, dtype=object) for c, v in more.items()})
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
-    return rows.mapInPandas(run, ", ".join([*schema, "answer string"]))
+    return rows.mapInPandas(run, ", ".join([*schema, "answer string", *([f"`{reason}` string"] if reason else [])]))
 
 
 def payload(*columns: str) -> Column:

@@ -94,6 +94,25 @@ def test_depths_and_components_of_random_graphs(spark, seed):
     assert found == {n: c for n, c in place.items() if c in many}
 
 
+def test_providers_and_caches(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def provider(x):
+        with open(calls, "a") as f:
+            f.write(x + "\n")
+        if x == "bad" or calls.read_text().count(x) < 2:
+            raise ValueError("not yet")
+        return x.upper()
+
+    rows = spark.createDataFrame([("a",), ("bad",)], "payload string").coalesce(1)
+    got = {r["payload"]: (r["answer"], r["why"]) for r in topicflow.ask(rows, provider, wait=0.01, reason="why").collect()}
+    assert got == {"a": ("A", None), "bad": (None, "ValueError: not yet")}
+    calls.write_text("")
+    refs, cache = spark.createDataFrame([("r",), ("s",)], "ref string"), spark.createDataFrame([("s", "old")], "ref string, answer string")
+    answers, after = enrichment.with_cache(refs, cache, lambda misses: topicflow.ask(misses, provider, "ref", 2))
+    assert {tuple(r) for r in answers.collect()} == {tuple(r) for r in after.collect()} and calls.read_text().count("r") == 2
+
+
 def test_unions_whose_lists_come_back(spark):
     triples = [("p", "rdfs:domain", "u"), ("u", "owl:unionOf", "c0"), ("q", "rdfs:domain", "v"), ("v", "owl:unionOf", "rdf:nil"), ("q", "rdfs:domain", "K")]
     triples += [(f"c{i}", "rdf:first", f"K{i}") for i in range(5)] + [(f"c{i}", "rdf:rest", f"c{(i + 1) % 5}") for i in range(5)]
