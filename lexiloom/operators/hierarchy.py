@@ -101,7 +101,7 @@ def longest_paths(edges: DataFrame) -> DataFrame:
     edges = written(edges)
     tops = edges.select(F.col("b").alias("node")).union(edges.select("a")).distinct().join(edges.select(F.col("a").alias("node")), "node", "left_anti")
     depth = written(tops.select("node", F.lit(0).cast("long").alias("depth")))
-    jumps = Jumps(edges, edges.count())
+    jumps, turn = Jumps(edges, edges.count()), 0
     while True:
         ways = edges.withColumn("w", F.lit(1).cast("long"))
         if jumps.steps > 1:
@@ -113,7 +113,9 @@ def longest_paths(edges: DataFrame) -> DataFrame:
         depth = new.select("node", "depth")
         if not new.where("rose").limit(1).count():
             return depth
-        jumps.double()
+        turn += 1
+        if turn > 3:  # most hierarchies are done before
+            jumps.double()
 
 
 def depths(parents: DataFrame) -> DataFrame:
