@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,20 +16,22 @@ from lexiloom.operators.graph import cut_lineage
 BLOCK = 4096
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``query_id``, ``doc_id``, ``score`` of every pair that shares a token.
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75, **equal) -> DataFrame:
+    """``query_id``, ``doc_id``, ``score`` of every pair that shares a token; with ``equal`` (column=value, all of them) only of the
+    documents whose metadata say so. Counts and lengths are those of all documents, so a filter changes no score; null metadata match nothing.
 
     Postings are cut to the queries' tokens before the join that scores them; idf is
     ln(1 + (N - df + 0.5) / (df + 0.5)).
     """
-    tokens = docs.select("doc_id", T.once(T.word_tokens(F.lower("text"))).alias("t"))
+    wanted_docs = reduce(lambda x, y: x & y, [F.col(c) == F.lit(v) for c, v in equal.items()], F.lit(True))
+    tokens = docs.select("doc_id", F.coalesce(wanted_docs, F.lit(False)).alias("among"), T.once(T.word_tokens(F.lower("text"))).alias("t"))
     facts = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t")).alias("mean"))
     asked = queries.select("query_id", F.explode(F.array_distinct(T.word_tokens(F.lower("text")))).alias("token"))
     wanted = asked.select("token").distinct()
-    postings = tokens.select("doc_id", F.size("t").alias("len"), F.explode("t").alias("token")).join(wanted, "token", "left_semi").groupBy("token", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    postings = tokens.select("doc_id", "among", F.size("t").alias("len"), F.explode("t").alias("token")).join(wanted, "token", "left_semi").groupBy("token", "doc_id", "among", "len").agg(F.count(F.lit(1)).alias("tf"))
     postings = cut_lineage(postings)
     df = postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    scored = postings.join(df, "token").crossJoin(F.broadcast(facts)).select(
+    scored = postings.where("among").join(df, "token").crossJoin(F.broadcast(facts)).select(
         "token", "doc_id",
         (F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))).alias("part"),
     )

@@ -26,6 +26,17 @@ def bm25_topk(spark, sf_dir):
     return R.top_k(R.bm25(table(spark, sf_dir, "documents"), _asked(spark, sf_dir)), 10)
 
 
+@query(
+    f"""WITH {BM25}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM s
+ WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en' AND source = (SELECT min(source) FROM documents))) SELECT * FROM r WHERE rank <= 10"""
+)
+def filtered_topk(spark, sf_dir):
+    """The best of one language and one source, under the counts of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    source = docs.agg(F.min("source")).first()[0]
+    return R.top_k(R.bm25(docs, _asked(spark, sf_dir), lang="en", source=source), 10)
+
+
 @query(f"WITH {VECTORS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM v) SELECT * FROM r WHERE rank <= 10")
 def vector_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
