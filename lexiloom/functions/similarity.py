@@ -69,3 +69,13 @@ def indel_column(a: Column, b: Column) -> Column:
         return pd.Series([indel_ratio(u or "", v or "") for u, v in zip(x, y, strict=True)])
 
     return ratio(a, b)
+
+
+def title_column(a: Column, b: Column, most: int = 50) -> Column:
+    """``indel_ratio`` where the first is longer than ``most``, else ``partial_ratio``, in Arrow batches; nulls count as empty."""
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([(indel_ratio if len(u or "") > most else partial_ratio)(u or "", v or "") for u, v in zip(x, y, strict=True)])
+
+    return ratio(a, b)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiloom.plans import alignment, corpus, enrichment, graph, identifiers, layout, matching, questions, rdf, references, retrieval, tables, topicflow, topics  # noqa: F401
+from lexiloom.plans import alignment, cascade, corpus, enrichment, graph, identifiers, layout, matching, questions, rdf, references, retrieval, tables, topicflow, topics  # noqa: F401
 from lexiloom.plans.registry import ORACLES, QUERIES
 
 
