@@ -41,6 +41,10 @@ def first_page_title(text: Column, most_lines: int = 30) -> Column:
     15 to 250, one of 20 to 200 within the first ten lines before others. Lines of other parts (abstract, authors, dates) are no titles.
     """
     lines = F.transform(F.slice(F.split(text, "\n", -1), 1, most_lines), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.get(F.transform(F.array(lines), _title), F.lit(0))  # binds the lines, so that a text is split once
+
+
+def _title(lines: Column) -> Column:
     more = lambda x: F.length(x).between(10, 150) & ~x.rlike(NO_MORE)
 
     def joined(line: Column, i: Column) -> Column:
