@@ -189,7 +189,7 @@ def all_candidates(refs: DataFrame, sources: list[tuple[str, DataFrame]], most:
 def filled(base: DataFrame, more: DataFrame, key: str = "ref") -> DataFrame:
     """``base`` with what it lacks from ``more``: a field that has a value keeps it; blanks lack one."""
     m = more.select(key, *[F.col(c).alias(f"_m_{c}") for c in FIELDS])
-    text = lambda c: F.coalesce(T.clean_str(F.col(c)), T.collapse_space(T.clean_str(F.col(f"_m_{c}"))))
+    text = lambda c: F.coalesce(T.clean_str(F.col(c)), F.nullif(T.collapse_space(T.clean_str(F.col(f"_m_{c}"))), F.lit("")))
     value = {c: text(c) for c in FIELDS if c != "year"} | {"year": F.coalesce("year", year_of(F.col("_m_year").cast("string")))}
     rest = [c for c in base.columns if c != key and c not in FIELDS]
     return base.join(m, key, "left").select(key, *[value[c].alias(c) for c in FIELDS], *rest)

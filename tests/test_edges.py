@@ -227,3 +227,11 @@ def test_numbered_lines_and_writers(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "v")).where("dataset = 'b'").count() == 1
     files.write_lines(rows.select("name"), str(tmp_path / "l"))
     assert spark.read.text(str(tmp_path / "l")).count() == 3
+
+
+def test_a_field_that_both_sides_lack_stays_missing(spark):
+    kinds = "ref long, title string, year int, authors string, doi string, arxiv_id string, article_url string, pdf_url string"
+    base = spark.createDataFrame([(i, " ", None, None, "nan", None, None, None) for i in (1, 2, 3)], kinds)
+    more = spark.createDataFrame([(1, " a  b ", 2001, None, "none", None, None, None), (2, None, None, "", None, None, None, "　")], kinds)
+    got = {r["ref"]: tuple(r)[1:] for r in enrichment.filled(base, more).collect()}
+    assert got == {1: ("a b", 2001, None, None, None, None, None), 2: (None,) * 7, 3: (None,) * 7}
