@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.operators.graph import written
+
 ARTICLE = ("article_id", "article_title", "section_id", "section_heading")
 TOPIC = ("local_topic_id", "title", "description", "text_span")
 
@@ -58,8 +60,8 @@ def usable_sources(sources: DataFrame) -> DataFrame:
 
 def batches(rows: DataFrame, size: int = 20, order: str = "index") -> DataFrame:
     """``batch``, ``items``: rows in runs of ``size`` by their order. Rows are numbered per range of the order and the ranges
-    by their sums, so no task holds more than its range."""
-    spread = rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    by their sums, so no task holds more than its range. The ranges are written down, as two readings may cut them differently."""
+    spread = written(rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
     counts = spread.groupBy("_p").agg(F.count(F.lit(1)).alias("c"))
     before = counts.select("_p", F.coalesce(F.sum("c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))  # a row per partition
     place = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1

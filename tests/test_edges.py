@@ -235,3 +235,9 @@ def test_a_field_that_both_sides_lack_stays_missing(spark):
     more = spark.createDataFrame([(1, " a  b ", 2001, None, "none", None, None, None), (2, None, None, "", None, None, None, "　")], kinds)
     got = {r["ref"]: tuple(r)[1:] for r in enrichment.filled(base, more).collect()}
     assert got == {1: ("a b", 2001, None, None, None, None, None), 2: (None,) * 7, 3: (None,) * 7}
+
+
+def test_batches_hold_every_row_once_over_many_ranges(spark):
+    rows = spark.range(120_010).select(F.col("id").alias("index"), F.sha2(F.col("id").cast("string"), 256).alias("name"))
+    got = topicflow.batches(rows).select("batch", F.transform("items", lambda s: s["index"]).alias("i")).collect()
+    assert {r["batch"]: r["i"] for r in got} == {b: list(range(20 * b, min(20 * b + 20, 120_010))) for b in range(6001)}
