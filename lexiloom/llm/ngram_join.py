@@ -3,7 +3,8 @@
 Sets of word shingles (64-bit hashes) are compared; documents with equal sets form one class, so
 copies are never expanded. Shingles that stand in many documents are found by counts inside
 partitions, added up: their list is bounded by the mean set size over ``frequent_share``. In the
-global order rare shingles come first. A set's prefix is extended until it guarantees a shared
+global order rare shingles come first, those of rare words before others, as what stands in few
+documents ties few classes however large the corpus is. A set's prefix is extended until it guarantees a shared
 signature with every set within the threshold: each rare shingle of the prefix is a signature by
 itself; frequent ones are dealt into groups and every pair inside a group is a signature, which
 guarantees one less than the group's number of prefix shingles.
@@ -12,8 +13,10 @@ Classes that share a signature are candidates. In a signature of few classes all
 fitting size are taken and checked against a bound from parity bitmaps: the bits in which they
 differ never exceed the sets' symmetric difference. In a larger one every class is tied to the
 first; tasks do so with what they see themselves, before the shuffle. The connected candidates are
-families, and within families every pair is verified exactly, in blocks, by matrix products;
-only a forest of the true links leaves a block, never all pairs.
+families. Ties may connect much of a large corpus, so a family of more than ``BLOCK`` classes is split
+by what the bitmaps of its classes leave connected; they are compared in blocks of like sizes. Within
+families every pair is verified exactly, in blocks, by matrix products; only a forest of the links
+leaves a block, never all pairs.
 
 Edge cases: null and empty texts have no shingles and are linked with nothing; a text with fewer
 words than a shingle is one shingle of its whole sequence; repeated rows fall into one class; a
@@ -39,28 +42,54 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 #: Signatures of more classes than this tie each class to the first instead of giving pairs.
 FEW = 48
 BLOCK = 512
+#: Words are counted in so many cells (a power of two) by their hashes.
+CELLS = 1 << 16
+#: Classes of one range of sizes whose bitmaps stand in a block.
+WIDE = 8192
 
 
-def shingle_sets(values: list[str], n: int, rows: int = 512):
-    """Of each text the distinct hashes of its n-word shingles, rising; a text with fewer words has one
-    hash of its whole sequence, one without words none."""
+def cells(h: np.ndarray) -> np.ndarray:
+    return (mix64(h ^ _B) & np.uint64(CELLS - 1)).astype(np.int64)
+
+
+def weighed_sets(values: list[str], n: int, weight: np.ndarray | None = None, counts: np.ndarray | None = None, rows: int = 512):
+    """``shingle_sets``, each with the sum of its words' weights (of their cells; 0 without a table or for a text of fewer words).
+    The texts' words are added to ``counts``, where given."""
     for lo, hi in cuts(values, rows):
         words = Words([t.encode("utf-8", "replace") for t in values[lo:hi]])
         h, first = words.hash, words.first
+        if counts is not None:
+            counts += np.bincount(cells(h), minlength=CELLS)
         out = np.zeros(max(0, len(h) - n + 1), np.uint64)
-        for k in range(n):
-            out = mix64(out * _A + h[k : len(h) - n + 1 + k]) if len(out) else out
+        sums = np.zeros(len(out), np.uint64)
+        own = None if weight is None else weight[cells(h)]
+        for k in range(n if len(out) else 0):
+            out = mix64(out * _A + h[k : len(h) - n + 1 + k])
+            if own is not None:
+                sums += own[k : len(h) - n + 1 + k]
         for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             if z - a >= n:
-                s = np.sort(out[a : z - n + 1])
-                yield s[np.r_[True, s[1:] != s[:-1]]]
+                if own is None:
+                    s = np.sort(out[a : z - n + 1])
+                    s = s[np.r_[True, s[1:] != s[:-1]]]
+                    yield s, np.zeros(len(s), np.uint64)
+                else:
+                    s, at = np.unique(out[a : z - n + 1], return_index=True)
+                    yield s, sums[a + at]
             elif z > a:
                 whole = np.array([z - a], np.uint64) * _B
                 for x in h[a:z]:
                     whole = mix64(whole * _A + x)
-                yield whole
+                yield whole, np.zeros(1, np.uint64)
             else:
-                yield np.zeros(0, np.uint64)
+                yield np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+
+def shingle_sets(values: list[str], n: int, rows: int = 512):
+    """Of each text the distinct hashes of its n-word shingles, rising; a text with fewer words has one
+    hash of its whole sequence, one without words none."""
+    for s, _ in weighed_sets(values, n, rows=rows):
+        yield s
 
 
 def shingle_set(text: str, n: int) -> np.ndarray:
@@ -97,13 +126,15 @@ class Rule:
         return self.den * inter >= self.num * (a + b - inter)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures by single rare shingles and by pairs of frequent ones."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray, rule: Rule, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures by single rare shingles, the lightest first, and by pairs of frequent ones."""
     size = len(tokens)
     if rule.alone(size):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     need = size - rule.least(size) + 1
     rare, often = tokens[~frequent], tokens[frequent]
+    if weights is not None and len(rare) > need:
+        rare = rare[np.argsort(weights[~frequent], kind="stable")]  # equal weights: by hash
     singles, pairs = mix64(rare[:need] ^ _C), []
     left = need - len(rare)
     if left <= 0:
@@ -145,11 +176,12 @@ def differing(a: bytes, b: bytes) -> int:
 
 
 def sets(docs: DataFrame, rule: Rule, share: float) -> DataFrame:
-    """Rows of documents (``doc_id``, ``size``, ``cls``) and of shingles that repeat in a task
-    (``token``, ``df``), in one pass."""
+    """Rows of documents (``doc_id``, ``size``, ``cls``), of shingles that repeat in a task (size -1:
+    ``token``, ``df``) and of cells of words (size -2: ``token``, ``df`` their count), in one pass."""
 
     def run(frames):
         held, kept, rows = [], 0, 0
+        counts = np.zeros(CELLS, np.int64)
 
         def repeated():
             value, count = np.unique(np.concatenate(held), return_counts=True)
@@ -159,7 +191,7 @@ def sets(docs: DataFrame, rule: Rule, share: float) -> DataFrame:
         seen: set[int] = set()
         for pdf in frames:
             size, cls = [], []
-            for s in shingle_sets(pdf["text"].tolist(), rule.n):
+            for s, _ in weighed_sets(pdf["text"].tolist(), rule.n, counts=counts):
                 c = class_of(s)
                 size.append(len(s))
                 cls.append(c)
@@ -174,6 +206,8 @@ def sets(docs: DataFrame, rule: Rule, share: float) -> DataFrame:
                 held, kept, rows, seen = [], 0, 0, set()
         if held:
             yield repeated()
+        some = np.flatnonzero(counts)
+        yield pd.DataFrame({"doc_id": pd.array([None] * len(some), "Int64"), "size": -2, "cls": 0, "token": some, "df": counts[some]})
 
     return texts(docs).mapInPandas(lean(run), "doc_id long, size long, cls long, token long, df long")
 
@@ -181,11 +215,19 @@ def sets(docs: DataFrame, rule: Rule, share: float) -> DataFrame:
 def frequent_tokens(counted: DataFrame, n_sets: int, share: float) -> np.ndarray:
     """Shingles counted in at least ``share`` of the sets (16 at least), rising."""
     least = max(16.0, share * n_sets)
-    rows = counted.where("size < 0").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= least).select("token")
+    rows = counted.where("size = -1").groupBy("token").agg(F.sum("df").alias("df")).where(F.col("df") >= least).select("token")
     return np.sort(rows.toPandas()["token"].to_numpy(np.int64).astype(np.uint64))
 
 
-def candidates(docs: DataFrame, rule: Rule, frequent) -> DataFrame:
+def word_weights(counted: DataFrame) -> np.ndarray:
+    """Of each cell of words the logarithm of its count, in sixteenths of a doubling."""
+    rows = counted.where("size = -2").groupBy("token").agg(F.sum("df").alias("n")).toPandas()  # CELLS rows at most
+    out = np.zeros(CELLS, np.uint64)
+    out[rows["token"].to_numpy(np.int64)] = np.log2(rows["n"].to_numpy(float)) * 16
+    return out
+
+
+def candidates(docs: DataFrame, rule: Rule, frequent, weights=None) -> DataFrame:
     """Rows of three kinds: 0 a class (``a``, ``size``, ``bits``), 1 a signature (``sig``, ``a``,
     ``size``), 2 a tie (``a``, ``b``) of classes that share a signature many times in one task."""
     empty = b""
@@ -198,7 +240,7 @@ def candidates(docs: DataFrame, rule: Rule, frequent) -> DataFrame:
         times: dict[int, list[int]] = {}
         for pdf in frames:
             out = []
-            for s in shingle_sets(pdf["text"].tolist(), rule.n):
+            for s, w in weighed_sets(pdf["text"].tolist(), rule.n, weight=weights.value if weights else None):
                 if not len(s):
                     continue
                 c = class_of(s)
@@ -212,7 +254,7 @@ def candidates(docs: DataFrame, rule: Rule, frequent) -> DataFrame:
                     at = np.flatnonzero(hot)
                     place = np.minimum(np.searchsorted(often, s[at]), len(often) - 1)
                     hot[at] = often[place] == s[at]
-                singles, pairs = signatures(s, hot, rule)
+                singles, pairs = signatures(s, hot, rule, w)
                 if not len(singles) and not len(pairs):
                     continue
                 out.append((0, 0, c, 0, len(s), bitmap(s)))
@@ -308,6 +350,86 @@ def families(found: DataFrame, rule: Rule) -> DataFrame:
     return components(edges.where("sure").select("a", "b").unionByName(close))
 
 
+def folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps as rows of ``width`` 64-bit words; longer ones are folded."""
+    out = np.zeros((len(bits), width), np.uint64)
+    for i, b in enumerate(bits):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, width), 0)
+    return out
+
+
+def near_forest(size: np.ndarray, bits: list[bytes], left: np.ndarray, rule: Rule) -> np.ndarray:
+    """Of each set the number of the least one that it is connected with, by pairs whose bitmaps allow a link. Sets of the
+    ``left`` meet the others; if all are left, each meets each."""
+    width = min(map(len, bits)) // 8
+    few = 1  # words that tell most pairs apart: unlike sets differ in half of the bits
+    while few < width and 24 * few < size.max() * 2 * (rule.den - rule.num) / (rule.den + rule.num):
+        few *= 2
+    x, short = folded(bits, width), None
+    if few < width:
+        short = np.bitwise_xor.reduce(x.reshape(len(x), -1, few), 1)
+    label = np.arange(len(size))
+    rows, others = np.flatnonzero(left), np.flatnonzero(~left)
+    one = not len(others)
+    for lo in range(0, len(rows), 64):
+        i, j = rows[lo : lo + 64], (rows[lo:] if one else others)
+        narrow = x if short is None else short
+        differ = np.zeros((len(i), len(j)), np.int64)
+        for w in range(narrow.shape[1]):
+            differ += np.bitwise_count(narrow[i, w][:, None] ^ narrow[j, w][None, :])
+        total = size[i][:, None] + size[j][None, :]
+        a, b = np.nonzero(rule.linked((total - differ) // 2, total, 0) & (rule.den * np.minimum(size[i][:, None], size[j][None, :]) >= rule.num * np.maximum(size[i][:, None], size[j][None, :])))
+        a, b = i[a], j[b]
+        if one:
+            a, b = a[a < b], b[a < b]
+        if short is not None and len(a):
+            differ = np.concatenate([np.bitwise_count(x[a[k : k + 65536]] ^ x[b[k : k + 65536]]).sum(1, dtype=np.int64) for k in range(0, len(a), 65536)])
+            ok = rule.linked((size[a] + size[b] - differ) // 2, size[a], size[b])
+            a, b = a[ok], b[ok]
+        while len(a):  # most pairs are inside one part after few merges
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            if len(a):
+                p, q = sorted((label[a[0]], label[b[0]]))
+                label[label == q] = p
+    return label
+
+
+def split(family: DataFrame, found: DataFrame, rule: Rule) -> DataFrame:
+    """``family`` (``node``, ``component``), where those of more than ``BLOCK`` classes are replaced by what their bitmaps connect."""
+    family = stored(family)
+    large = stored(family.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("component"))
+    if not large.limit(1).count():
+        return family
+    sketch = found.where("kind = 0").groupBy("a").agg(F.first("size").alias("size"), F.first("bits").alias("bits"))
+    step = 1.01 * np.log(rule.den / rule.num)  # sizes within the threshold lie in one range or in two that touch
+    ranged = F.floor(F.log(F.col("size").cast("double")) / float(step)).cast("int")
+    members = stored(family.join(large, "component").join(sketch, F.col("node") == F.col("a")).select("component", "node", "size", "bits", ranged.alias("r")))
+    blocks = stored(members.groupBy("component", "r").agg(F.ceil(F.count(F.lit(1)) / WIDE).cast("int").alias("blocks")))
+    beside = lambda d, name: blocks.select("component", (F.col("r") - d).alias("r"), F.col("blocks").alias(name))
+    known = members.join(beside(0, "own"), ["component", "r"]).join(beside(1, "above"), ["component", "r"], "left").join(beside(-1, "below"), ["component", "r"], "left")
+    known = known.withColumn("g", F.pmod(F.xxhash64("node"), "own").cast("int"))
+    every = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    meets = lambda r, i, s, j, left: F.struct(r.alias("r1"), i.alias("i"), s.alias("r2"), j.alias("j"), left.alias("is_left"))
+    r, g = F.col("r"), F.col("g")
+    same = F.transform(every(F.col("own")), lambda j: meets(r, F.least(g, j), r, F.greatest(g, j), g <= j))
+    up = F.transform(every(F.coalesce("above", F.lit(0))), lambda j: meets(r, g, r + 1, j, F.lit(True)))
+    down = F.transform(every(F.coalesce("below", F.lit(0))), lambda j: meets(r - 1, j, r, g, F.lit(False)))
+    dealt = known.select("component", "node", "size", "bits", F.explode(F.concat(same, up, down)).alias("k")).select("component", "k.*", "node", "size", "bits")
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, node = pdf["is_left"].to_numpy(bool), pdf["node"].to_numpy()
+        one = (pdf["r1"].iat[0], pdf["i"].iat[0]) == (pdf["r2"].iat[0], pdf["j"].iat[0])
+        if not one and (left.all() or not left.any()):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        label = near_forest(pdf["size"].to_numpy(np.int64), pdf["bits"].tolist(), left, rule)
+        tied = np.flatnonzero(label != np.arange(len(label)))
+        return pd.DataFrame({"a": node[label[tied]], "b": node[tied]})
+
+    parts = components(dealt.groupBy("component", "r1", "i", "r2", "j").applyInPandas(links, "a long, b long"))
+    return family.join(large, "component", "left_anti").select("node", "component").unionByName(parts.select("node", "component"))
+
+
 def links_in(cls: list[int], members: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
     """A forest of the true links among sets, by products of their incidence matrices."""
     size = np.fromiter(map(len, members), np.int64, len(members))
@@ -392,8 +514,9 @@ def _joined(docs: DataFrame, rule: Rule, frequent_share: float) -> tuple[DataFra
     rows = counted.where("size >= 0").select("doc_id", "size", "cls")
     named = stored(rows.where("size > 0").groupBy("cls").agg(F.min("doc_id").alias("first")))
     frequent = spark.sparkContext.broadcast(frequent_tokens(counted, named.count(), frequent_share))
-    found = stored(candidates(docs, rule, frequent))
-    family = families(found, rule)
+    weights = spark.sparkContext.broadcast(word_weights(counted))
+    found = stored(candidates(docs, rule, frequent, weights))
+    family = split(families(found, rule), found, rule)
     links = stored(true_links(docs, named.select(F.col("first").alias("doc_id"), "cls"), family, rule))
     parts = components(links)
     classes = named.join(parts, named["cls"] == parts["node"], "left").select("cls", F.coalesce("component", "cls").alias("component"), "first")

@@ -528,6 +528,52 @@ def test_ngram_join(spark, monkeypatch, n, num, share):
     assert got == brute_groups(docs, n, num, 100)
 
 
+def test_classes_that_only_share_shingles_dont_meet_in_full(spark, monkeypatch):
+    """Every 30 texts share one line; ties by it connect them, and a line in a chain connects all."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    lines = [" ".join(word() for _ in range(6)) for _ in range(20)]
+    docs = []
+    for i in range(240):
+        own = [word() for _ in range(rng.randrange(8, 60))]
+        docs.append(" ".join([*own, lines[i % 20], lines[(i // 20) % 20]]))
+        if i % 6 == 0:
+            docs.append(docs[-1] + " " + word())
+    rows = list(enumerate(docs))
+    monkeypatch.setattr(ngram_join, "FEW", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 10)
+    monkeypatch.setattr(ngram_join, "WIDE", 16)
+    sizes, links = [], ngram_join.true_links
+
+    def spied(docs, named, family, rule):
+        sizes.extend(r["count"] for r in family.groupBy("component").count().collect())
+        return links(docs, named, family, rule)
+
+    monkeypatch.setattr(ngram_join, "true_links", spied)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows, 3, 90, 100)
+    assert max(sizes) <= 10
+
+
+def test_bitmaps_lose_no_link():
+    rng = np.random.default_rng(4)
+    for rule in (ngram_join.Rule(3, 90, 100), ngram_join.Rule(5, 80, 100)):
+        for size in (12, 90, 700):
+            sets = []
+            for _ in range(12):
+                a = rng.integers(0, 2**63, size).astype(np.uint64)
+                sets += [np.unique(np.concatenate([a[rng.random(size) > 0.05], rng.integers(0, 2**63, rng.integers(0, 3)).astype(np.uint64)])) for _ in range(4)]
+            n, bits = np.array([len(s) for s in sets]), [ngram_join.bitmap(s) for s in sets]
+            left = rng.random(len(sets)) < 0.5
+            for side in (np.ones(len(sets), bool), left):
+                label = ngram_join.near_forest(n, bits, side, rule)
+                for i, a in enumerate(sets):
+                    for j, b in enumerate(sets):
+                        if (side.all() or (side[i] and not side[j])) and rule.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+                            assert label[i] == label[j]
+                assert len(np.unique(label)) >= 12
+
+
 def test_ngram_join_keeps_one(spark, odd, empty):
     docs = list(enumerate(family(20)))
     frame = spark.createDataFrame(docs, "doc_id long, text string")
