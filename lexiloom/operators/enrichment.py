@@ -135,17 +135,44 @@ def title_words(title: Column, most: int = 6) -> Column:
     return F.array_distinct(F.slice(F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(r"[a-z0-9\-]{3,}"), F.lit(0)), 1, most))
 
 
-def title_search(refs: DataFrame, source: DataFrame) -> DataFrame:
-    """``ref``, ``source_id`` of the records whose titles have all of the reference's search words.
+def _lists(rows: DataFrame, keys: list[str], value: str, most: int = 1000) -> DataFrame:
+    """``keys`` and lists of at most ``most`` values, as many rows as it takes."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+    return rows.withColumn("_n", F.floor((place - 1) / most)).groupBy(*keys, "_n").agg(F.collect_list(value).alias(f"_{value}")).drop("_n")
 
-    The rarest of the words finds the candidates by an equi-join; the others are checked on them.
+
+def expanded(pairs: DataFrame, refs: DataFrame, source: DataFrame, most_years: int | None = None) -> DataFrame:
+    """``ref``, ``source_id`` of all members of the pairs (``ask``, ``have``) of titles; ``refs`` has ``ref``, ``ask``, ``source`` has ``source_id``, ``have``.
+
+    Members travel in lists, which are dealt anew before they are taken apart, so that titles which many rows share land in
+    no single task. With ``most_years``, ``year`` and ``c_year`` must not lie further apart; a missing one fits all.
+    """
+    years = ([], []) if most_years is None else (["year"], ["c_year"])
+    met = pairs.join(_lists(refs, ["ask", *years[0]], "ref"), "ask").join(_lists(source, ["have", *years[1]], "source_id"), "have")
+    if most_years is not None:
+        met = met.where(F.coalesce(F.abs(F.col("year") - F.col("c_year")) <= most_years, F.lit(True)))
+    dealt = met.select("_ref", "_source_id").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.select(F.explode("_ref").alias("ref"), "_source_id").select("ref", F.explode("_source_id").alias("source_id"))
+
+
+def title_search(refs: DataFrame, source: DataFrame, most: int | None = None) -> DataFrame:
+    """``ref``, ``source_id`` of the records whose titles have all of the reference's search words; with ``most``, the first of them by ``source_id``.
+
+    Titles of the same words are compared once. The rarest of the words finds the candidates by an equi-join; the others are
+    checked on them.
     """
-    have = source.select("source_id", F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit(r"[a-z0-9\-]{3,}"), F.lit(0))).alias("have"))
-    posted = have.select("source_id", "have", F.explode("have").alias("w"))
-    counts = have.select(F.explode("have").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    asked = refs.select("ref", title_words(F.col("title")).alias("ask")).where("size(ask) > 0")
-    rare = asked.select("ref", "ask", F.explode("ask").alias("w")).join(counts, "w", "left").groupBy("ref").agg(F.min_by("w", F.struct(F.coalesce("n", F.lit(0)), "w")).alias("w"), F.first("ask").alias("ask"))
-    return rare.join(posted, "w").where(F.size(F.array_except("ask", "have")) == 0).select("ref", "source_id")
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit(r"[a-z0-9\-]{3,}"), F.lit(0))))
+    records = cut_lineage(source.select("source_id", words.alias("have")))
+    asked = cut_lineage(refs.select("ref", F.array_sort(title_words(F.col("title"))).alias("ask")).where("size(ask) > 0").groupBy("ref").agg(F.min("ask").alias("ask")))
+    posted = records.select("have").distinct().select("have", F.explode("have").alias("w"))
+    counts = posted.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    rare = asked.select("ask").distinct().select("ask", F.explode("ask").alias("w")).join(counts, "w").groupBy("ask").agg(F.min_by("w", F.struct("n", "w")).alias("w"), F.count(F.lit(1)).alias("known"))
+    pairs = rare.where(F.col("known") == F.size("ask")).join(posted, "w").where(F.size(F.array_except("ask", "have")) == 0).select("ask", "have")
+    if most is None:
+        return expanded(pairs, asked, records)
+    first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy("source_id")) <= most
+    least = lambda rows, key: rows.withColumn("_f", first(key)).where("_f").drop("_f")
+    return asked.join(least(pairs.join(least(records, "have"), "have"), "ask"), "ask").select("ref", "source_id")
 
 
 def valid_candidates(pairs: DataFrame, strict: bool = True, most_years: int = 2) -> DataFrame:
@@ -176,7 +203,7 @@ def all_candidates(refs: DataFrame, sources: list[tuple[str, DataFrame]], most:
     whose DOI, or lacking one arXiv id, an earlier source gave."""
     parts = []
     for i, (name, s) in enumerate(sources):
-        hits = title_search(refs, s).join(s.select("source_id", "doi", "arxiv_id"), "source_id")
+        hits = title_search(refs, s, most).join(s.select("source_id", "doi", "arxiv_id"), "source_id")
         place = F.row_number().over(Window.partitionBy("ref").orderBy("source_id"))
         parts.append(hits.withColumn("_n", place).where(F.col("_n") <= most).withColumns({"_p": F.lit(i), "source": F.lit(name)}))
     doi, arxiv = F.lower(T.clean_str(F.col("doi"))), T.clean_str(F.col("arxiv_id"))

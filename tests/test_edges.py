@@ -241,3 +241,20 @@ def test_batches_hold_every_row_once_over_many_ranges(spark):
     rows = spark.range(120_010).select(F.col("id").alias("index"), F.sha2(F.col("id").cast("string"), 256).alias("name"))
     got = topicflow.batches(rows).select("batch", F.transform("items", lambda s: s["index"]).alias("i")).collect()
     assert {r["batch"]: r["i"] for r in got} == {b: list(range(20 * b, min(20 * b + 20, 120_010))) for b in range(6001)}
+
+
+def test_titles_that_many_rows_share_are_compared_once(spark):
+    names = ["alpha beta gamma", "gamma beta alpha delta", "delta alpha", "", "x", "epsilon zeta"]
+    refs = [(i, names[i % 6].upper(), 2000 + i % 7 if i % 11 else None) for i in range(260)] + [(7, names[1].upper(), 2001)]
+    have = [(f"s{i:04d}", names[i * i % 6], 2000 + i % 5) for i in range(1300)]
+    r = spark.createDataFrame(refs, "ref long, title string, year int")
+    s = spark.createDataFrame(have, "source_id string, title string, year int")
+    words = lambda t: {w for w in t.lower().split() if len(w) > 2}
+    want = {(a, b) for a, t, _ in refs for b, u, _ in have if words(t) and words(t) <= words(u)}
+    got = [tuple(x) for x in enrichment.title_search(r, s).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    first = {a: sorted(b for x, b in want if x == a)[:3] for a in {a for a, _ in want}}
+    assert {tuple(x) for x in enrichment.title_search(r, s, 3).collect()} == {(a, b) for a, bs in first.items() for b in bs}
+    pairs = spark.createDataFrame([(n.upper(), n) for n in names], "ask string, have string")
+    met = enrichment.expanded(pairs, r.withColumnRenamed("title", "ask").distinct(), s.select("source_id", F.col("title").alias("have"), F.col("year").alias("c_year")), 2)
+    assert {tuple(x) for x in met.collect()} == {(a, b) for a, t, y in refs for b, u, z in have if t == u.upper() and (y is None or abs(y - z) <= 2)}
