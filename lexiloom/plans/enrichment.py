@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import extract as X
 from lexiloom.functions import text as T
 from lexiloom.operators import enrichment as E
+from lexiloom.operators.graph import cut_lineage
 from lexiloom.plans.registry import query, table
 
 #: Records of two sources: pages by host, with ids that follow from the page's number.
@@ -95,13 +96,17 @@ SELECT ref, source_id FROM m JOIN n USING (t) WHERE abs(m.year - n.year) <= 2 AN
 )
 def validated_titles(spark, sf_dir):
     """Candidates of equal search words whose plain titles are equal, as the rule must accept them."""
-    b = sources(spark, sf_dir)[1][1]
-    r = references(spark, sf_dir)
+    b = sources(spark, sf_dir)[1][1].select("source_id", F.col("title").alias("have"), F.col("year").alias("c_year"))
+    r = references(spark, sf_dir).select("ref", F.col("title").alias("ask"), "year")
+    b, r = cut_lineage(b), cut_lineage(r)
     words = lambda t: F.array_join(F.sort_array(E.title_words(t, 100)), " ")
-    pairs = r.select("ref", "title", "year", words(F.col("title")).alias("w")).join(b.select("source_id", F.col("title").alias("c_title"), F.col("year").alias("c_year"), words(F.col("title")).alias("w")), "w")
+    none = F.lit(None).cast("int")
+    asked = r.select("ask").distinct().select(F.col("ask").alias("title"), none.alias("year"), words(F.col("ask")).alias("w"))
+    pairs = asked.join(b.select("have").distinct().select(F.col("have").alias("c_title"), none.alias("c_year"), words(F.col("have")).alias("w")), "w")
     plain = lambda c: F.lower(F.regexp_replace(F.regexp_replace(F.trim(c), r"[-_\s]+", " "), r"(?U)[^\w\s]", ""))
     kept = E.valid_candidates(pairs).where(T.collapse_space(plain("title")) == T.collapse_space(plain("c_title")))
-    return kept.where(F.col("title").rlike(r"^[\x20-\x7E]*$") & F.col("c_title").rlike(r"^[\x20-\x7E]*$")).select("ref", "source_id")
+    kept = kept.where(F.col("title").rlike(r"^[\x20-\x7E]*$") & F.col("c_title").rlike(r"^[\x20-\x7E]*$"))
+    return E.expanded(kept.select(F.col("title").alias("ask"), F.col("c_title").alias("have")), r, b, most_years=2)
 
 
 @query(
