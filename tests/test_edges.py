@@ -258,3 +258,16 @@ def test_titles_that_many_rows_share_are_compared_once(spark):
     pairs = spark.createDataFrame([(n.upper(), n) for n in names], "ask string, have string")
     met = enrichment.expanded(pairs, r.withColumnRenamed("title", "ask").distinct(), s.select("source_id", F.col("title").alias("have"), F.col("year").alias("c_year")), 2)
     assert {tuple(x) for x in met.collect()} == {(a, b) for a, t, y in refs for b, u, z in have if t == u.upper() and (y is None or abs(y - z) <= 2)}
+
+
+def test_near_pairs_send_numbers_and_lose_none(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(40)}" for _ in range(rng.randrange(3, 30))] for _ in range(12)]
+    texts = [" ".join(b if rng.random() > 0.05 else b + "x" for b in rng.choice(base)) for _ in range(60)] + ["one two", "", None]
+    kinds, written = [], matching.written
+    monkeypatch.setattr(matching, "written", lambda df: kinds.append(dict(df.dtypes)) or written(df))
+    got = matching.near_duplicate_pairs(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    sets = {t: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts if t and len(t.split()) > 2}
+    want = sorted(round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    assert want and sorted(round(r["score"], 6) for r in got) == want and all(r["key_a"] < r["key_b"] for r in got)
+    assert kinds[0]["s"] == "array<bigint>" and kinds[1] == {"t": "bigint", "id": "bigint", "n": "int"}
