@@ -42,17 +42,36 @@ def normalize_text(x: Column) -> Column:
     return collapse_space(y)
 
 
+def bound(x: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def joined_words(x: Column) -> Column:
+    """Soft hyphens go, dashes are one kind, words that were split at a hyphen and white space join. The pattern begins at the
+    hyphen, as one that begins with a word is tried at each of its letters; a word that was joined is the first half of no other."""
+    y = F.replace(x, F.lit("\u00ad"), F.lit(""))
+    for dash in "‐‒–—−":
+        y = F.replace(y, F.lit(dash), F.lit("-"))
+    word = r"[\p{L}\p{N}_]"
+    return F.regexp_replace(y, rf"-(?<={word}-)(?<!\G-)\s+({word}+)", "$1")
+
+
 def fix_hyphenation(x: Column) -> Column:
-    """Soft hyphens go, dashes are one kind, words that were split at a hyphen and white space join."""
-    y = F.regexp_replace(F.regexp_replace(x, "­", ""), "[‐‒–—−]", "-")
-    word = r"[\p{L}\p{N}_]+"
-    y = F.regexp_replace(y, rf"({word})-\s+({word})", "$1$2")
-    return F.regexp_replace(y, r"\s*\n\s*", " ")
+    """Words are joined, and white space with a line end is one blank."""
+    return F.regexp_replace(joined_words(x), r"\s*\n\s*", " ")
+
+
+def without_addresses(x: Column) -> Column:
+    """No zero bytes, URLs and e-mail addresses; what holds no sign of them isn't searched."""
+    y = F.replace(x, F.lit("\0"), F.lit(" "))
+    y = bound(y, lambda v: F.when(F.contains(v, F.lit("http")) | F.contains(v, F.lit("www.")), F.regexp_replace(v, URL, " ")).otherwise(v))
+    from_start = rf"(?:\G|(?<![A-Za-z0-9._%+-])){EMAIL.replace(']+@', ']++@')}"  # not tried again inside a run of such characters
+    return bound(y, lambda v: F.when(F.contains(v, F.lit("@")), F.regexp_replace(v, from_start, " ")).otherwise(v))
 
 
 def clean_text(x: Column) -> Column:
-    y = F.regexp_replace(fix_hyphenation(x), "\u0000", " ")
-    return F.regexp_replace(F.regexp_replace(y, URL, " "), EMAIL, " ")
+    return without_addresses(fix_hyphenation(x))
 
 
 def clean_markdown(x: Column) -> Column:
@@ -66,8 +85,8 @@ def find_all(x: Column, pattern: str) -> Column:
 
 
 def topic_tokens(x: Column) -> Column:
-    """Tokens of the topic pipeline: cleaned, stop words and one-letter rests removed."""
-    raw = F.transform(find_all(clean_text(F.lower(x)), TOPIC_TOKEN), lambda t: F.regexp_replace(t, "^-+|-+$", ""))
+    """Tokens of the topic pipeline: cleaned (kinds of white space tell no tokens apart), stop words and one-letter rests removed."""
+    raw = F.transform(find_all(without_addresses(joined_words(F.lower(x))), TOPIC_TOKEN), lambda t: F.trim(t, F.lit("-")))
     return F.filter(raw, lambda t: (F.length(t) >= 2) & ~t.isin(STOPWORDS))
 
 

@@ -99,3 +99,22 @@ def test_search_and_nothing(spark):
     none = spark.createDataFrame([], "fit int, doc long, word string, n int")
     phi, scores = artm.fit(none, spark.createDataFrame([(0, 2)], "fit int, k int"), rounds=2)
     assert phi.count() == 0 and scores.count() == 0
+
+
+def test_packing_in_small_pieces(spark, tokens, monkeypatch):
+    """One row a block and word is sent; small pieces and chunks, a document's rows apart and names that clash give the same model."""
+    topics = spark.createDataFrame([(0, 3), (1, 2)], "fit int, k int")
+    both = tokens.unionByName(tokens.withColumn("fit", F.lit(1))).repartition(3, "word")
+    phi, scores = artm.fit(both, topics, rounds=2, pairs=100)
+    dealt, _, _ = artm.prepared(both, 100, 1)
+    assert dealt.where("part = -2").groupBy("corpus", "block", "word").count().where("count > 1").count() == 0
+    monkeypatch.setattr(artm, "HELD", 50)
+    monkeypatch.setattr(artm, "CHUNK", 16)
+    name = artm.named
+    monkeypatch.setattr(artm, "named", lambda word, salt: F.length(word).cast("long") if salt == 0 else name(word, salt))
+    other, told = artm.fit(both, topics, rounds=2, pairs=100)
+    rows = lambda x: {(r["fit"], r["word"], r["t"]): r["p"] for r in x.collect()}
+    a, b = rows(phi), rows(other)
+    assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    line = lambda x: [tuple(r) for r in x.orderBy("fit", "round").collect()]
+    assert np.allclose(line(scores), line(told)) and {f for f, *_ in line(told)} == {0, 1}

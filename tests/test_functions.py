@@ -1,6 +1,8 @@
 """Fixtures of the column builders, with values worked out by hand."""
 
 import math
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -29,6 +31,28 @@ def test_hyphenation(spark):
     assert value(spark, T.fix_hyphenation, "auto- encoder and well-known pre-\ntrained") == "autoencoder and well-known pretrained"
 
 
+def test_cleaning_equals_the_plain_patterns(spark):
+    draw = random.Random(3)
+    signs = ["a", "B", "é", "1", "_", "-", "-", " ", "\n", "\u00ad", "–", "\0", "@", ".", "co", "http://", "www.", "%", "+", "a@b.com1@c.de", "x- y- z"]
+    rows = [("".join(draw.choices(signs, k=draw.randint(0, 25))),) for _ in range(4000)]
+    x, word = F.col("x"), r"[\p{L}\p{N}_]+"
+    y = F.regexp_replace(F.regexp_replace(x, "\u00ad", ""), "[‐‒–—−]", "-")
+    y = F.regexp_replace(F.regexp_replace(y, rf"({word})-\s+({word})", "$1$2"), r"\s*\n\s*", " ")
+    y = F.regexp_replace(F.regexp_replace(F.regexp_replace(y, "\0", " "), T.URL, " "), T.EMAIL, " ")
+    tokens = F.transform(T.find_all(F.lower(y), T.TOPIC_TOKEN), lambda t: F.regexp_replace(t, "^-+|-+$", ""))
+    tokens = F.filter(tokens, lambda t: (F.length(t) >= 2) & ~t.isin(T.STOPWORDS))
+    got = spark.createDataFrame([*rows, (None,)], "x string").select("x", T.clean_text(x).alias("clean"), y.alias("plain"), T.topic_tokens(x).alias("got"), tokens.alias("tokens")).collect()
+    assert [r for r in got if r["clean"] != r["plain"] or r["got"] != r["tokens"]] == []
+
+
+def test_cleaning_long_words_takes_no_square(spark):
+    began = time.time()
+    x = "a" * 300_000 + " a@b " + "b" * 300_000
+    assert value(spark, T.topic_tokens, x) == ["a" * 300_000, "b" * 300_000]
+    assert value(spark, T.clean_text, x) == x
+    assert time.time() - began < 30
+
+
 def test_bigrams_bridge_removed_words(spark):
     tokens = value(spark, T.topic_tokens, "graph of networks")
     assert tokens == ["graph", "networks"]
