@@ -470,15 +470,14 @@ def search(docs: DataFrame, ks: list[int], runs: int = 2, share: float = 0.8, wo
     """Per number of topics ``k``: ``coherence``, ``diversity``, ``stability``, ``score`` and which is ``best``, from fits of ``runs`` bootstraps
     each. Words in fewer than ``least`` documents are left out. All fits share one token table and their rounds."""
     spark = docs.sparkSession
-    tokens = T.tokenized(docs).select(F.col("doc_id").alias("doc"), F.explode("tokens").alias("word")).groupBy("doc", "word").agg(F.count(F.lit(1)).alias("n"))
-    tokens = written(tokens)
-    common = tokens.groupBy("word").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least).select("word")
-    tokens = written(tokens.join(common, "word"))
+    tokens = T.tokenized(docs).select(F.lit(0).alias("fit"), F.col("doc_id").alias("doc"), F.explode("tokens").alias("word"), F.lit(1).alias("n"))
     plan = [(i, k, r) for i, (k, r) in enumerate((k, r) for k in ks for r in range(runs))]
-    sample = resampled(tokens, [(i, seed + r + 997 * k) for i, k, r in plan], share)
-    topics = spark.createDataFrame([(i, k, seed + r) for i, k, r in plan], "fit int, k int, seed int")
-    phi, _ = fit(sample, topics, rounds)
-    kept = written(top_words(phi, words).join(F.broadcast(topics.drop("seed")), "fit"))
+    dealt, number, dictionary = prepared(tokens, PAIRS, 1)
+    common = dealt.where("part = -2").groupBy("corpus", "word").agg(F.sum("df").alias("df")).where(F.col("df") >= least).select("corpus", "word")
+    dealt = weighed(restricted(dealt, number, common), number, len(plan), [(i, seed + r + 997 * k) for i, k, r in plan], share)
+    topics = spark.createDataFrame([(i, k) for i, k, r in plan], "fit int, k int")
+    phi, _ = learnt(dealt, number, dictionary, Layout([(0, i, k, seed + r) for i, k, r in plan]), "int", rounds, 5)
+    kept = written(top_words(phi, words).join(F.broadcast(topics), "fit"))
     named = kept.select(F.struct("fit", "t").alias("topic"), "word")
     pairs = T.cooccurrence(docs, kept.select("word").distinct())
     coherence = T.coherence(named, pairs).groupBy("topic.fit").agg(F.avg("coherence").alias("coherence"))

@@ -118,3 +118,30 @@ def test_packing_in_small_pieces(spark, tokens, monkeypatch):
     assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-9 for k in a)
     line = lambda x: [tuple(r) for r in x.orderBy("fit", "round").collect()]
     assert np.allclose(line(scores), line(told)) and {f for f, *_ in line(told)} == {0, 1}
+
+
+def test_fits_that_share_blocks(spark, tokens):
+    """A bootstrap by weights is the fit of the documents written out, and rare words are left out with the documents that have no other."""
+    more = tokens.unionByName(spark.createDataFrame([(0, 900, "rare", 3, 0), (0, 901, "rarer", 1, 0), (0, 901, "a1", 2, 0)], tokens.schema))
+    dealt, number, dictionary = artm.prepared(more, 200, 1)
+    common = dealt.where("part = -2").groupBy("corpus", "word").agg(F.sum("df").alias("df")).where("df >= 3").select("corpus", "word")
+    dealt = artm.restricted(dealt, number, common)
+    assert dealt.agg(F.sum("docs")).first()[0] == 61 and {r["word"] for r in dictionary.join(common, dictionary["id"] == common["word"]).select(dictionary["word"]).collect()}.isdisjoint({"rare", "rarer"})
+    drawn = artm.weighed(dealt, number, 2, [(0, 5), (1, 6)], 0.8)
+    phi, scores = artm.learnt(drawn, number, dictionary, artm.Layout([(0, 0, 2, 5), (0, 1, 3, 6)]), "int", 2, 5)
+    rows = []
+    for b in drawn.where("part >= 0").collect():
+        words = np.frombuffer(drawn.where((F.col("part") == -1) & (F.col("block") == b["block"])).first()["index"], np.int64)
+        sizes = artm.large(b["sizes"]).astype(int)
+        times = artm.large(b["times"]).reshape(2, -1)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        for d, i, n in zip(doc.tolist(), artm.large(b["index"]).tolist(), artm.large(b["n"]).tolist(), strict=True):
+            rows += [(f, b["block"] * 1000 + b["part"] * 100 + d, int(words[i]), float(n * times[f, d])) for f in (0, 1) if times[f, d]]
+    assert len({r[:2] for r in rows if r[0] == 0}) <= round(0.8 * 61)
+    plain_rows = spark.createDataFrame(rows, "fit int, doc long, id long, n double").join(dictionary, "id")
+    other, told = artm.fit(plain_rows, spark.createDataFrame([(0, 2, 5), (1, 3, 6)], "fit int, k int, seed int"), rounds=2)
+    at = lambda x: {(r["fit"], r["word"], r["t"]): r["p"] for r in x.collect()}
+    a, b = at(phi), at(other)
+    assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    line = lambda x: [tuple(r) for r in x.orderBy("fit", "round").collect()]
+    assert np.allclose(line(scores), line(told))
