@@ -40,6 +40,7 @@ def token_table(docs: DataFrame, path: str, end_id: int = 1, batch: int = 500) -
                 at = before + np.cumsum(n) - n
                 before += int(n.sum())
                 yield pd.DataFrame({"doc_id": rows["doc_id"].array, "part": part, "before": at, "n_tokens": n, "width": len(end), "ids": ids})
+        bpe.rest()
 
     return texts(docs).mapInPandas(lean(run), "doc_id long, part long, before long, n_tokens long, width int, ids binary")
 

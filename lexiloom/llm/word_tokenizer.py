@@ -26,6 +26,8 @@ _HIGH = re.compile("[^\x21-ɏ]|[\x7f-\xa0]")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words and pieces whose ids are remembered.
 MEMORY = 1_000_000
+#: As many may stay between tasks: a worker outlives its task, and other stages need its memory.
+IDLE = 100_000
 
 
 class WordBpe:
@@ -43,6 +45,11 @@ class WordBpe:
         """Remembered ids stand one after another in ``store``; the table has each word's place * 2^16 + number."""
         self.table, self.store, self.used = HashTable(), np.zeros(1 << 16, self.dtype), 0
 
+    def rest(self) -> None:
+        """At the end of a task: little stays remembered."""
+        if self.table.n > IDLE:
+            self._forget()
+
     def _remember(self, hashes: np.ndarray, ids: list[bytes]) -> np.ndarray:
         """Entries of new words."""
         data = np.frombuffer(b"".join(ids), self.dtype)

@@ -658,3 +658,29 @@ def test_pipeline(spark, tmp_path):
     assert not any(known[i][1] for i in left if i in known)
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in rows} == set(left)
+
+
+def test_packing_leaves_little_in_its_worker(spark, monkeypatch):
+    """A worker outlives its task: what packing remembers of words goes with the task, and ids stay the same."""
+    from lexiloom.llm import word_tokenizer
+
+    monkeypatch.setattr(word_tokenizer, "IDLE", 50)
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(20)]
+    own = word_tokenizer.WordBpe(WORDS)
+    before = [x.tolist() for x in own.encode_batch(texts)]
+    assert own.table.n > 50
+    own.rest()
+    assert own.table.n == 0 and own.used == 0 and [x.tolist() for x in own.encode_batch(texts)] == before
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+
+    def left(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            pass
+        yield pd.DataFrame({"n": [sum(t.table.n for t in word_tokenizer._LOADED.values())]})
+
+    many = spark.createDataFrame([(i, " ".join(f"{a}{i}q" for a in range(6000))) for i in range(30)], "doc_id long, text string").coalesce(1)
+    assert packing.token_table(docs, WORDS).count() == 20
+    assert packing.token_table(many, WORDS).count() == 30
+    assert all(r["n"] <= 100_000 for r in spark.range(8).repartition(4).mapInPandas(left, "n long").collect())
