@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cuts, lean, mix64, release, small_side, stored, texts
+from .common import cuts, discard, lean, mix64, release, small_side, stored, texts
 from .components import Forest, components
 from .words import Words
 
@@ -518,6 +518,7 @@ def _joined(docs: DataFrame, rule: Rule, frequent_share: float) -> tuple[DataFra
     found = stored(candidates(docs, rule, frequent, weights))
     family = split(families(found, rule), found, rule)
     links = stored(true_links(docs, named.select(F.col("first").alias("doc_id"), "cls"), family, rule))
+    discard(spark, found)
     parts = components(links)
     classes = named.join(parts, named["cls"] == parts["node"], "left").select("cls", F.coalesce("component", "cls").alias("component"), "first")
     return rows, classes
@@ -538,8 +539,12 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, frequen
     smallest id (among rows that repeat it, one). Documents without words all stay."""
     rule = Rule(n, num, den)
     rows, classes = _joined(docs, rule, frequent_share)
-    kept = classes.groupBy("component").agg(F.min(F.struct("first", "cls")).alias("m")).select(F.col("m.first").alias("_lexiloom_id"), F.col("m.cls").alias("_lexiloom_kept"))
-    kept = stored(kept)
+    kept = classes.groupBy("component").agg(F.min(F.struct("first", "cls")).alias("m")).select(F.col("m.first").alias("first"), F.col("m.cls").alias("kept"))
+    seen = rows.where("size > 0").groupBy("doc_id", "cls").agg(F.count(F.lit(1)).alias("n"))
+    known = seen.join(kept, F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("cls") == F.col("kept")), "left")
+    known = stored(
+        known.select(F.col("doc_id").alias("_lexiloom_id"), F.col("cls").alias("_lexiloom_known"), F.col("kept").isNotNull().alias("_lexiloom_stays"), (F.col("n") > 1).alias("_lexiloom_repeats"))
+    )
     name = "_lexiloom_class"
 
     @F.pandas_udf("long")
@@ -549,11 +554,13 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, frequen
         release()
 
     marked = docs.withColumn(name, class_column(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    side = small_side(kept, kept.count(), most_broadcast)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_lexiloom_id")) & (F.col(name) == F.col("_lexiloom_kept"))
-    joined = marked.join(side, same, "left").where(F.col(name).isNull() | F.col("_lexiloom_kept").isNotNull())
-    repeats = rows.where("size > 0").groupBy("doc_id", "cls").count().where("count > 1").limit(1).count()
-    if repeats:
-        known = joined.where(F.col(name).isNotNull()).dropDuplicates(["doc_id", name])
-        joined = joined.where(F.col(name).isNull()).unionByName(known)
-    return joined.drop(name, "_lexiloom_id", "_lexiloom_kept")
+    # what goes is mostly far less than what stays: the shorter list is joined, so that texts are rarely shuffled
+    stay, odd = known.where("_lexiloom_stays"), known.where("not _lexiloom_stays or _lexiloom_repeats")
+    n_stay, n_odd = stay.count(), odd.count()
+    side = small_side(odd if n_odd <= n_stay else stay, min(n_odd, n_stay), most_broadcast)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_lexiloom_id")) & (F.col(name) == F.col("_lexiloom_known"))
+    joined = marked.join(side, same, "left").where(F.col(name).isNull() | F.coalesce("_lexiloom_stays", F.lit(n_odd <= n_stay)))
+    if stay.where("_lexiloom_repeats").limit(1).count():
+        again = F.coalesce("_lexiloom_repeats", F.lit(False))
+        joined = joined.where(~again).unionByName(joined.where(again).dropDuplicates(["doc_id", name]))
+    return joined.drop(name, "_lexiloom_id", "_lexiloom_known", "_lexiloom_stays", "_lexiloom_repeats")

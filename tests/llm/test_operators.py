@@ -585,6 +585,24 @@ def test_ngram_join_keeps_one(spark, odd, empty):
     assert ngram_join.groups(odd).count() == len(ODD) and ngram_join.groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("copies, most, shuffled", [(1, 40, False), (4, 100, False), (1, 3, True)])
+def test_keep_one_joins_the_shorter_list(spark, copies, most, shuffled):
+    """What stays grows with the corpus; texts are shuffled only where what goes is beyond the bound too."""
+    rng = random.Random(5)
+    own = [" ".join(rng.choices("abcdefgh", k=30)) for _ in range(80)]
+    rows = [(i, t) for i, t in enumerate(own)] + [(100 + i, t) for i, t in enumerate((own * copies)[: 20 if copies == 1 else None])]
+    rows += [(7, own[7]), (7, own[7]), (None, "one of a kind"), (None, "one of a kind"), (200, ""), (200, ""), (201, None)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), most_broadcast=most)
+        assert ("SortMergeJoin" in kept._jdf.queryExecution().executedPlan().toString()) == shuffled
+        got = sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == sorted([*((str(i), t) for i, t in enumerate(own)), ("None", "one of a kind"), ("200", ""), ("200", ""), ("201", "")])
+
+
 def test_signatures_are_shared_within_the_threshold():
     rng = np.random.default_rng(8)
     rule = ngram_join.Rule(3, 80, 100)
