@@ -155,19 +155,30 @@ def expanded(pairs: DataFrame, refs: DataFrame, source: DataFrame, most_years: i
     return dealt.select(F.explode("_ref").alias("ref"), "_source_id").select("ref", F.explode("_source_id").alias("source_id"))
 
 
-def title_search(refs: DataFrame, source: DataFrame, most: int | None = None) -> DataFrame:
-    """``ref``, ``source_id`` of the records whose titles have all of the reference's search words; with ``most``, the first of them by ``source_id``.
+def record_words(title: Column) -> Column:
+    """All the words of a record's title that a search can ask for, each once, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit(r"[a-z0-9\-]{3,}"), F.lit(0))))
+
 
-    Titles of the same words are compared once. The rarest of the words finds the candidates by an equi-join; the others are
-    checked on them.
+def word_pairs(asked: DataFrame, records: DataFrame) -> DataFrame:
+    """``ask``, ``have`` of the distinct lists of words where the second has all of the first.
+
+    The rarest of the words finds the candidates by an equi-join; the others are checked on them.
     """
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit(r"[a-z0-9\-]{3,}"), F.lit(0))))
-    records = cut_lineage(source.select("source_id", words.alias("have")))
-    asked = cut_lineage(refs.select("ref", F.array_sort(title_words(F.col("title"))).alias("ask")).where("size(ask) > 0").groupBy("ref").agg(F.min("ask").alias("ask")))
     posted = records.select("have").distinct().select("have", F.explode("have").alias("w"))
     counts = posted.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     rare = asked.select("ask").distinct().select("ask", F.explode("ask").alias("w")).join(counts, "w").groupBy("ask").agg(F.min_by("w", F.struct("n", "w")).alias("w"), F.count(F.lit(1)).alias("known"))
-    pairs = rare.where(F.col("known") == F.size("ask")).join(posted, "w").where(F.size(F.array_except("ask", "have")) == 0).select("ask", "have")
+    return rare.where(F.col("known") == F.size("ask")).join(posted, "w").where(F.size(F.array_except("ask", "have")) == 0).select("ask", "have")
+
+
+def title_search(refs: DataFrame, source: DataFrame, most: int | None = None) -> DataFrame:
+    """``ref``, ``source_id`` of the records whose titles have all of the reference's search words; with ``most``, the first of them by ``source_id``.
+
+    Titles of the same words are compared once.
+    """
+    records = cut_lineage(source.select("source_id", record_words(F.col("title")).alias("have")))
+    asked = cut_lineage(refs.select("ref", F.array_sort(title_words(F.col("title"))).alias("ask")).where("size(ask) > 0").groupBy("ref").agg(F.min("ask").alias("ask")))
+    pairs = word_pairs(asked, records)
     if most is None:
         return expanded(pairs, asked, records)
     first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy("source_id")) <= most

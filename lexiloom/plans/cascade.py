@@ -6,22 +6,23 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import cascade as C
 from lexiloom.operators import pdfcheck
+from lexiloom.operators.graph import written
 from lexiloom.plans import enrichment as P
 from lexiloom.plans.registry import query, table
 
 
-def archive(spark, sf_dir):
+def archive(spark, sf_dir, pages=None):
     """Records of an archive: every page with a title of over 55 characters under its arXiv id."""
-    p, none = P._pages(spark, sf_dir), F.lit(None).cast("string")
+    p, none = P._pages(spark, sf_dir) if pages is None else pages, F.lit(None).cast("string")
     return p.where("length(title) > 55").select(
         F.concat(F.lit("x"), "k").alias("source_id"), "title", "year", F.lit("The Archive").alias("authors"), none.alias("doi"), F.col("arxiv").alias("arxiv_id"), none.alias("article_url"),
         F.concat(F.lit("https://arxiv.org/pdf/"), "arxiv", F.lit(".pdf")).alias("pdf_url"),
     )
 
 
-def stages(spark, sf_dir) -> list[C.Stage]:
-    (_, a), (_, b) = P.sources(spark, sf_dir)
-    x = archive(spark, sf_dir)
+def stages(spark, sf_dir, pages=None) -> list[C.Stage]:
+    (_, a), (_, b) = P.sources(spark, sf_dir, pages)
+    x = archive(spark, sf_dir, pages)
     b = b.withColumn("article_url", F.concat("article_url", F.lit("#b")))
     return [
         C.Stage("archive", x, "arxiv_id", "pdf"), C.Stage("a", a, "doi"), C.Stage("b", b, "doi", "any"),
@@ -49,17 +50,19 @@ def merged_answers(spark, sf_dir):
 @query()
 def cascade_stages(spark, sf_dir):
     """The stage that answers each reference: ids first, then titles; strict likeness of titles is no SQL."""
-    return C.first(C.answers(P._keyed(spark, sf_dir), stages(spark, sf_dir))).select("ref", "stage", "source", "key", "source_id", "arxiv_id", "pdf_url", "article_url")
+    p = written(P._pages(spark, sf_dir))
+    return C.first_answers(P._keyed(spark, sf_dir, p), stages(spark, sf_dir, p)).select("ref", "stage", "source", "key", "source_id", "arxiv_id", "pdf_url", "article_url")
 
 
 @query()
 def resolved_references(spark, sf_dir):
     """The whole workflow with the check of the PDF; pages stand for what the PDFs of source ``a`` say."""
-    (_, a), _ = P.sources(spark, sf_dir)
+    p = written(P._pages(spark, sf_dir))
+    (_, a), _ = P.sources(spark, sf_dir, p)
     html = table(spark, sf_dir, "pages")
     body = F.regexp_replace(F.regexp_replace("html", r"(?is)<(style|script)\b.*?</\1>|<!--.*?-->", " "), r"(?s)<[^>]*>", "\n")
     pages = html.select(F.concat("url", F.lit(".pdf")).alias("pdf_url"), F.regexp_replace(body, r"\n\s*\n+", "\n").alias("text"))
-    rows = C.resolved(P.references(spark, sf_dir), stages(spark, sf_dir), archive(spark, sf_dir), a, pages)
+    rows = C.resolved(P.references(spark, sf_dir, p), stages(spark, sf_dir, p), archive(spark, sf_dir, p), a, pages)
     return rows.select("ref", "found_by", "doi", "arxiv_id", "pdf_url", "article_url", F.round("confidence", 6).alias("confidence"), "judged_by", "validated", F.array_join("more_urls", " ").alias("more_urls"))
 
 

@@ -26,8 +26,8 @@ def _pages(spark, sf_dir):
     return p.select("page_id", F.coalesce(X.page_title(F.col("html")), F.lit("")).alias("title"), "url", (2000 + F.col("page_id") % 20).cast("int").alias("year"), F.col("page_id").cast("string").alias("k"), arxiv.alias("arxiv"))
 
 
-def sources(spark, sf_dir):
-    p, none = _pages(spark, sf_dir), F.lit(None).cast("string")
+def sources(spark, sf_dir, pages=None):
+    p, none = _pages(spark, sf_dir) if pages is None else pages, F.lit(None).cast("string")
     pdf = F.concat("url", F.lit(".pdf"))
     a = p.where("length(title) > 30").select(
         F.concat(F.lit("a"), "k").alias("source_id"), "title", "year", none.alias("authors"), F.concat(F.lit("10.1234/p."), "k").alias("doi"), F.col("arxiv").alias("arxiv_id"), F.col("url").alias("article_url"), pdf.alias("pdf_url")
@@ -36,8 +36,8 @@ def sources(spark, sf_dir):
     return [("a", a), ("b", b)]
 
 
-def references(spark, sf_dir):
-    p, none = _pages(spark, sf_dir), F.lit(None).cast("string")
+def references(spark, sf_dir, pages=None):
+    p, none = _pages(spark, sf_dir) if pages is None else pages, F.lit(None).cast("string")
     n = F.length("title")
     return p.select(
         F.col("page_id").alias("ref"), F.upper("title").alias("title"), "year", none.alias("authors"), none.alias("doi"), none.alias("arxiv_id"), none.alias("pdf_url"),
@@ -45,9 +45,9 @@ def references(spark, sf_dir):
     )
 
 
-def _keyed(spark, sf_dir):
+def _keyed(spark, sf_dir, pages=None):
     c = F.col
-    r = references(spark, sf_dir)
+    r = references(spark, sf_dir, pages)
     return r.withColumns({"arxiv_id": E.arxiv_of(c("doi"), c("article_url"), c("pdf_url"), c("raw_text"), c("arxiv_id")), "doi": E.doi_of(c("doi"), c("article_url"), c("raw_text"))})
 
 

@@ -169,3 +169,38 @@ def test_filtered_scores(spark):
     asked = spark.createDataFrame([(9, "Fox red")], "query_id long, text string")
     whole = {r["doc_id"]: r["score"] for r in R.bm25(docs, asked).collect()}
     assert {r["doc_id"]: r["score"] for r in R.bm25(docs, asked, lang="en").collect()} == {1: whole[1]} and set(whole) == {1, 2, 3}
+
+
+@pytest.fixture(scope="module")
+def copies(spark, tmp_path_factory):
+    """400 pages of one title, which only a search by title finds."""
+    folder = tmp_path_factory.mktemp("copies")
+    title = "One title of many pages that no id tells apart"
+    rows = [(i, f"http://h/{i}", f"<html><title>{title}</title><p>{title}</p></html>") for i in range(400)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(folder / "pages.parquet"))
+    return str(folder)
+
+
+def _near(i):
+    """Records of source ``a`` no more than two years apart, the least id first."""
+    return sorted((k for k in range(400) if abs(k % 20 - i % 20) <= 2), key=lambda k: f"a{k}")
+
+
+def _most_rows(plan):
+    """The most rows that a node of an executed plan gave."""
+    inner = [getattr(plan, f)() for f, kind in (("executedPlan", "AdaptiveSparkPlanExec"), ("plan", "QueryStageExec")) if plan.getClass().getSimpleName().endswith(kind)]
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    own = plan.metrics().get("numOutputRows")
+    return max([own.get().value() if own.isDefined() else 0, *map(_most_rows, inner + below)])
+
+
+def test_copies_of_a_title_meet_once(spark, copies, monkeypatch):
+    from lexiloom.plans import catalogue
+
+    sizes, write = [], C.written
+    monkeypatch.setattr(C, "written", lambda df: (sizes.append((out := write(df)).count()), out)[1])
+    rows = catalogue.queries()["cascade_stages"](spark, copies)
+    got = {r["ref"]: (r["stage"], r["source_id"], r["pdf_url"]) for r in rows.collect()}
+    assert got == {i: (4, f"a{_near(i)[0]}", f"http://h/{_near(i)[0]}.pdf") for i in range(400)}
+    # 20 years of at most 100 records of either source, where all pairs of pages are 160,000
+    assert _most_rows(rows._jdf.queryExecution().executedPlan()) < 5000 and max(sizes) < 5000
