@@ -204,3 +204,19 @@ def test_copies_of_a_title_meet_once(spark, copies, monkeypatch):
     assert got == {i: (4, f"a{_near(i)[0]}", f"http://h/{_near(i)[0]}.pdf") for i in range(400)}
     # 20 years of at most 100 records of either source, where all pairs of pages are 160,000
     assert _most_rows(rows._jdf.queryExecution().executedPlan()) < 5000 and max(sizes) < 5000
+
+
+def test_workflow_of_copies(spark, copies, monkeypatch):
+    from lexiloom.plans import catalogue
+
+    sizes, write = [], C.written
+    monkeypatch.setattr(C, "written", lambda df: (sizes.append((out := write(df)).count()), out)[1])
+    rows = catalogue.queries()["resolved_references"](spark, copies).collect()
+    assert len(rows) == 400 and {r["found_by"] for r in rows} == {"title"}
+    for r in rows:
+        a, b = _near(r["ref"]), [k for k in range(400) if abs(k % 20 + 1 - r["ref"] % 20) <= 2]
+        want = {f"http://h/{k}{x}" for k in a for x in ("", ".pdf")} | {f"http://h/{k}#b" for k in b}
+        # the first answer's PDF gives way to that of its arXiv id
+        want = want - {f"http://h/{a[0]}.pdf"} | {f"https://arxiv.org/pdf/2{a[0]:03}.{a[0]:05}.pdf"}
+        assert {*r["more_urls"].split(), r["pdf_url"], r["article_url"]} - {None} == want
+    assert max(sizes) < 5000
