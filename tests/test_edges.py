@@ -271,3 +271,25 @@ def test_near_pairs_send_numbers_and_lose_none(spark, monkeypatch):
     want = sorted(round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
     assert want and sorted(round(r["score"], 6) for r in got) == want and all(r["key_a"] < r["key_b"] for r in got)
     assert kinds[0]["s"] == "array<bigint>" and kinds[1] == {"t": "bigint", "id": "bigint", "n": "int"}
+
+
+def test_near_pairs_leave_no_shuffles_behind(spark):
+    import time
+
+    texts = [" ".join(f"w{(i // 2 + j) % 90}" for j in range(40)) + (" x" if i % 2 else "") for i in range(60)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {n for n in (f.getName() for f in iter_java(disk.getAllFiles())) if n.startswith("shuffle_")}
+    before = files()
+    pairs = matching.near_duplicate_pairs(rows)
+    until = time.time() + 10
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for t in texts]
+    assert pairs.count() == sum(len(a & b) >= 0.8 * len(a | b) for i, a in enumerate(sets) for b in sets[i + 1 :])
+    assert matching.near_duplicate_pairs(rows, slices=1).exceptAll(pairs).count() == 0
+
+
+def iter_java(found):
+    return [found.apply(i) for i in range(found.size())]
